@@ -1,4 +1,4 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries of the reference operators, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orelink.plans import analytics, governance, imports, matching
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return analytics.QUERIES | governance.QUERIES | matching.QUERIES | imports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return analytics.ORACLES | governance.ORACLES | matching.ORACLES | imports.ORACLES
