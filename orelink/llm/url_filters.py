@@ -8,7 +8,7 @@ Tree: level by level, from the root of each host, a segment stays literal if at
 ``Z2``); too few labels (``MIN_LABELLED`` on either side) count as different. All other segments become the
 wildcard ``*``: numbers and names that vary, and branches that behave like their siblings. Segments below
 ``DEPTH`` levels become one ``**``. A template is blocked if its smoothed purity,
-(bad + ``ALPHA`` * overall share) / (labelled + ``ALPHA``), reaches ``PURITY``.
+(bad + ``ALPHA`` * overall share) / (labelled + ``ALPHA``), reaches ``PURITY`` and the template has a bad label.
 
 Scale: only ids, hosts and paths travel, never html. Each level sums nodes with map-side combine and joins back
 the literal nodes, of which a parent has at most 1 / MIN_SHARE; large hosts split in those joins.
@@ -96,7 +96,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     purity = (F.col("n_bad") + ALPHA * prior) / (F.col("n_labelled") + ALPHA)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = found.join(sums, "template").withColumn("rule", rule)
-    return judged.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(purity >= PURITY, "block").otherwise("allow")).alias("verdict"), "template", "n_labelled", "n_bad")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when((F.col("n_bad") > 0) & (purity >= PURITY), "block").otherwise("allow")).alias("verdict"), "template", "n_labelled", "n_bad")
 
 
 def oracle(pages: str = "pages", labels: str = "labels") -> str:
@@ -122,6 +122,6 @@ t{k + 1} AS (SELECT page_id, t.host, path, segments, labelled, bad, CASE WHEN le
 f AS (SELECT page_id, host, path, labelled, bad, host || template || CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS template FROM t{DEPTH}),
 s AS (SELECT *, sum(labelled) OVER w AS n_labelled, sum(bad) OVER w AS n_bad, sum(labelled) OVER () AS al, sum(bad) OVER () AS ab FROM f WINDOW w AS (PARTITION BY template))
 SELECT page_id, host, path, {rule} AS rule,
-  {verdict} WHEN (n_bad + {ALPHA} * CASE WHEN al > 0 THEN ab / al ELSE 0 END) / (n_labelled + {ALPHA}) >= {PURITY} THEN 'block' ELSE 'allow' END AS verdict,
+  {verdict} WHEN n_bad > 0 AND (n_bad + {ALPHA} * CASE WHEN al > 0 THEN ab / al ELSE 0 END) / (n_labelled + {ALPHA}) >= {PURITY} THEN 'block' ELSE 'allow' END AS verdict,
   template, n_labelled::BIGINT AS n_labelled, n_bad::BIGINT AS n_bad
 FROM s"""
