@@ -35,7 +35,7 @@ def _positions(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, doc_id, body, at): the positions of each key in each document, in order."""
     body = texts(docs).select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     keyed = body.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= max(1, min_chars))
-    hashed = keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "body", "pos")
+    hashed = written(keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "body", "pos"))  # the range sample reads it too
     ranged = hashed.repartitionByRange("h1", "h2", "doc_id", "body").sortWithinPartitions("h1", "h2", "doc_id", "body", "pos")
     return ranged.groupBy("h1", "h2", "doc_id", "body").agg(F.sort_array(F.collect_list("pos")).alias("at"))
 
