@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from orelink.llm.common import texts
 
-CACHE = 800_000
+CACHE = 400_000
 LONG_WORD = 256
 BATCH_BYTES = 400_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
