@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +65,58 @@ def dataset_problems(pairs: DataFrame) -> DataFrame:
         .when(F.col("pair_id") > F.col("first"), "duplicate_pair")
     )
     return checked.select("pair_id", problem.alias("problem")).where("problem is not null")
+
+
+def score_ranges(scored: DataFrame) -> DataFrame:
+    """scored: predicted, score. Least and largest score of each predicted class."""
+    return scored.groupBy("predicted").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+
+
+def overlaps(ranges: DataFrame) -> DataFrame:
+    """Pairs of classes (in the order of CLASSES) whose score ranges meet; ``ranges`` has a row for each class."""
+    rank = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("predicted"))
+    a = ranges.select(F.col("predicted").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), rank.alias("rank_a"))
+    b = ranges.select(F.col("predicted").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), rank.alias("rank_b"))
+    return a.join(b, (F.col("rank_a") < F.col("rank_b")) & (F.col("low_a") <= F.col("high_b")) & (F.col("low_b") <= F.col("high_a"))).select("a", "b")
+
+
+def by_category(pairs: DataFrame, enough: int = 8) -> DataFrame:
+    """pairs: category, ground_truth, predicted. Agreement (4 decimals) and whether the sample suffices."""
+    out = pairs.groupBy("category").agg(F.count("*").alias("pairs"), F.count_if(F.col("ground_truth") == F.col("predicted")).alias("agreed"))
+    return out.select("category", "pairs", F.round(F.col("agreed") / F.col("pairs"), 4).alias("agreement"), (F.col("pairs") >= enough).alias("sufficient"))
+
+
+def conflict_rate(pairs: DataFrame) -> DataFrame:
+    """pairs: conflict_expected, conflict_attribute, conflict_detected. Over pairs that declare an expectation."""
+    asked = pairs.where("conflict_expected is not null and conflict_attribute is not null")
+    out = asked.agg(F.count("*").alias("expected"), F.count_if("conflict_detected").alias("detected"))
+    return out.withColumn("rate", F.round(F.coalesce(F.try_divide("detected", "expected"), F.lit(0.0)), 4))
+
+
+def runs(pairs: DataFrame) -> DataFrame:
+    """pairs: run_id, ground_truth, predicted. The record of each run: accuracy, wrong matches, missed matches, review rate."""
+    truth, said = F.col("ground_truth"), F.col("predicted")
+    out = pairs.groupBy("run_id").agg(
+        F.count("*").alias("pairs"), F.count_if(truth == said).alias("agreed"), F.count_if((truth == "NOT_A_MATCH") & (said == "MATCH")).alias("false_positives"),
+        F.count_if((truth == "MATCH") & (said == "NOT_A_MATCH")).alias("false_negatives"), F.count_if(said == "NEEDS_REVIEW").alias("reviews"),
+    )
+    return out.select("run_id", "pairs", F.round(F.col("agreed") / F.col("pairs"), 4).alias("accuracy"), "false_positives", "false_negatives", F.round(F.col("reviews") / F.col("pairs"), 4).alias("review_rate"))
+
+
+def inconsistent_runs(recorded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Recorded runs whose figures are not those that their pairs give: (run_id, problem)."""
+    fresh = runs(pairs).select("run_id", *[F.col(c).alias(f"_{c}") for c in ("pairs", "accuracy", "false_positives", "false_negatives")])
+    both = recorded.join(fresh, "run_id", "left")
+    problem = F.when(F.col("_pairs").isNull(), "no_pairs")
+    for c in ("pairs", "accuracy", "false_positives", "false_negatives"):
+        problem = problem.when(F.abs(F.col(c) - F.col(f"_{c}")) > 1e-9, c)
+    return both.select("run_id", problem.alias("problem")).where("problem is not null")
+
+
+def config_fingerprint(config: dict) -> str:
+    """cfg- and six hex digits: 32-bit FNV-1a over the UTF-16 units of the settings' compact JSON, keys in their own order."""
+    h = 0x811C9DC5
+    units = json.dumps(config, separators=(",", ":"), ensure_ascii=False).encode("utf-16-le")
+    for at in range(0, len(units), 2):
+        h = (h ^ int.from_bytes(units[at : at + 2], "little")) * 0x01000193 & 0xFFFFFFFF
+    return f"cfg-{h:08x}"[:10]

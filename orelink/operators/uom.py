@@ -128,3 +128,30 @@ def reconciliation(pairs: DataFrame) -> DataFrame:
 
 def activity_feed(a: DataFrame, b: DataFrame, most: int = 50) -> DataFrame:
     return a.unionByName(b).orderBy(F.desc("ts"), "source", F.desc("id")).limit(most)
+
+
+def effective_rules(requests: DataFrame, rules: DataFrame, domain_rules: DataFrame) -> DataFrame:
+    """requests: uom, cmi. Adds to_uom, factor and rule_source (DOMAIN, SYSTEM or null).
+
+    One approved domain rule of (cmi, unit) wins; several of them fail closed to no rule; without any the active system rule holds.
+    """
+    unit = F.upper(F.trim("uom"))
+    domain = domain_rules.where("status = 'APPROVED'").groupBy("cmi", F.upper(F.trim("from_uom")).alias("_unit")).agg(F.count("*").alias("_live"), F.min("to_uom").alias("_to"), F.min("factor").alias("_factor"))
+    system = active_rules(rules).select(F.col("from_uom").alias("_unit"), F.col("to_uom").alias("_sys_to"), F.col("factor").alias("_sys_factor"))
+    both = requests.withColumn("_unit", unit).join(domain, ["cmi", "_unit"], "left").join(F.broadcast(system), "_unit", "left")  # one row a unit
+    source = F.when(F.col("_live") == 1, "DOMAIN").when(F.col("_live").isNull() & F.col("_sys_to").isNotNull(), "SYSTEM")
+    pick = lambda a, b: F.when(F.col("rule_source") == "DOMAIN", F.col(a)).when(F.col("rule_source") == "SYSTEM", F.col(b))
+    both = both.withColumn("rule_source", source)
+    return both.select(*requests.columns, pick("_to", "_sys_to").alias("to_uom"), pick("_factor", "_sys_factor").alias("factor"), "rule_source")
+
+
+def appended(history: DataFrame, events: DataFrame) -> DataFrame:
+    """An append-only history with new events; events whose id it has already are ignored."""
+    return history.unionByName(events.dropDuplicates(["event_id"]).join(history.select("event_id"), "event_id", "left_anti"))
+
+
+def history_page(history: DataFrame, most: int = 5) -> DataFrame:
+    """The last ``most`` events of each rule and the number of all of them."""
+    line = Window.partitionBy("rule_id").orderBy(F.desc("event_id"))
+    counts = history.groupBy("rule_id").agg(F.count("*").alias("events"))
+    return history.withColumn("n", F.row_number().over(line)).where(F.col("n") <= most).join(counts, "rule_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,97 @@ def resolve(materials: DataFrame, text: str) -> DataFrame:
     code, description, want = F.lower("code"), F.lower("description"), text.lower()
     rank = F.when(code == want, 1).when(code.startswith(want), 2).when(description.contains(want), 3)
     return materials.withColumn("rank", rank).where("rank is not null").orderBy("rank", "code").limit(1)
+
+
+def without_children_of_pending(children: DataFrame, matches: DataFrame, key: str = "match_id") -> DataFrame:
+    """Decisions, queue entries or cmis (by ``key``) that no pending match owns; apply before ``without_pending``."""
+    owned = matches.where("status = 'pending'").select(F.col("match_id").alias(key))
+    return children.join(owned, key, "left_anti")
+
+
+def in_context(matches: DataFrame, materials: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Matches of known materials, with org, category and manufacturer of both sides (``org_a`` .. ``manufacturer_b``)."""
+    rows = materials.join(organizations, "org_id").select("material_id", "org_code", "category", "manufacturer")
+    side = lambda s: rows.select(F.col("material_id").alias(s), F.col("org_code").alias(f"org_{s}"), F.col("category").alias(f"category_{s}"), F.col("manufacturer").alias(f"manufacturer_{s}"))
+    return matches.join(side("a"), "a").join(side("b"), "b")
+
+
+def evidence(path: str) -> Column:
+    return F.get_json_object("evidence", f"$.{path}")
+
+
+def listed_in(path: str) -> Column:
+    """Whether the evidence's array has any entry."""
+    return F.coalesce(F.json_array_length(evidence(path)) > 0, F.lit(False))
+
+
+def listed(matches: DataFrame, min_score: int | None = None, max_score: int | None = None, conflicts: bool = False, **by) -> DataFrame:
+    """Rows of ``in_context`` by any of: status, match_type, cmi_state (equality), organization and manufacturer and
+    material (either side), category (both sides), decision and band (evidence), score bounds, critical conflicts."""
+    either = lambda name, v: (F.col(f"{name}a") == v) | (F.col(f"{name}b") == v)
+    tests = {
+        "organization": lambda v: either("org_", v), "manufacturer": lambda v: either("manufacturer_", v), "material": lambda v: either("", v),
+        "category": lambda v: (F.col("category_a") == v) & (F.col("category_b") == v), "decision": lambda v: evidence("decision.state") == v, "band": lambda v: evidence("decision.band") == v,
+    }
+    for name, value in by.items():
+        matches = matches.where(tests[name](value) if name in tests else F.col(name) == value)
+    matches = matches if min_score is None else matches.where(F.col("final_score") >= min_score)
+    matches = matches if max_score is None else matches.where(F.col("final_score") <= max_score)
+    return matches.where(listed_in("criticalConflicts")) if conflicts else matches
+
+
+def review_order(sort: str | None = None) -> list[Column]:
+    """Sort columns by name; unknown names sort by falling score."""
+    rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
+    orders = {"score_asc": [F.asc("final_score")], "oldest": [F.asc("created")], "newest": [F.desc("created")], "priority": [rank, F.desc("final_score")]}
+    return [*orders.get(sort, [F.desc("final_score")]), F.desc("match_id") if sort == "newest" else F.asc("match_id")]
+
+
+def page_of(matches: DataFrame, sort: str | None, number: int, size: int) -> DataFrame:
+    """One page (from 1) and the total of all rows, on every row of the page."""
+    total = matches.agg(F.count("*").alias("total"))
+    return matches.orderBy(*review_order(sort)).offset((number - 1) * size).limit(size).crossJoin(total)  # total is one row
+
+
+def funnel(matches: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Approved matches by what became of them in the registry."""
+    state = with_cmi_state(matches.where("status = 'approved'"), mappings)
+    return state.agg(F.count("*").alias("approved"), F.count_if(F.col("cmi_state") == "pending").alias("awaiting_cmi"), F.count_if(F.col("cmi_state") == "created").alias("cmi_created"))
+
+
+def decided(matches: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: (match_id, to_status, expected_status or null), one for a match. Only pending matches change, and none
+    that is not in the expected state. Outcome: decided, stale, not_pending, or null without a request."""
+    both = matches.join(requests, "match_id", "left")
+    outcome = (
+        F.when(F.col("to_status").isNull(), None)
+        .when(F.col("expected_status") != F.col("status"), "stale")
+        .when(F.col("status") != "pending", "not_pending")
+        .otherwise("decided")
+    )
+    both = both.withColumn("outcome", outcome)
+    return both.withColumn("status", F.when(F.col("outcome") == "decided", F.col("to_status")).otherwise(F.col("status"))).drop("to_status", "expected_status")
+
+
+def new_cmis(matches: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(match_id, cmi) for approved matches of materials that are not yet of one cmi: that of a side, or a new code."""
+    side = lambda s: mappings.select(F.col("material_id").alias(s), F.col("cmi").alias(f"cmi_{s}"))
+    both = matches.where("status = 'approved'").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    loose = both.where("cmi_a is null or cmi_b is null")
+    return loose.select("match_id", F.coalesce("cmi_a", "cmi_b", F.concat(F.lit("CMI-"), F.col("match_id").cast("string"))).alias("cmi"))
+
+
+def review_summary(matches: DataFrame, queue: DataFrame) -> DataFrame:
+    """matches: rows of ``in_context``. Counters over the pending ones, and the open queue entries, in one row."""
+    a, b = F.upper(F.trim("manufacturer_a")), F.upper(F.trim("manufacturer_b"))
+    sums = matches.where("status = 'pending'").agg(
+        F.count_if(evidence("decision.state") == "HIGH_CONFIDENCE_MATCH").alias("high_confidence"), F.count_if(listed_in("criticalConflicts")).alias("technical_conflicts"),
+        F.count_if(listed_in("missingCritical")).alias("missing_critical"), F.count_if(evidence("assemblyConfiguration").isNotNull()).alias("assembly_differences"), F.count_if(a != b).alias("cross_brand"),
+    )
+    return queue.where("status = 'open'").agg(F.count("*").alias("open_reviews")).crossJoin(sums)  # one row each
+
+
+def attention(matches: DataFrame, most: int = 3) -> DataFrame:
+    """The pending matches to look at first: critical differences, those of seals before others, then by score."""
+    c = F.col("critical_difference")
+    return matches.where("status = 'pending'").orderBy(c.isNull(), ~F.coalesce(c.startswith("seal"), F.lit(False)), F.desc("final_score"), "match_id").limit(most)

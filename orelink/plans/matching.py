@@ -153,9 +153,9 @@ def e1_binary_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return E.binary(pairs).select("tp", "fp", "tn", "fn")
 
 
-@query("SELECT x.cmi AS group_id, x.material_id AS a, y.material_id AS b FROM materials x JOIN materials y ON x.cmi = y.cmi AND x.material_id < y.material_id AND x.size < 4 AND y.size < 4")
+@query("SELECT x.cmi AS group_id, x.material_id AS a, y.material_id AS b FROM materials x JOIN materials y ON x.cmi = y.cmi AND x.material_id < y.material_id")
 def e2_group_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return E.group_pairs(mart(spark, d, "materials").where("size < 4 and cmi is not null").select(F.col("cmi").alias("group_id"), F.col("material_id").alias("member")))
+    return E.group_pairs(mart(spark, d, "materials").where("cmi is not null").select(F.col("cmi").alias("group_id"), F.col("material_id").alias("member")))
 
 
 _CLASSED = "SELECT CASE WHEN quality = 1 THEN 'MATCH' WHEN doc_id % 2 = 0 THEN 'NEEDS_REVIEW' ELSE 'NOT_A_MATCH' END AS ground_truth, CASE WHEN toxic = 0 THEN 'MATCH' WHEN doc_id % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'NOT_A_MATCH' END AS predicted FROM labels"

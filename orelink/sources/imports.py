@@ -152,6 +152,44 @@ def error_report(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("problems") > 0).select("row_number", "severity", F.array_join(F.transform("problems", lambda p: p["rule"]), "; ").alias("rules"))
 
 
+def duplicate_only() -> Column:
+    """Whether a validated row's errors, one at least, are all duplicates in the file or in store."""
+    errors = F.filter("problems", lambda p: p["severity"] == "ERROR")
+    return (F.size(errors) > 0) & F.forall(errors, lambda p: p["rule"].isin("duplicate_in_database", "duplicate_in_file"))
+
+
+def report_page(checked: DataFrame, number: int, size: int, severity: str | None = None, search: str | None = None) -> DataFrame:
+    """One page (from 1, of 100 rows at most) of validated rows in row order, and the total of all that fit, on every row.
+
+    ``search`` is looked for in every cell and the row number, without regard to case.
+    """
+    cells = ["row_number", "material_code", "description", "category", "uom", "manufacturer", "quantity"]
+    rows = checked if severity is None else checked.where(F.col("severity") == severity)
+    if search:
+        rows = rows.where(F.exists(F.array(*[F.lower(F.col(c).cast("string")) for c in cells]), lambda x: F.coalesce(x.contains(search.lower()), F.lit(False))))
+    size = min(size, 100)
+    return rows.orderBy("row_number").offset((number - 1) * size).limit(size).crossJoin(rows.agg(F.count("*").alias("total")))  # one row
+
+
+def performed(checked: DataFrame, include_warnings: bool = True, duplicates: str = "skip") -> DataFrame:
+    """Every full row with its outcome: inserted, updated (in store already) or skipped."""
+    loaded = importable(checked, include_warnings, duplicates).select("row_number", F.lit(True).alias("_loaded"))
+    outcome = F.when(F.col("_loaded").isNull(), "skipped").when(F.col("severity") == "ERROR", "updated").otherwise("inserted")
+    return checked.where(~F.col("is_empty")).join(loaded, "row_number", "left").withColumn("outcome", outcome).drop("_loaded")
+
+
+def code_collisions(checked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Codes in store whose first row in the file has another description (spaces and case aside).
+
+    stored: material_id, code, description.
+    """
+    plain = lambda c: F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    rows = checked.where(F.exists("problems", lambda p: p["rule"] == "duplicate_in_database")).select("row_number", F.trim("material_code").alias("code"), F.trim("description").alias("file_description"))
+    kept = stored.select("material_id", F.col("code").alias("_code"), F.col("description").alias("stored_description"))
+    first = rows.join(kept, F.upper("code") == F.upper("_code")).groupBy("code", "material_id", "stored_description").agg(F.min_by("file_description", "row_number").alias("file_description"))
+    return first.where((F.col("file_description") != "") & (plain(F.col("file_description")) != plain(F.col("stored_description")))).select("material_id", "code", "file_description", "stored_description")
+
+
 def parsed_date(raw: Column) -> Column:
     """ISO (trailing text allowed) or DD/MM/YYYY, real calendar days only; else null."""
     iso, local = F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1), F.regexp_extract(raw, r"^(\d{2}/\d{2}/\d{4})$", 1)

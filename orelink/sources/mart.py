@@ -44,13 +44,24 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_
     "domain_rules": """SELECT cmi, 'SET' AS from_uom, 'EA' AS to_uom, cast(4 AS bigint) AS factor,
   CASE WHEN length(cmi) % 4 = 0 THEN 'PENDING' WHEN length(cmi) % 4 = 1 THEN 'DISABLED' ELSE 'APPROVED' END AS status FROM (SELECT DISTINCT p_name AS cmi FROM part WHERE p_size <= 25) x""",
     "ledger": """SELECT event_id, cast(ts AS timestamp) AS ts, user_id AS actor, event_type AS action, event_id % 50 AS rule_id, value FROM events""",
+    "matches": """SELECT o_orderkey AS match_id, o_custkey AS a, o_orderkey % 97 + 1 AS b, cast(floor(o_totalprice) AS bigint) % 101 AS final_score,
+  CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status,
+  CASE o_orderkey % 3 WHEN 0 THEN 'identical' WHEN 1 THEN 'near_equivalent' ELSE 'needs_review' END AS match_type, cast(o_orderdate AS date) AS created,
+  CASE o_custkey % 4 WHEN 0 THEN 'seal: RS vs ZZ' WHEN 1 THEN 'voltage: 230 vs 415' END AS critical_difference,
+  '{"decision":{"state":"' || CASE WHEN o_custkey % 4 <= 1 THEN 'TECHNICAL_CONFLICT' WHEN o_orderkey % 5 = 0 THEN 'HIGH_CONFIDENCE_MATCH' ELSE 'NEEDS_TECHNICAL_REVIEW' END
+  || '","band":"' || CASE WHEN o_orderkey % 5 = 0 THEN 'high' WHEN o_orderkey % 5 < 3 THEN 'review' ELSE 'low' END
+  || '"},"criticalConflicts":[' || CASE o_custkey % 4 WHEN 0 THEN '"seal: RS vs ZZ"' WHEN 1 THEN '"voltage: 230 vs 415"' ELSE '' END
+  || '],"missingCritical":[' || CASE WHEN o_custkey % 3 = 0 THEN '"pressure_rating"' ELSE '' END || ']'
+  || CASE WHEN o_custkey % 7 = 0 THEN ',"assemblyConfiguration":"WITH NUT"' ELSE '' END || '}' AS evidence FROM orders""",
+    "review_queue": """SELECT o_orderkey AS match_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'medium' ELSE 'low' END AS priority,
+  CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS status FROM orders WHERE o_orderkey % 2 = 0""",
 }
 
 
 def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One mart table over the Parquet tables in ``sf_dir``."""
     sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if f" {t}" in TABLES[name]}
-    text = TABLES[name]
+    text = TABLES[name].replace("{", "{{").replace("}", "}}")  # JSON braces are no placeholders
     for t in sources:
         text = _named(text, t)
     return spark.sql(text, **sources)
