@@ -12,7 +12,8 @@ run-length compressed keep bitmap: lengths of alternating runs of kept and dropp
 
 Defined cases: a null or empty text is one empty line; empty keys are never frequent; a null doc_id is
 one document of its own; rows that share a doc_id count as one document and each keeps its own bitmap (rows
-of equal text have equal bitmaps); other columns are ignored. Keys are compared by 128 hash bits.
+of equal text have equal bitmaps); other columns stay as they are, but for those named as in ``OWN``, which are
+replaced. Keys are compared by 128 hash bits.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from orelink.llm.common import BLANKS, lower_ascii, texts, written
 
 
+OWN = ("n_lines", "n_dropped", "runs", "kept", "_text", "_lines", "_id", "_body", "_n", "_runs")
+
+
 def split_lines(text):
     return F.split(text, "\n", -1)
 
@@ -37,7 +41,7 @@ def _positions(docs: DataFrame, min_chars: int) -> DataFrame:
     keyed = body.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= max(1, min_chars))
     hashed = written(keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "body", "pos"))  # the range sample reads it too
     ranged = hashed.repartitionByRange("h1", "h2", "doc_id", "body").sortWithinPartitions("h1", "h2", "doc_id", "body", "pos")
-    return ranged.groupBy("h1", "h2", "doc_id", "body").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    return ranged.groupBy("h1", "h2", "doc_id", "body").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # a repeated row repeats its positions
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
@@ -64,6 +68,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` plus n_lines, n_dropped, runs and ``kept``, the text that stays."""
     marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("n_dropped").alias("_n"), F.col("runs").alias("_runs"))
+    docs = docs.drop(*OWN)
     full = docs.select(*docs.columns, F.coalesce("text", F.lit("")).alias("_text"))
     full = full.join(marks, full["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64("_text") == marks["_body"]), "left")
     full = full.withColumn("_lines", split_lines(F.col("_text")))
