@@ -14,7 +14,8 @@ smallest node found there (at most 65 nodes share a word). Components are contra
 
 Defined cases: a null text is empty; a null ``doc_id`` gets a row, links like others, and never names
 a component unless all ids of the component are null (then it is null); rows that repeat stay, one
-result row each; empty tables give empty results; other columns are ignored.
+result row each; empty tables give empty results; other columns are ignored. ``representatives`` keeps one row
+of every component, those without any id included; rows that share a doc_id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -52,12 +53,12 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         marks = np.fromiter(map(fingerprint, as_bytes(b, "text")), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("body"), pa.array(marks.view(np.int64))], ["doc_id", "body", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document; ``fp`` holds the 64 bits as a signed long."""
-    return texts(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, body, fp): one row per document; ``fp`` holds the 64 bits as a signed long, ``body`` a hash of the text."""
+    return texts(docs).withColumn("body", F.xxhash64("text")).mapInArrow(_fingerprints, "doc_id long, body long, fp long")
 
 
 def cover_masks() -> list[int]:
@@ -123,24 +124,31 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, body, fp, root, component_id): ``root`` is a fingerprint that stands for the component."""
     marks = written(fingerprints(docs))
     nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes))
     rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     ids = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = written(rooted.join(ids, "root").select("fp", "component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(ids, "root").select("fp", "root", "component_id"))
+    return marks.join(named, "fp").select("doc_id", "body", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    return _grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each component: that of its smallest doc_id.
+    """``docs`` with one row for each component: that of its smallest doc_id, of its smallest text hash among equals.
 
-    A doc_id on several rows keeps one of them;
-    rows without a doc_id name no component and are not kept.
+    Columns named like ``key`` below are not kept.
     """
-    groups = near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    key = ["_rep_id", "_rep_null", "_rep_body"]  # no null among them, so that the join and the grouping share a shuffle
+    named = lambda doc_id, body: (F.coalesce(doc_id, F.lit(0)).alias(key[0]), doc_id.isNull().alias(key[1]), body.alias(key[2]))
+    least = _grouped(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body")).alias("r"))
+    keep = written(least.select(*named(F.col("r.doc_id"), F.col("r.body"))))
+    docs = docs.drop(*key)
+    keyed = docs.select(*docs.columns, *named(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    return keyed.join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)
