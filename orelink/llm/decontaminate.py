@@ -12,7 +12,7 @@ Scale: documents never shuffle. Benchmark items go to the tasks in blocks of at
 
 Defined cases: null and empty texts match nothing; items under ``MIN_TILE`` words match where their whole
 word sequence occurs; rows that repeat give repeated rows, repeated item texts match each; a null doc_id or
-item_id keeps its row; other columns are ignored.
+item_id keeps its row; other columns are ignored. ``clean`` judges each row by its own text, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelink.llm.common import as_bytes, texts
+from orelink.llm.common import as_bytes, texts, written
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -167,3 +168,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_covered, n_tiles, coverage) for each contaminated document and item."""
     parts = [_scan(docs, block) for block in _blocks(benchmark)] or [_scan(docs, [])]
     return reduce(DataFrame.unionByName, parts).withColumn("coverage", F.col("n_covered") / F.col("n_words"))
+
+
+def _rest(docs: DataFrame, block: list[tuple[int | None, bytes]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shared.value)
+        for b in batches:
+            whole = pa.compute.fill_null(b.column("text"), "").cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array([next(items.matches(t), None) is None for t in whole], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that some item contaminates: one narrow pass for each block of items, no shuffle."""
+    for k, block in enumerate(_blocks(benchmark)):
+        docs = _rest(written(docs) if k else docs, block)
+    return docs

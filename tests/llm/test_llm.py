@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from orelink.llm import bpe, chat, decontaminate, line_dedup, quality_pu, quality_rules, simhash, suffix_dedup, toxicity, url_filters
 from orelink.llm.queries import OP10_SQL, TOKENIZER
@@ -87,9 +88,19 @@ def test_components_of_chains(spark):
 
 
 def test_representatives(spark, corpus):
-    kept = simhash.representatives(frame(spark, corpus))
+    rows = [*corpus, (None, "only nulls here " * 30), (None, "only nulls here " * 30), (7, "another text of document seven " * 20)]
+    kept = simhash.representatives(frame(spark, rows))
     ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and 100 in ids and 101 not in ids and kept.columns == frame(spark, []).columns
+    assert 100 in ids and 101 not in ids and kept.columns == frame(spark, []).columns
+    marks = [(i, simhash.fingerprint((t or "").encode())) for i, t in rows]
+    group = list(range(len(rows)))
+    for _ in range(8):
+        group = [min(group[j] for j in range(len(rows)) if (marks[i][1] ^ marks[j][1]).bit_count() <= 2) for i in range(len(rows))]
+    least = {}
+    for (i, _), g in zip(marks, group):
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    assert collections.Counter(None if n else i for n, i in least.values()) == collections.Counter(ids)
+    assert simhash.representatives(frame(spark, [])).count() == 0
 
 
 def test_suffix_dedup_matches_brute_force(spark, corpus):
@@ -143,6 +154,9 @@ def test_line_dedup_edges(spark, corpus):
     assert [(r.n_lines, r.kept) for r in got if r.doc_id == 500] == [(1, "")]
     runs = next(r for r in got if r.doc_id == 401)
     assert runs.runs == [0, 2] and runs.n_dropped == 2
+    twice = [*corpus, *[(700, "x\ncommon line\ny\nz")] * 3]
+    got = [r for r in line_dedup.dedup_lines(frame(spark, twice).withColumn("kept", F.lit("clash")).withColumn("_text", F.lit(1))).collect() if r.doc_id == 700]
+    assert [(r.kept, r.n_dropped, r.runs) for r in got] == [("x\ny\nz", 1, [1, 1])] * 3
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
@@ -169,6 +183,8 @@ def test_quality_rules(spark, corpus):
         for r in got[i]:
             assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
             assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
+    clash = quality_rules.judge_texts(frame(spark, rows).withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit("clash")), labels)
+    assert clash.where("kept").count() == sum(r.kept for found in got.values() for r in found)
     assert not got[702][0].kept and quality_rules.judge(frame(spark, []), labels).count() == 0
 
 
@@ -179,7 +195,7 @@ def test_log_ratio_matches_plain_counts(spark):
     assert sums[0, bucket(b"abcd")] == 2 and sums[1, bucket(b"abcd")] == 1 and sums[0, bucket(b"bcdz")] == 1 and sums[0].sum() == 4
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(2)
     words = lambda n: [f"t{rng.randrange(5000)}" for _ in range(n)]
     item = words(40)
@@ -191,6 +207,11 @@ def test_decontamination(spark):
     got = sorted((r.doc_id or -1, r.item_id, r.n_covered, r.n_tiles) for r in decontaminate.contaminated(frame(spark, rows), items).collect())
     assert got == [(-1, 10, 40, 1), (1, 10, 40, 1), (1, 10, 40, 1), (2, 10, 40, 2), (7, 10, 40, 1), (8, 11, 2, 1), (9, 13, 7, 1)]
     assert decontaminate.contaminated(frame(spark, rows), items.limit(0)).count() == 0
+    for size in (500_000, 1):  # one block, and one for each item
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
+        left = decontaminate.clean(frame(spark, rows), items)
+        assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6] and left.columns == frame(spark, []).columns
+    assert decontaminate.clean(frame(spark, rows), items.limit(0)).count() == len(rows) and decontaminate.clean(frame(spark, []), items).count() == 0
 
 
 def test_tiling_matches_brute_force():
