@@ -20,7 +20,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Set
 from functools import cache
 
 import duckdb
@@ -34,6 +34,7 @@ from orelink.llm.common import texts
 CACHE = 400_000
 LONG_WORD = 256
 BATCH_BYTES = 400_000
+GROUP_CHARS = 4_000_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 CONTRACT = """
@@ -129,7 +130,7 @@ class Codec:
                     heapq.heappush(heap, (again, k, 0))
         return [t for t in ids if t is not None]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Set[str]) -> None:
         """Encode the words not known yet, in recursive queries over at most BATCH_BYTES bytes or one word."""
         if len(self.ids) > CACHE:
             self.ids.clear(), self.data.clear()
@@ -151,16 +152,15 @@ class Codec:
 
     def split(self, texts: list[str]) -> Iterator[list[list[str]]]:
         """The words of the texts, in groups of texts whose words are all known when they are given out."""
-        group, new, size = [], set(), 0
+        group, new, size = [], {}, 0
         for i, t in enumerate(texts):
             words = self.find(t)
-            group.append(words)
-            new.update(words)
+            group.append(list(map(new.setdefault, words, words)))  # one object for each distinct word
             size += len(t)
-            if size > 8_000_000 or i == len(texts) - 1:
-                self.learn(new)
+            if size > GROUP_CHARS or i == len(texts) - 1:
+                self.learn(new.keys())
                 yield group
-                group, new, size = [], set(), 0
+                group, new, size = [], {}, 0
 
     def decode(self, lists: list[list[int]]) -> list[bytes]:
         """The bytes of each id list, by ordered aggregation."""
