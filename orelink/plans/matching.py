@@ -83,19 +83,33 @@ def k8_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.candidate_pairs(rows, 3)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _features(spark, d).persist()
-    return M.surviving(M.score_pairs(M.candidate_pairs(rows, 3), rows))
+@query(f"""WITH k AS (SELECT material_id, org_id, category, unnest({_WORDS}) AS token FROM materials)
+SELECT a.material_id AS a, b.material_id AS b, count(*) AS shared FROM k a JOIN k b ON a.category = b.category AND a.token = b.token AND a.material_id < b.material_id AND a.org_id <> b.org_id GROUP BY ALL""")
+def k8_all_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = mart(spark, d, "materials").withColumn("keys", S.distinctive_tokens(F.col("description")))
+    return M.candidate_pairs(rows)
+
+
+_SIGNALS = ["material_id_a", "material_id_b", "semantic", "fuzzy", "technical", "final_score", "match_type", "decision", "band"]
+
+
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Surviving pairs of classes, and the members of the classes."""
+    rows, members = M.classes(mart(spark, d, "materials").select("material_id", "org_id", "code", "description", "manufacturer"))
+    rows = M.features(rows).persist()
+    return M.surviving(M.by_makers(M.score_pairs(M.class_pairs(rows), rows))).select(*_SIGNALS, "differ"), members
 
 
 @query()
 def k20_match_run(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("material_id_a", "material_id_b", "semantic", "fuzzy", "technical", "final_score", "match_type", "decision", "band")
+    return M.member_pairs(*_scored(spark, d))
 
 
 @query()
 def w2_match_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).groupBy("decision", "match_type").agg(F.count("*").alias("pairs"), F.avg("final_score").alias("mean_score"))
+    pairs = M.counted_pairs(*_scored(spark, d))
+    mean = F.sum(F.col("final_score") * F.col("pairs")) / F.sum("pairs")
+    return pairs.groupBy("decision", "match_type").agg(F.sum("pairs").alias("pairs"), mean.alias("mean_score"))
 
 
 @query()
