@@ -8,11 +8,11 @@ compared, and a match is extended to the right and left. Matches of ``PASSAGE``
 document are kept, and overlapping ones of a document merge into spans.
 
 A neighbour in this order shares most words to the right, but another suffix may share fewer to the right and more
-to the left. So suffixes that no neighbour settles send their gram to a second step: every member of that gram
+to the left. So a suffix is settled only if its matches reach as far as LEFT and RIGHT words or its text go, or if
+its gram has two members and they met. Any other sends its gram to a second step: every member of that gram
 hashes its windows of ``PASSAGE`` words around the position, and windows found in two documents are matches.
 This also covers the first and last suffix of each sorted partition and neighbours in one document. Hence:
-every span's words lie in passages of ``PASSAGE`` words that another document has as well, and each document
-with such a passage has a span over it.
+the spans cover exactly the words that lie in passages of ``PASSAGE`` words that another document has as well.
 
 Scale: about 2 / (WINDOW + 1) of the positions are rows of 20 bytes; only the retained ones that occur in two
 documents carry their surrounding words. The sort is by range over (gram, words, document, position), so a
@@ -123,14 +123,14 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare sorted neighbours; a row for each suffix: its span (first, last), or its gram alone if none settles it."""
-    held = None  # the last row so far: gram, around, doc, body, pos, first, last
+    """Compare sorted neighbours; a row for each suffix: its span (first, last), its gram unless the span is maximal, and whether it met a neighbour of its gram."""
+    held = None  # the last row so far: gram, around, doc, body, pos, first, last, met
 
-    def settled(gram, doc, body, pos, first, last):
-        done = last - first >= PASSAGE
+    def settled(gram, around, doc, body, pos, first, last, met):
+        done = (pos - first == (around[:, RIGHT:] != 0).sum(axis=1)) & (last - pos == (around[:, :RIGHT] != 0).sum(axis=1))
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc, mask=doc == _NULL_ID), pa.array(body), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(gram, mask=done)],
-            ["doc_id", "body", "first", "last", "gram"],
+            [pa.array(doc, mask=doc == _NULL_ID), pa.array(body), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(gram, mask=done & (last - first >= PASSAGE)), pa.array(met)],
+            ["doc_id", "body", "first", "last", "gram", "met"],
         )
 
     for b in batches:
@@ -139,18 +139,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, around = b.column("gram").to_numpy(), _matrix(b.column("around"))
         doc, body = b.column("doc_id").fill_null(_NULL_ID).to_numpy(), b.column("body").to_numpy()
         pos = b.column("pos").to_numpy().astype(np.int64)
-        first, last = pos.copy(), pos.copy()
+        first, last, met = pos.copy(), pos.copy(), np.zeros(len(pos), bool)
         if held is not None:
-            gram, around, doc, body, pos, first, last = (np.concatenate([h, x]) for h, x in zip(held, (gram, around, doc, body, pos, first, last)))
+            gram, around, doc, body, pos, first, last, met = (np.concatenate([h, x]) for h, x in zip(held, (gram, around, doc, body, pos, first, last, met)))
         right, left = _shared(around[:-1, :RIGHT], around[1:, :RIGHT]), _shared(around[:-1, RIGHT:], around[1:, RIGHT:])
-        match = (gram[:-1] == gram[1:]) & (doc[:-1] != doc[1:]) & (right + left >= PASSAGE)
+        same = gram[:-1] == gram[1:]
+        match = same & (doc[:-1] != doc[1:]) & (right + left >= PASSAGE)
         for rows in (slice(None, -1), slice(1, None)):
             first[rows] = np.where(match, np.minimum(first[rows], pos[rows] - left), first[rows])
             last[rows] = np.where(match, np.maximum(last[rows], pos[rows] + right), last[rows])
-        yield settled(*(x[:-1] for x in (gram, doc, body, pos, first, last)))
-        held = tuple(x[-1:] for x in (gram, around, doc, body, pos, first, last))
+            met[rows] |= same
+        yield settled(*(x[:-1] for x in (gram, around, doc, body, pos, first, last, met)))
+        held = tuple(x[-1:] for x in (gram, around, doc, body, pos, first, last, met))
     if held is not None:
-        yield settled(*(held[i] for i in (0, 2, 3, 4, 5, 6)))
+        yield settled(*held)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     full = texts(docs).withColumn("body", F.xxhash64("text"))
     held = written(full.mapInArrow(_retain, "gram long, doc_id long, body long, pos int"))
     other = F.coalesce(F.min("doc_id") != F.max("doc_id"), F.lit(False)) | ((F.count("doc_id") > 0) & (F.count("doc_id") < F.count("*")))
-    grams = written(held.groupBy("gram").agg(other.alias("two")).where("two").select("gram"))
+    grams = written(held.groupBy("gram").agg(other.alias("two"), (F.count("*") > 2).alias("many")).where("two").select("gram", "many"))
 
     def around(places: DataFrame) -> DataFrame:
         """The suffixes at (doc_id, body, pos) with the words around them."""
@@ -185,12 +187,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     kept = held.join(grams, "gram").select("doc_id", "body", "pos", "gram")
     order = ["gram", "around", "doc_id", "body", "pos"]
-    compared = written(around(kept).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "doc_id long, body long, first int, last int, gram long"))
-    unsettled = written(compared.where("gram is not null").select("gram").distinct())
+    compared = written(around(kept).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "doc_id long, body long, first int, last int, gram long, met boolean"))
+    unsettled = compared.where("gram is not null").groupBy("gram").agg(F.min("met").alias("met")).join(grams, "gram")
+    unsettled = written(unsettled.where("many or not met").select("gram"))
     windows = written(around(held.join(unsettled, "gram").select("doc_id", "body", "pos", "gram")).mapInArrow(_windows, "h long, doc_id long, body long, first int"))
     twice = written(windows.groupBy("h").agg(other.alias("two")).where("two").select("h"))
     more = windows.join(twice, "h").select("doc_id", "body", "first", (F.col("first") + PASSAGE).alias("last"))
-    return _merged(compared.where("gram is null").select("doc_id", "body", "first", "last").unionByName(more))
+    return _merged(compared.where(F.col("last") - F.col("first") >= PASSAGE).select("doc_id", "body", "first", "last").unionByName(more))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
