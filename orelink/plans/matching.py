@@ -71,6 +71,15 @@ def k4_cosine(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", F.round(S.cosine_dense(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id""")
+def k4_cosine_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    pairs = asked.crossJoin(rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))).where("a <> b")
+    return pairs.select("a", "b", F.round(S.cosine_dense(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
 @query(f"SELECT material_id, list_sort({_WORDS}) AS keys FROM materials")
 def k7_distinctive_tokens(spark: SparkSession, d: str) -> DataFrame:
     return mart(spark, d, "materials").select("material_id", F.array_sort(S.distinctive_tokens(F.col("description"))).alias("keys"))
