@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session without one (tests) gets a folder of its own."""
+    """The folder that all executors share, ``spark.checkpoint.dir``. Only a local session without one (tests) gets a folder of its own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="orelink-")
     atexit.register(shutil.rmtree, own, True)
     spark.conf.set("spark.checkpoint.dir", own)
@@ -40,11 +42,28 @@ def written(df: DataFrame) -> DataFrame:
     return again
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._orelink_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._orelink_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT_SHARE = 1000
+
+
+def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, one row a key, whose column ``_rows`` counts the key's rows; it is not kept.
+
+    Keys of more than a ``HOT_SHARE``-th of these rows are fewer than ``HOT_SHARE`` in number: they are broadcast, and their
+    rows stay where they are. So no key in the shuffle holds more than that share.
+    """
+    total = keys.agg(F.sum("_rows").alias("n")).first()["n"] or 0
+    is_hot = F.col("_rows") * HOT_SHARE > total
+    hot = F.broadcast(keys.where(is_hot).drop("_rows").withColumn("_hot", F.lit(True)))
+    marked = rows.join(F.broadcast(keys.where(is_hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
+    stay = rows.join(hot, on).drop("_hot")
+    return stay.unionByName(marked.where("_hot is null").drop("_hot").join(keys.where(~is_hot).drop("_rows"), on))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -10,10 +10,13 @@ includes the document, so a line that a third of all documents share spreads ove
 per key are then counted with map-side partial sums. Only positions travel from there on. The result is a
 run-length compressed keep bitmap: lengths of alternating runs of kept and dropped lines, kept first.
 
-Defined cases: a null or empty text is one empty line; empty keys are never frequent; a null doc_id is
-one document of its own; rows that share a doc_id count as one document and each keeps its own bitmap (rows
-of equal text have equal bitmaps); other columns stay as they are, but for those named as in ``OWN``, which are
-replaced. Keys are compared by 128 hash bits.
+Keys that hold more than a thousandth of the rows are joined by broadcast (``common.keyed_join``).
+
+Defined cases: a null or empty text is one empty line; empty keys are never frequent; rows of a null doc_id count
+as no document, but lose frequent lines; rows that share a doc_id count as one document and each keeps its own
+bitmap (rows of equal text have equal bitmaps); a text of any length is one row, a line of any length one key; with
+``keep_first`` the first line is that of the smallest doc_id, then position; an empty table gives none; other columns
+stay as they are, but for those named as in ``OWN``, which are replaced. Keys are compared by 128 hash bits.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelink.llm.common import BLANKS, lower_ascii, texts, written
+from orelink.llm.common import BLANKS, dropped, keyed_join, lower_ascii, texts, written
 
 
 OWN = ("n_lines", "n_dropped", "runs", "kept", "_text", "_lines", "_id", "_body", "_n", "_runs")
@@ -41,15 +44,18 @@ def _positions(docs: DataFrame, min_chars: int) -> DataFrame:
     keyed = body.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= max(1, min_chars))
     hashed = written(keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "body", "pos"))  # the range sample reads it too
     ranged = hashed.repartitionByRange("h1", "h2", "doc_id", "body").sortWithinPartitions("h1", "h2", "doc_id", "body", "pos")
-    return ranged.groupBy("h1", "h2", "doc_id", "body").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # a repeated row repeats its positions
+    lines = written(ranged.groupBy("h1", "h2", "doc_id", "body").agg(F.sort_array(F.collect_set("pos")).alias("at")))  # a repeated row repeats its positions
+    dropped(hashed)
+    return lines
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc_id, body, n_dropped, runs) for the documents that lose a line; ``body`` is xxhash64 of the text."""
-    lines = written(_positions(docs, min_chars))
-    held = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
-    frequent = written(held.agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs))
-    hit = lines.join(frequent, ["h1", "h2"])
+    lines = _positions(docs, min_chars)
+    per_doc = lines.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
+    held = per_doc.groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.sum("n").alias("_rows"))
+    frequent = written(held.where(F.col("n_docs") >= min_docs).drop("n_docs"))
+    hit = keyed_join(lines, frequent, ["h1", "h2"])
     if keep_first:
         rest = F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
         hit = hit.withColumn("at", rest).where(F.size("at") > 0)
@@ -62,7 +68,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     )
     ends = F.col("ends")
     runs = F.flatten(F.transform("starts", lambda s, i: F.array(s - F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1), F.get(ends, i) - s + 1)))
-    return edges.select("doc_id", "body", "n_dropped", runs.alias("runs"))
+    bitmaps = written(edges.select("doc_id", "body", "n_dropped", runs.alias("runs")))
+    dropped(lines, frequent)
+    return bitmaps
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
