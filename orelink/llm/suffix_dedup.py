@@ -14,13 +14,19 @@ hashes its windows of ``PASSAGE`` words around the position, and windows found i
 This also covers the first and last suffix of each sorted partition and neighbours in one document. Hence:
 the spans cover exactly the words that lie in passages of ``PASSAGE`` words that another document has as well.
 
+A match longer than LEFT and RIGHT words is not followed beyond them: every ``PASSAGE`` words of a passage hold a retained
+position of their own, whose spans overlap and merge, so passages of any length are covered whole. Words are
+compared by 31 bits of a hash each, 50 of them in a row at least; windows of the second step by 64 bits.
+
 Scale: about 2 / (WINDOW + 1) of the positions are rows of 20 bytes; only the retained ones that occur in two
-documents carry their surrounding words. The sort is by range over (gram, words, document, position), so a
-passage in a third of all documents spreads over tasks; nothing is gathered by gram or by passage.
+documents carry their surrounding words. Texts shuffle once, by document. The sort is by range over (gram, leading words,
+document, position), so a passage in a third of all documents spreads over tasks; grams and windows of more than a
+thousandth of the rows are joined by broadcast (``common.keyed_join``). Only the result's table stays.
 
 Defined cases: null and empty texts, and texts under ``PASSAGE`` words, have no spans; rows that share a
 doc_id are one document (repeats among them do not count), each with its own spans, equal rows give one
-set; null doc_ids count as one document; other columns are ignored.
+set; null doc_ids count as one document; ties, passages found at several places or in several documents, are all
+covered; an empty table has no spans; a text of any length is read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orelink.llm.common import as_bytes, texts, written
+from orelink.llm.common import as_bytes, dropped, keyed_join, texts, written
 
 PASSAGE = 50
 GRAM = 25
@@ -177,23 +183,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     full = texts(docs).withColumn("body", F.xxhash64("text"))
     held = written(full.mapInArrow(_retain, "gram long, doc_id long, body long, pos int"))
     other = F.coalesce(F.min("doc_id") != F.max("doc_id"), F.lit(False)) | ((F.count("doc_id") > 0) & (F.count("doc_id") < F.count("*")))
-    grams = written(held.groupBy("gram").agg(other.alias("two"), (F.count("*") > 2).alias("many")).where("two").select("gram", "many"))
-
-    def around(places: DataFrame) -> DataFrame:
-        """The suffixes at (doc_id, body, pos) with the words around them."""
-        lists = places.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("places")).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "places")
-        joined = full.join(lists, full["doc_id"].eqNullSafe(lists["_id"]) & (full["body"] == lists["_body"]))
-        return joined.select("doc_id", "body", "text", "places").mapInArrow(_around, _AROUND)
-
-    kept = held.join(grams, "gram").select("doc_id", "body", "pos", "gram")
-    order = ["gram", "around", "doc_id", "body", "pos"]
-    compared = written(around(kept).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "doc_id long, body long, first int, last int, gram long, met boolean"))
+    grams = written(held.groupBy("gram").agg(other.alias("two"), F.count("*").alias("_rows")).where("two").select("gram", "_rows"))
+
+    kept = keyed_join(held, grams, ["gram"]).select("doc_id", "body", "pos")
+    lists = kept.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("places")).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "places")
+    joined = full.join(lists, full["doc_id"].eqNullSafe(lists["_id"]) & (full["body"] == lists["_body"]))
+    rows = written(joined.select("doc_id", "body", "text", "places").mapInArrow(_around, _AROUND))  # the only shuffle of text; the range sample reads it too
+    dropped(held)
+    near = F.substring("around", 1, 16)  # the leading words, in the order of all of them
+    dealt = rows.repartitionByRange("gram", near, "doc_id", "body", "pos").sortWithinPartitions("gram", "around", "doc_id", "body", "pos")
+    compared = written(dealt.mapInArrow(_neighbours, "doc_id long, body long, first int, last int, gram long, met boolean"))
     unsettled = compared.where("gram is not null").groupBy("gram").agg(F.min("met").alias("met")).join(grams, "gram")
-    unsettled = written(unsettled.where("many or not met").select("gram"))
-    windows = written(around(held.join(unsettled, "gram").select("doc_id", "body", "pos", "gram")).mapInArrow(_windows, "h long, doc_id long, body long, first int"))
-    twice = written(windows.groupBy("h").agg(other.alias("two")).where("two").select("h"))
-    more = windows.join(twice, "h").select("doc_id", "body", "first", (F.col("first") + PASSAGE).alias("last"))
-    return _merged(compared.where(F.col("last") - F.col("first") >= PASSAGE).select("doc_id", "body", "first", "last").unionByName(more))
+    unsettled = written(unsettled.where("_rows > 2 or not met").select("gram", "_rows"))
+    windows = written(keyed_join(rows, unsettled, ["gram"]).select("doc_id", "body", "pos", "around").mapInArrow(_windows, "h long, doc_id long, body long, first int"))
+    dropped(rows, grams, unsettled)
+    twice = written(windows.groupBy("h").agg(other.alias("two"), F.count("*").alias("_rows")).where("two").select("h", "_rows"))
+    more = keyed_join(windows, twice, ["h"]).select("doc_id", "body", "first", (F.col("first") + PASSAGE).alias("last"))
+    spans = written(_merged(compared.where(F.col("last") - F.col("first") >= PASSAGE).select("doc_id", "body", "first", "last").unionByName(more)))
+    dropped(compared, windows, twice)
+    return spans
 
 
 def _merged(spans: DataFrame) -> DataFrame:
