@@ -7,10 +7,10 @@ non-zero vector ``m(i)`` of GF(2)^3 and mask ``v`` holds the bits with ``<m(i),
 differing bits leave a non-zero ``v`` orthogonal to both, so the pair agrees under mask ``v``.
 
 Scale: equal fingerprints collapse (with map-side partial aggregation) before anything is joined, so
-a group of exact copies is one node. Buckets of at most ``PAIR_BUCKET`` nodes compare their pairs.
-Larger buckets are handled exactly without pairs: two fingerprints are within two bits just when
-both are within one bit of a common word, so each such node goes to its 65 words and links to the
-smallest node found there (at most 65 nodes share a word). Components are contracted in rounds.
+a group of exact copies is one node. Buckets of at most ``PAIR_BUCKET`` nodes compare their pairs. In a larger bucket
+two nodes can only differ in the bits that its mask leaves out, so seven masks over these bits split it, and once more
+where that is not enough: 28 bits are left out at first, then 12, then 6, so that at the third level a bucket holds 64
+nodes at most. Components are contracted in rounds; fingerprints of more than a thousandth of the rows are joined by broadcast.
 
 Defined cases: a null text is empty; a null ``doc_id`` gets a row, links like others, and never names
 a component unless all ids of the component are null (then it is null); rows that repeat stay, one
@@ -21,6 +21,7 @@ of every component, those without any id included; rows that share a doc_id are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelink.llm.common import as_bytes, dropped, texts, written
+from orelink.llm.common import as_bytes, dropped, keyed_join, texts, written
 
 RADIUS = 2
 BITS = 64
-PAIR_BUCKET = 8
+PAIR_BUCKET = 32
+LEVELS = 3
 SHINGLE = 3
 
 
@@ -61,39 +63,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("body", F.xxhash64("text")).mapInArrow(_fingerprints, "doc_id long, body long, fp long")
 
 
-def cover_masks() -> list[int]:
-    """The 2^(RADIUS+1) - 1 masks as signed longs."""
-    masks = []
-    for v in range(1, 2 ** (RADIUS + 1)):
-        mask = sum(1 << i for i in range(BITS) if ((i % 7 + 1) & v).bit_count() % 2)
-        masks.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
-    return masks
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def split_masks(bits: list[int]) -> list[list[int]]:
+    """For each non-zero v of GF(2)^3 the bits among ``bits`` that its mask holds; two bits of ``bits`` are both left out by some v."""
+    return [[b for j, b in enumerate(bits) if ((j % 7 + 1) & v).bit_count() % 2] for v in range(1, 2 ** (RADIUS + 1))]
+
+
+def mask_tree() -> list[list[int]]:
+    """The masks of each level as signed longs: 7, 49 and 343, child k of mask m at 7 * m + k; a child's mask includes its parent's."""
+    levels, held = [], [[]]
+    for _ in range(LEVELS):
+        held = [h + more for h in held for more in split_masks([b for b in range(BITS) if b not in h])]
+        levels.append([_signed(sum(1 << b for b in h)) for h in held])
+    return levels
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(u, v): links among the distinct fingerprints ``fp`` of ``nodes``, enough to connect every pair within the radius."""
-    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(cover_masks())])
-    keyed = nodes.select("fp", F.explode(masks).alias("k")).select("fp", "k.*")
-    shared = keyed.groupBy("mask", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keyed.join(written(shared), ["mask", "key"]))
-    small = (
-        members.where(F.col("size") <= PAIR_BUCKET)
-        .groupBy("mask", "key")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .select(F.explode("fps").alias("u"), "fps")
-        .select("u", F.explode("fps").alias("v"))
-        .where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS))
-    )
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << BITS if i == BITS - 1 else 0))) for i in range(BITS)])
-    near = members.where(F.col("size") > PAIR_BUCKET).select("fp").distinct().select("fp", F.explode(around).alias("word"))
-    large = (
-        near.groupBy("word")
-        .agg(F.collect_list("fp").alias("fps"))  # at most 65 fingerprints lie within one bit of a word
-        .where(F.size("fps") > 1)
-        .select(F.array_min("fps").alias("u"), F.explode("fps").alias("v"))
-        .where("u < v")
-    )
-    return small.unionByName(large).distinct()
+    """(u, v): the pairs of distinct fingerprints ``fp`` of ``nodes`` within the radius, u < v."""
+    tables, found = [], []
+    left = nodes.select("fp", F.lit(0).alias("mask"))
+    for level, masks in enumerate(mask_tree()):
+        cover = F.array(*[F.lit(m) for m in masks])
+        children = F.transform(F.sequence(F.col("mask") * 7, F.col("mask") * 7 + 6), lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(F.get(cover, m)).alias("key")))
+        keyed = left.select("fp", F.explode(children).alias("k")).select("fp", "k.*").distinct()
+        shared = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("size")).where("size > 1"))
+        members = written(keyed.join(shared, ["mask", "key"]))
+        small = members if level == LEVELS - 1 else members.where(F.col("size") <= PAIR_BUCKET)
+        pairs = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select(F.explode("fps").alias("u"), "fps").select("u", F.explode("fps").alias("v"))  # PAIR_BUCKET or 64 at most
+        found.append(pairs.where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)))
+        left = members.where(F.col("size") > PAIR_BUCKET).select("fp", "mask")
+        tables += [shared, members]
+        if left.isEmpty():
+            break
+    edges = written(reduce(DataFrame.unionByName, found).distinct())
+    dropped(*tables)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -115,24 +122,31 @@ def components(edges: DataFrame) -> DataFrame:
         moved = written(moved.join(step.select(F.col("u").alias("v"), F.col("to").alias("nv")), "v").where("nu <> nv").select(F.col("nu").alias("u"), F.col("nv").alias("v")).distinct())
         if roots is None:
             new = step.select(F.col("u").alias("node"), F.col("to").alias("root"))
+            new._orelink_path = step._orelink_path
         else:
             new = written(roots.join(step, roots["root"] == step["u"], "left").select("node", F.coalesce("to", "root").alias("root")))
+            dropped(roots, step)
         dropped(edges)
         edges, roots, rounds = moved, new, rounds + 1
     if roots is None:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        roots._orelink_path = edges._orelink_path
+    else:
+        dropped(edges)
     return roots
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, body, fp, root, component_id): ``root`` is a fingerprint that stands for the component."""
     marks = written(fingerprints(docs))
-    nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes))
-    rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    ids = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = written(rooted.join(ids, "root").select("fp", "root", "component_id"))
-    return marks.join(named, "fp").select("doc_id", "body", "fp", "root", "component_id")
+    nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_rows")))
+    edges = links(nodes)
+    roots = components(edges)
+    rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "_rows", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(rooted.join(ids, "root").select("fp", "root", "component_id", "_rows"))
+    dropped(nodes, edges, roots, rooted)
+    return keyed_join(marks, named, ["fp"]).select("doc_id", "body", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -143,6 +157,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each component: that of its smallest doc_id, of its smallest text hash among equals.
 
+    Rows that agree in both are one row if all their columns agree; else that of the least columns in order stays.
     Columns named like ``key`` below are not kept.
     """
     key = ["_rep_id", "_rep_null", "_rep_body"]  # no null among them, so that the join and the grouping share a shuffle
@@ -151,4 +166,4 @@ def representatives(docs: DataFrame) -> DataFrame:
     keep = written(least.select(*named(F.col("r.doc_id"), F.col("r.body"))))
     docs = docs.drop(*key)
     keyed = docs.select(*docs.columns, *named(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    return keyed.join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return keyed.join(keep, key, "left_semi").groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))).alias("r")).select("r.*")

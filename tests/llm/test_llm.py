@@ -36,7 +36,7 @@ def corpus():
     return rows
 
 
-def test_simhash_matches_brute_force(spark, corpus, monkeypatch):
+def test_simhash_matches_brute_force(spark, corpus):
     want_fp = [simhash.fingerprint((t or "").encode()) for _, t in corpus]
     ids = [i for i, _ in corpus]
     parent = list(range(len(corpus)))
@@ -55,19 +55,37 @@ def test_simhash_matches_brute_force(spark, corpus, monkeypatch):
         if d is not None:
             least[root(i)] = min(d, least.get(root(i), d))
     want = collections.Counter((d, f, least.get(root(i))) for i, (d, f) in enumerate(zip(ids, want_fp)))
-    for bucket in (8, 1):  # both ways for buckets
-        monkeypatch.setattr(simhash, "PAIR_BUCKET", bucket)
-        got = simhash.near_duplicates(frame(spark, corpus)).collect()
-        assert collections.Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == want
+    got = simhash.near_duplicates(frame(spark, corpus)).collect()
+    assert collections.Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == want
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_cover_masks():
-    masks = [m % 2**64 for m in simhash.cover_masks()]
-    assert len(masks) == 7
+def test_mask_tree_covers_every_pair():
+    """At each level some mask holds none of the two bits in which a pair differs, and the last level leaves six bits at most."""
+    tree = [[m % 2**64 for m in level] for level in simhash.mask_tree()]
+    assert [len(x) for x in tree] == [7, 49, 343]
+    assert max(64 - m.bit_count() for m in tree[-1]) <= 6
     for i in range(64):
-        for j in range(64):
-            assert any(not m & (1 << i | 1 << j) for m in masks)
+        for j in range(i + 1):
+            pair = 1 << i | 1 << j
+            alive = [0]
+            for level in tree:
+                alive = [7 * m + k for m in alive for k in range(7) if not level[7 * m + k] & pair]
+                assert alive
+            assert all(not tree[0][m // 49] & ~tree[2][m] for m in range(0, 343, 17))
+
+
+def test_simhash_links_of_dense_buckets(spark, monkeypatch):
+    """Fingerprints that differ in few bits fill buckets at every level; links are those of brute force."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(20)) for _ in range(150)} | {rng.getrandbits(64) for _ in range(20)})
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    want = {tuple(sorted((signed(a), signed(b)))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    for bucket in (32, 1):
+        monkeypatch.setattr(simhash, "PAIR_BUCKET", bucket)
+        assert sorted(map(tuple, simhash.links(nodes).collect())) == sorted(want)
 
 
 def test_fingerprint_definition():
@@ -118,8 +136,7 @@ def test_suffix_dedup_matches_brute_force(spark, corpus):
     found = collections.defaultdict(set)
     for r in suffix_dedup.repeated_spans(frame(spark, corpus)).collect():
         found[r.doc_id].update(range(r.first, r.last))
-    assert set(found) == set(covered)
-    assert all(found[i] <= covered[i] for i in found)
+    assert found == covered
     assert suffix_dedup.repeated_spans(frame(spark, [])).count() == 0
 
 
@@ -137,6 +154,7 @@ def test_line_dedup_matches_sql(spark, corpus, tmp_path):
     import duckdb
 
     rows = list({i: (i, t) for i, t in corpus if i is not None}.values())
+    rows += [(900 + k, "nine lines\nmine") for k in range(9)]
     db = duckdb.connect()
     db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
@@ -144,6 +162,10 @@ def test_line_dedup_matches_sql(spark, corpus, tmp_path):
     got = line_dedup.dedup_lines(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == want
     assert {r.doc_id: r.kept for r in got}[400].count("\n") == 0
+    no_id = [(None, "nine lines\nyours"), (None, "common line\nyours")]  # no document more
+    more = {r.doc_id: r.kept for r in line_dedup.dedup_lines(frame(spark, [*rows, *no_id])).collect()}
+    assert more[900] == "nine lines\nmine" and all(more[r.doc_id] == r.kept for r in got)
+    assert sorted(r.kept for r in line_dedup.dedup_lines(frame(spark, [*rows, *no_id])).where("doc_id is null").collect()) == ["nine lines\nyours", "yours"]
     first = {r.doc_id: r.kept for r in line_dedup.dedup_lines(frame(spark, rows), keep_first=True).collect()}
     assert first[400].startswith("common line\n") and "common" not in first[401]
 
@@ -211,30 +233,63 @@ def test_decontamination(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
         left = decontaminate.clean(frame(spark, rows), items)
         assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6] and left.columns == frame(spark, []).columns
+    assert decontaminate.contaminated(frame(spark, []), items).count() == 0
     assert decontaminate.clean(frame(spark, rows), items.limit(0)).count() == len(rows) and decontaminate.clean(frame(spark, []), items).count() == 0
 
 
-def test_tiling_matches_brute_force():
+def plain_tiling(d, i, size):
+    """The longest free match, then the smallest places."""
+    used_d, used_i, found = [False] * len(d), [False] * len(i), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(d)):
+            for b in range(len(i)):
+                n = 0
+                while a + n < len(d) and b + n < len(i) and d[a + n] == i[b + n] and not used_d[a + n] and not used_i[b + n]:
+                    n += 1
+                best = max(best, (n, -a, -b))
+        n, a, b = best[0], -best[1], -best[2]
+        if n < size:
+            return found
+        found.append((a, b, n))
+        used_d[a : a + n], used_i[b : b + n] = [True] * n, [True] * n
+
+
+def test_tiling_matches_brute_force(monkeypatch):
     rng = random.Random(3)
-    for _ in range(60):
-        d, i = [rng.randrange(4) for _ in range(40)], [rng.randrange(4) for _ in range(25)]
-        seeds = [(a, b) for a in range(len(d) - 2) for b in range(len(i) - 2) if d[a : a + 3] == i[b : b + 3]]
-        found = decontaminate.tiles(seeds, 3, len(d), len(i)) if seeds else []
-        used_d, used_i, want = [False] * 40, [False] * 25, []
-        while True:  # plain greedy tiling: the longest free match, then the smallest places
-            best = (0, 0, 0)
-            for a in range(40):
-                for b in range(25):
-                    n = 0
-                    while a + n < 40 and b + n < 25 and d[a + n] == i[b + n] and not used_d[a + n] and not used_i[b + n]:
-                        n += 1
-                    best = max(best, (n, -a, -b))
-            n, a, b = best[0], -best[1], -best[2]
-            if n < 3:
-                break
-            want.append((a, b, n))
-            used_d[a : a + n], used_i[b : b + n] = [True] * n, [True] * n
-        assert sorted(found) == sorted(want)
+    for kept in (64, 1, 2):
+        monkeypatch.setattr(decontaminate, "KEPT", kept)
+        for _ in range(40):
+            d, i = [rng.randrange(3) for _ in range(40)], [rng.randrange(3) for _ in range(25)]
+            assert sorted(decontaminate.tiles(np.array(d, np.int32), np.array(i, np.int32), 3)) == sorted(plain_tiling(d, i, 3))
+
+
+def test_matches_are_those_of_the_whole_text():
+    """Items and texts of few words: what lies under the seeds tiles like the whole text."""
+    rng = random.Random(7)
+    items = [[b"w%d" % rng.randrange(5) for _ in range(n)] for n in (30, 17, 5, 3)]
+    index = decontaminate.Items([(k, b" ".join(x)) for k, x in enumerate(items)])
+    for _ in range(30):
+        text = [b"w%d" % rng.randrange(6) for _ in range(60)]
+        want = set()
+        for k, x in enumerate(items):
+            found = plain_tiling(text, x, min(5, len(x)))
+            if (n := sum(t[2] for t in found)) >= 0.5 * len(x):
+                want.add((k, len(x), n, len(found)))
+        assert set(index.matches(b" ".join(text))) == want
+
+
+def test_a_long_repetitive_text_stays_small():
+    """A million words against items of one repeated word and of a short cycle, in bounded memory."""
+    import tracemalloc
+
+    index = decontaminate.Items([(1, b"of " * 400), (2, b"a b c d e f g h i j " * 10)])
+    tracemalloc.start()
+    assert list(index.matches(b"of " * 1_000_000)) == [(0, 400, 400, 1)]
+    assert list(index.matches(b"of of of of of of x " * 140_000)) == [(0, 400, 396, 66)]
+    assert list(index.matches(b"a b c d e f g h i j " * 100_000)) == [(1, 100, 100, 1)]
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
 
 
 def test_bpe_round_trip_and_library(spark, corpus):
