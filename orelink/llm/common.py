@@ -52,18 +52,18 @@ def dropped(*tables: DataFrame) -> None:
 HOT_SHARE = 1000
 
 
-def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of ``rows`` with ``keys``, one row a key, whose column ``_rows`` counts the key's rows; it is not kept.
+def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``keys``, one row a key, whose column ``_rows`` counts the key's rows; it is not kept.
 
     Keys of more than a ``HOT_SHARE``-th of these rows are fewer than ``HOT_SHARE`` in number: they are broadcast, and their
-    rows stay where they are. So no key in the shuffle holds more than that share.
+    rows stay where they are. So no key of ``keys`` holds more than that share in the shuffle.
     """
     total = keys.agg(F.sum("_rows").alias("n")).first()["n"] or 0
     is_hot = F.col("_rows") * HOT_SHARE > total
-    hot = F.broadcast(keys.where(is_hot).drop("_rows").withColumn("_hot", F.lit(True)))
-    marked = rows.join(F.broadcast(keys.where(is_hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
-    stay = rows.join(hot, on).drop("_hot")
-    return stay.unionByName(marked.where("_hot is null").drop("_hot").join(keys.where(~is_hot).drop("_rows"), on))
+    hot = keys.where(is_hot).drop("_rows")
+    marked = rows.join(F.broadcast(hot.select(*on, F.lit(True).alias("_hot"))), on, "left")
+    rest = marked.where("_hot is null").drop("_hot").join(keys.where(~is_hot).drop("_rows"), on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
