@@ -3,21 +3,26 @@
 A small network (hashed byte 3-gram shares and a few shape figures, one hidden layer) minimises the non-negative
 unbiased risk ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the logistic loss:
 where the bracket turns negative, the step goes against it. Trusted positives are documents labelled good in the
-training fold, at most ``POSITIVES``; unlabelled web text is a sample of all documents by id hash, at most ``UNLABELLED``,
-whose labels are not read. The class prior is estimated from the training fold's labels, and where these hold
-one class only, by the share of unlabelled scores that a first fit puts with the positives.
+training fold, at most ``positives`` of them, least id hash first; no other label is read. Unlabelled is every document.
 
-Scale: the sample bounds fix the driver's work; scoring is one narrow pass over whole texts with a model of
-fixed size.
+Fitting: a first net is fitted in the driver on the positives and on ``first_unlabelled`` documents, least id hash first. With
+it the class prior is estimated: for each score c the share of unlabelled texts that reach c, divided by the share of positives
+held back from the fit that do, is at least the prior; the least such bound, with its sampling error, gives the estimate. The net
+is fitted anew with this prior; then every task continues from it over all its unlabelled texts, once, and the tasks' nets
+are averaged by their numbers of texts. So the unlabelled risk sees the whole corpus.
 
-Defined cases: null and empty texts get the score of no figures; a null doc_id keeps its row and is in no sample;
-without positives every score is 0; repeated rows get equal scores; other columns are ignored. Labels, lang,
-source and doc_id are not inputs of a score.
+Scale: the sample bounds fix the driver's work; a task adds one row for each parameter of a net of fixed size, summed with
+``groupBy``; scoring is one narrow pass over whole texts.
+
+Defined cases: null and empty texts get the score of no figures; very long texts are read whole, in chunks; a null doc_id keeps its row
+and counts as unlabelled, but is not in the first sample; rows that share a sampled doc_id are one row there, that of the least text;
+without positives or documents every score is 0; repeated rows get equal scores; empty tables give no rows; other columns are
+ignored. Labels, lang, source and doc_id are not inputs of a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +32,15 @@ from pyspark.sql import functions as F
 from orelink.llm.common import as_bytes, texts
 
 POSITIVES = 3000
-UNLABELLED = 6000
+FIRST_UNLABELLED = 6000
 BUCKETS = 1 << 10
 FIGURES = 8
 HIDDEN = 16
-EPOCHS = 30
+EPOCHS = 12
 BATCH = 128
 RATE = 0.005
 CUT = 0.7
+REFINE_POSITIVES = 1000  # of the positives, those that a task draws from
 _CHUNK = 1 << 20
 
 _KIND = np.full(256, 5, np.int64)  # 0 lower case, 1 upper case, 2 digit, 3 white space, 4 other ASCII, 5 beyond ASCII
@@ -78,52 +84,122 @@ class Net:
         back = slope[:, None] * self.params[2] * (h > 0)
         return [x.T @ back, back.sum(axis=0), h.T @ slope, np.array([slope.sum()])]
 
+    def risk(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+        """The two parts of the risk: of the positives, and of the negatives (which may come out below 0)."""
+        zp, zu = self.logits(positive), self.logits(unlabelled)
+        return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+    def slopes(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> list[np.ndarray]:
+        """Gradient of the risk, or where the negative part is below 0 the direction that raises it."""
+        zp, zu = self.logits(positive), self.logits(unlabelled)
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        n, m = len(positive), len(unlabelled)
+        if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+            return [a + b for a, b in zip(self.gradient(positive, prior * (sp - 1) / n - prior * sp / n), self.gradient(unlabelled, su / m))]
+        return [-(a + b) for a, b in zip(self.gradient(positive, -prior * sp / n), self.gradient(unlabelled, su / m))]
+
+    def steps(self, batches: Iterable[tuple[np.ndarray, np.ndarray]], prior: float, rate: float) -> None:
+        """Adam steps over (positive, unlabelled) batches."""
+        first, second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+        for step, (p, u) in enumerate(batches, 1):
+            for k, (w, g, m, v) in enumerate(zip(self.params, self.slopes(p, u, prior), first, second)):
+                g = g + 1e-4 * w
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                self.params[k] = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        first, second, step = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params], 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(unlabelled))
-            for at in range(0, len(order), BATCH):
-                u, p = unlabelled[order[at : at + BATCH]], positive[rng.integers(0, len(positive), BATCH)]
-                zp, zu = self.logits(p), self.logits(u)
-                sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-                negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                if negative >= 0:
-                    grads = [a + b for a, b in zip(self.gradient(p, prior * (sp - 1) / len(p) - prior * sp / len(p)), self.gradient(u, su / len(u)))]
-                else:
-                    grads = [-(a + b) for a, b in zip(self.gradient(p, -prior * sp / len(p)), self.gradient(u, su / len(u)))]
-                step += 1
-                for k, (w, g, m, v) in enumerate(zip(self.params, grads, first, second)):
-                    g = g + 1e-4 * w
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    self.params[k] = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-
-
-def train(positive: list[bytes], unlabelled: list[bytes], prior: float | None) -> Net | None:
+
+        def batches():
+            for _ in range(EPOCHS):
+                order = rng.permutation(len(unlabelled))
+                for at in range(0, len(order), BATCH):
+                    yield positive[rng.integers(0, len(positive), BATCH)], unlabelled[order[at : at + BATCH]]
+
+        self.steps(batches(), prior, RATE)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from the scores of both: the least upper bound over all cuts.
+
+    Where positives of a share q_p and unlabelled of a share q_u reach a cut, the prior is q_u / q_p at most; the sampling error
+    of the two shares is added to find the cut, not to the estimate.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    q_p = 1 - np.searchsorted(p, p) / len(p)
+    q_u = 1 - np.searchsorted(u, p) / len(u)
+    slack = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
+    k = int(np.argmin((q_u + slack) / q_p))
+    return float(np.clip(q_u[k] / q_p[k], 0.01, 0.99))
+
+
+def train(positive: list[bytes], unlabelled: list[bytes]) -> tuple[Net, float] | None:
+    """The first net and the prior."""
     if not positive or not unlabelled:
         return None
     p, u = np.stack([vector(t) for t in positive]), np.stack([vector(t) for t in unlabelled])
-    if prior is None or not 0 < prior < 1:
-        first = Net()
-        first.fit(p, u, 0.5)
-        prior = float(np.clip((first.logits(u) >= np.quantile(first.logits(p), 0.05)).mean(), 0.05, 0.95))
+    back = np.arange(len(p)) % 3 == 0 if len(p) >= 3 else np.ones(len(p), bool)
+    half = np.arange(len(u)) % 2 == 0 if len(u) >= 2 else np.ones(len(u), bool)
+    scout = Net()
+    scout.fit(p[~back] if not back.all() else p, u[~half] if not half.all() else u, 0.5)
+    prior = class_prior(scout.logits(p[back]), scout.logits(u[half]))
     net = Net()
     net.fit(p, u, prior)
+    return net, prior
+
+
+def refined(docs: DataFrame, net: Net, positive: list[bytes], prior: float) -> Net:
+    """``net`` after one pass over all documents as unlabelled texts, averaged over the tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast((net.params, positive[:REFINE_POSITIVES], prior))
+    sizes = np.cumsum([0, *[p.size for p in net.params]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params, good, share = shared.value
+        own, seen = Net(), 0
+        own.params, rng = [p.copy() for p in params], np.random.default_rng(9)
+        p = np.stack([vector(t) for t in good])
+
+        def pairs():
+            nonlocal seen
+            for b in batches:
+                rows = as_bytes(b, "text")
+                for at in range(0, len(rows), BATCH):
+                    u = np.stack([vector(t) for t in rows[at : at + BATCH]])
+                    seen += len(u)
+                    yield p[rng.integers(0, len(p), BATCH)], u
+
+        own.steps(pairs(), share, RATE / 10)
+        flat = np.concatenate([x.reshape(-1) for x in own.params]) * seen
+        for at in range(0, len(flat) if seen else 0, 4096):
+            part = flat[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part), pa.array(np.full(len(part), seen))], ["k", "x", "n"])
+
+    sums = texts(docs).select("text").mapInArrow(run, "k long, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+    shared.destroy()
+    if len(sums):
+        flat = sums.sort_values("k")["x"].to_numpy()
+        net = Net()
+        net.params = [flat[a:b].reshape(p.shape) for a, b, p in zip(sizes, sizes[1:], net.params)]
     return net
 
 
-def samples(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[list[bytes], list[bytes], float | None]:
-    """Positive and unlabelled texts and the class prior. ``allowed`` limits the labels that are read."""
+def samples(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVES, first_unlabelled: int = FIRST_UNLABELLED) -> tuple[list[bytes], list[bytes]]:
+    """Positive texts and the first unlabelled ones. ``allowed`` limits the labels that are read."""
     known = labels.where(allowed & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg("quality").alias("p")).first()["p"]
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = known.where("quality = 1").orderBy(*order).limit(POSITIVES).select("doc_id", F.lit(1).alias("positive"))
-    web = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(UNLABELLED).select("doc_id", F.lit(0).alias("positive"))
+    good = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(1).alias("positive"))
+    web = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(first_unlabelled).select("doc_id", F.lit(0).alias("positive"))
     ids = good.unionByName(web.distinct())
-    found = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "positive", "text").distinct()  # POSITIVES + UNLABELLED ids at most
+    found = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))  # a row an id
     rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.text))
-    return [r.text.encode() for r in rows if r.positive], [r.text.encode() for r in rows if not r.positive], share
+    return [r.text.encode() for r in rows if r.positive], [r.text.encode() for r in rows if not r.positive]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVES, first_unlabelled: int = FIRST_UNLABELLED) -> Net | None:
+    """The whole fit: sample, prior, first net and the pass over all documents."""
+    good, web = samples(docs, labels, allowed, positives, first_unlabelled)
+    first = train(good, web)
+    return refined(docs, first[0], good, first[1]) if first else None
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
