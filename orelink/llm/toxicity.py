@@ -9,9 +9,11 @@ scores' offset, so that 0.7 splits the classes best, and a threshold for each la
 Scale: the sample bound fixes the driver's work; scoring is one narrow pass with a model of fixed size over
 whole texts, long ones in overlapping segments whose maxima combine.
 
-Defined cases: null and empty texts get the score of no words; a null doc_id keeps its row and is never in
-the sample; languages without calibration (or null) use the common threshold; without labels of both classes
-all scores are 0; repeated rows get equal scores; other columns are ignored. Labels, lang, source and doc_id
+Defined cases: null and empty texts get the score of no words; texts of fewer words than a filter is wide are padded with empty words;
+very long texts are read whole, in overlapping segments; a null doc_id keeps its row and is never in the sample; rows that share a
+sampled doc_id are one row there, that of the least text; languages without calibration (or null) use the common threshold; a score equal to
+a threshold reaches it; without labels of both classes all scores are 0; repeated rows get equal scores; empty tables give no rows;
+other columns are ignored. Labels, lang, source and doc_id
 are not inputs of a score; lang selects the threshold of ``flagged`` alone.
 """
 
@@ -69,7 +71,9 @@ class Words:
         return np.fromiter([number.setdefault(w, len(number)) for w in words], np.int32, len(words))
 
     def rows(self) -> np.ndarray:
-        return table_rows(list(self.number))
+        rows = table_rows(list(self.number))
+        rows[0] = -1  # the empty word
+        return rows
 
 
 def _packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +106,10 @@ class Net:
         best, where = [], []
         for w, f, b in zip(WIDTHS, self.filters, self.bias):
             reply = sum(words[k : len(words) - max(WIDTHS) + 1 + k] @ f[k * DIM : (k + 1) * DIM] for k in range(w)) + b
+            edges = np.zeros(len(reply) + 1, np.int32)  # windows lie inside their text, padded to the largest width
+            edges[starts] += 1
+            edges[np.minimum(starts + np.maximum([len(d) for d in docs], max(WIDTHS)) - w + 1, len(reply))] -= 1
+            reply[np.cumsum(edges[:-1]) == 0] = -np.inf
             top = np.maximum.reduceat(reply, starts, axis=0)
             best.append(top)
             if want_where:
@@ -237,7 +245,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, size
     known = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    found = texts(docs, "lang").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "label")  # 2 * size rows at most
+    found = texts(docs, "lang").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "label")  # 2 * size ids at most
     found = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "label")).alias("r")).select("doc_id", "r.*")
     rows = sorted(found.collect(), key=lambda r: r.doc_id)
     return [(r.text.encode(), int(r.label), r.lang) for r in rows]
