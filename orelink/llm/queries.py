@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelink.llm import bpe, chat, decontaminate, line_dedup, quality_pu, quality_rules, simhash, suffix_dedup, toxicity, url_filters
-from orelink.llm.common import crc_fold, table, written
+from orelink.llm.common import crc_fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = written(chat.fragments(table(spark, sf_dir, "conversations")))
+    groups = chat.pieces(table(spark, sf_dir, "conversations"))
     return chat.format_conversations(groups, chat.fit(groups))
 
 
@@ -40,8 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = crc_fold(F.col("doc_id"), 4)
-    net = quality_pu.train(*quality_pu.samples(docs, labels, fold != 2))
-    return quality_pu.score(docs, net).select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return quality_pu.score(docs, quality_pu.fitted(docs, labels, fold != 2)).select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +48,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.expr("quality = 0 or toxic = 1").alias("bad")
-    labels = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select(F.col("doc_id").alias("page_id"), bad)
-    return url_filters.judge(table(spark, sf_dir, "pages"), labels)
+    labels = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select("doc_id", F.expr("quality = 0 or toxic = 1").alias("bad"))
+    return url_filters.judge(url_filters.with_labels(table(spark, sf_dir, "pages"), labels))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,26 +305,109 @@ def test_bpe_round_trip_and_library(spark, corpus):
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in ids.collect()) == want
     back = bpe.decode(ids, TOKENIZER, pattern)
     assert collections.Counter((r.doc_id, bytes(r.data)) for r in back.collect()) == collections.Counter((i, (t or "").encode()) for i, t in rows)
-    for r in bpe.digests(docs.where("doc_id = 504"), TOKENIZER, pattern).collect():
-        text = dict(corpus)[504]
-        ids_ = library.encode_ordinary(text)
-        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids_), hashlib.sha256(",".join(map(str, ids_)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    digest = lambda text: (lambda ids_: (len(ids_), hashlib.sha256(",".join(map(str, ids_)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))(library.encode_ordinary(text))
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, TOKENIZER, pattern).collect())
+    assert got == collections.Counter((i, *digest(t or "")) for i, t in rows)
     assert bpe.digests(docs.limit(0), TOKENIZER, pattern).count() == 0
 
 
+def test_bpe_pieces_and_long_words(monkeypatch):
+    """Texts decoded in several pieces; words on either side of the bound, by query and by heap, as the library has them."""
+    pattern = public_tokenizers.PATTERN
+    codec = bpe.Codec(TOKENIZER, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(12)
+    monkeypatch.setattr(bpe, "PIECE", 7)
+    lists = [np.array([rng.randrange(1000) for _ in range(n)], np.int32) for n in (0, 3, 50, 7, 14)]
+    assert codec.decode(lists) == [b"".join(library.decode_single_token_bytes(int(t)) for t in x) for x in lists]
+    words = ["".join(rng.choice("abcdeot") for _ in range(n)) for n in (511, 512, 513, 3000)] + ["é" * 256, "a" * 512]
+    codec.learn(set(words))
+    assert all(codec.ids[w] == ",".join(map(str, library.encode_ordinary(w))) for w in words)
+
+
+def test_latin_splitter_agrees_on_every_code_point():
+    """Texts that go to the standard module hold code points whose classes are those of the full module."""
+    import re
+
+    import regex
+
+    plain = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not re.search("[^\t\n\r\x20-\x7e\xa1-\u02af]", c)]
+    assert plain == [c for c in plain if ord(c) < 0x2B0] and len(plain) > 600
+    for name, own in (("L", bpe.LETTERS), ("N", bpe.NUMBERS)):
+        assert [c for c in plain if re.fullmatch(f"[{own}]", c)] == [c for c in plain if regex.fullmatch(rf"\p{{{name}}}", c)]
+    spaces = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and re.fullmatch(f"[{bpe.SPACES}]", c)]
+    assert spaces == [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and regex.fullmatch(r"\p{White_Space}", c)]
+    find = bpe.splitter(public_tokenizers.PATTERN)
+    library = regex.compile(public_tokenizers.PATTERN.replace(r"\s\p", bpe.SPACES + r"\p").replace(r"\s", f"[{bpe.SPACES}]").replace(r"\S", f"[^{bpe.SPACES}]")).findall
+    rng = random.Random(13)
+    for _ in range(300):
+        text = "".join(rng.choice(plain + list("  \n\r'sS12 ") * 40) for _ in range(80))
+        assert find(text) == library(text)
+
+
 def test_url_filters(spark):
     urls = ["http://A.com/en/1", "https://x.example.com/en/77?q", "http://de.example.net/de/81", "http://b.net/de/", "ftp://c.org/es/#t", "noscheme", None, "http://plain.io", "http://h.io/a/b/c/d/e/f"]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://a.com/fr/", "h")], "page_id long, url string, host string")
-    labels = spark.createDataFrame([(7, True), (7, False)], "page_id long, bad boolean")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, labels).collect()}
+    pages = spark.createDataFrame([(i, u, "h", True if i == 7 else None) for i, u in enumerate(urls)] + [(None, "http://a.com/fr/", "h", None)], "page_id long, url string, host string, bad boolean")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages).collect()}
     assert got[0] == ("a.com", "/en/1", "com/en/", "block") and got[1] == ("x.example.com", "/en/77", "example.com/en/7", "allow")
     assert got[2][2:] == ("example.net/de/8", "block") and got[3][2:] == ("net/de/", "allow") and got[4][2:] == ("org/es/", "block")
     assert got[5] == got[6] == ("", "", None, "allow") and got[7][:2] == ("plain.io", "") and got[8][3] == "allow"
-    assert url_filters.judge(pages.limit(0), labels).count() == 0
-    bad = spark.createDataFrame([(i, f"http://s.io/spam/{i}") for i in range(40)] + [(100 + i, f"http://s.io/ok/{i}") for i in range(40)], "page_id long, url string")
-    marks = spark.createDataFrame([(i, i < 100) for i in [*range(20), *range(100, 120)]], "page_id long, bad boolean")
-    verdicts = {r.page_id: (r.template, r.verdict) for r in url_filters.judge(bad, marks).collect()}
-    assert verdicts[35] == ("s.io/spam/*", "block") and verdicts[135] == ("s.io/ok/*", "allow")
+    assert url_filters.judge(pages.limit(0)).count() == 0
+
+
+def tree_pages():
+    """(page_id, url, bad): sections below 5 % of a host's pages and below the fourth level, alike branches, sparse bad hosts."""
+    rows, n = [], iter(range(10**6))
+    add = lambda url, bad, times: rows.extend((next(n), f"{url}/{k}", bad) for k in range(times))
+    for k in range(60):  # 60 sections of one host, two of them bad
+        add(f"http://s.io/part{k:02d}", k in (7, 31), 8)
+        add(f"http://s.io/part{k:02d}", None, 4)
+    add("http://deep.io/a/b/c/d/e/good", False, 30), add("http://deep.io/a/b/c/d/e/spam", True, 20), add("http://deep.io/a/b/c/d/e/spam", None, 5)
+    for k in range(30):  # a bad host with one label in each branch
+        add(f"http://sparse.io/x{k}", True, 1), add(f"http://sparse.io/x{k}", None, 1)
+    add("http://ok.io/x", False, 20), add("http://ok.io/y", None, 3), add("http://none.io/y", None, 3)
+    return rows
+
+
+def test_url_tree_blocks_bad_branches_alone(spark):
+    rows = tree_pages()
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean")).collect()}
+    blocked = lambda url: ("/part07/" in url or "/part31/" in url) or "/spam/" in url or "sparse" in url
+    assert {i for i, r in got.items() if r.verdict == "block"} == {i for i, url, _ in rows if blocked(url)}
+    assert {r.template for i, r in got.items() if "/part07/" in rows[i][1] or "/part31/" in rows[i][1]} == {"s.io/[part07+]/*"}  # alike branches merge
+    assert {got[i].template for i, url, _ in rows if "/spam/" in url} == {"deep.io/*/*/*/*/*/spam/*"}
+    none = spark.createDataFrame([(i, url, None) for i, url, _ in rows], "page_id long, url string, bad boolean")
+    assert url_filters.judge(none).where("verdict = 'block'").count() == 0
+
+
+def test_url_tree_on_held_out_pages(spark):
+    """Sections with 90 % or 10 % bad pages: verdicts of pages whose labels were not read."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(4000):
+        host, section = rng.randrange(4), rng.randrange(12)
+        rows.append((i, f"http://h{host}.io/s{section}/{'x' * rng.randrange(1, 4)}/{i}", rng.random() < (0.9 if (host + section) % 3 == 0 else 0.1)))
+    seen = spark.createDataFrame([(i, u, b if i % 4 else None) for i, u, b in rows], "page_id long, url string, bad boolean")
+    got = {r.page_id: r.verdict == "block" for r in url_filters.judge(seen).collect()}
+    assert sum(got[i] == b for i, _, b in rows if i % 4 == 0) >= 0.87 * 1000
+
+
+def test_url_labels_and_sql(spark):
+    """Labels through the document number of the url; the SQL gives the same rows."""
+    import duckdb
+
+    rows = [(i, f"http://{('a.io', 'b.io', 'c.example.com')[i % 3]}/{('fr', 'de', 'en')[i % 7 % 3]}/t{i % 5}/{i}{('', '.html', '/', '?x=1')[i % 4]}") for i in range(600)]
+    rows += [(700, None), (701, "no scheme 5"), (None, "http://a.io/fr/t1/7"), (702, "http://a.io/fr/t1/99999999999999999999"), (3, rows[3][1])]
+    labels = [(i, int((i % 7 % 3 != 1) or i % 4 == 0), int(i % 31 == 0)) for i in range(0, 600, 2)] + [(None, 0, 0), (4, 0, 0), (8, None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("quality is not null").select("doc_id", F.expr("quality = 0 or toxic = 1").alias("bad"))
+    found = url_filters.judge(url_filters.with_labels(pages, marks))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)"), db.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    db.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)"), db.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    want = collections.Counter(db.execute(f"SELECT {', '.join(found.columns)} FROM ({url_filters.oracle()})").fetchall())
+    assert collections.Counter(map(tuple, found.collect())) == want
+    assert len({r[5] for r in want}) > 8 and {r[4] for r in want} == {"allow", "block"}
 
 
 def test_chat_viterbi_matches_enumeration():
@@ -337,16 +420,66 @@ def test_chat_viterbi_matches_enumeration():
         assert np.isclose(score(model.viterbi(seen)), best)
 
 
-def test_chat_formatting(spark):
+def conversations():
+    rng = random.Random(15)
     rows = [(c, t, ("user", "assistant")[t % 2], "hi there?" if t % 2 == 0 else "A longer answer. " * 6 + "\nmore") for c in range(40) for t in range(4)]
-    rows += [(50, None, None, None), (None, 1, "user", ""), (51, 0, "tool", "x"), (51, 0, "tool", "x")]
-    groups = chat.fragments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    rows += [(c, t, ("user", "assistant")[t % 2], "\n".join(["word " * rng.randrange(1, 60)] * rng.randrange(1, 3)) + "\n" * (t % 5 == 0)) for c in (60, 61) for t in range(70)]  # longer than a piece
+    rows += [(None, None, "user", "no id, no turn %d" % (k % 3)) for k in range(30)]  # many equal rows
+    return rows + [(50, None, None, None), (None, 1, "user", ""), (51, 0, "tool", "x"), (51, 0, "tool", "x"), (52, 1, "user", "A: is this\nB: or that?")]
+
+
+def test_chat_formatting(spark):
+    """Every conversation's path has the score of the best path over all of it, and its parts join to one rendering."""
+    rows = conversations()
+    data = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, piece string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, size in ((4, 64), (7, 5), (1, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            groups = chat.pieces(data, size)
+            assert groups.agg(F.max(F.size("turns"))).first()[0] <= size
+            model = chat.fit(groups)
+            got = collections.defaultdict(list)
+            for r in sorted(chat.format_conversations(groups, model).collect(), key=lambda r: r.piece):
+                got[r.conv_id].append(r)
+            found = {(r.conv_id, r.piece): r for r in groups.collect()}
+            none_first = lambda x: (x is not None, x)
+            for conv in {r[0] for r in rows}:
+                turns = sorted(({"turn": t, "role": who, "text": x} for c, t, who, x in rows if c == conv), key=lambda d: tuple(none_first(d[k]) for k in ("turn", "role", "text")))
+                assert [t.asDict() for r in got[conv] for t in found[conv, r.piece].turns] == turns
+                text, states = chat.styled(turns, chat.style_of(conv))
+                lines, seen = chat.features(text)
+                best = model.viterbi(seen)
+                score = lambda p: model.start[0][p[0]] + sum(model.step[a, b] for a, b in zip(p, p[1:])) + sum(model.seen[s, x] for s, x in zip(p, seen))  # noqa: B023, E731
+                joined = "".join(r.rendered for r in got[conv])
+                assert sum(r.n_lines for r in got[conv]) == len(lines) and sum(r.n_turns for r in got[conv]) == len(turns)
+                if len(got[conv]) == 1:
+                    assert joined == chat.rendered(model.turns(lines, best))
+                elif joined != chat.rendered(model.turns(lines, best)):  # another path of the same score, or blank edges at a border
+                    path, at = [], None
+                    states_ = {r.piece: r for r in chat.borders(groups, model).collect()}
+                    for r in got[conv]:
+                        g = found[conv, r.piece]
+                        part, _ = chat.styled([t.asDict() for t in g.turns], r.style)
+                        path += model.viterbi(chat.features(part, chat._before(g.blank, g.first))[1], states_[r.piece].before, states_[r.piece].last)
+                    assert np.isclose(score(path), score(best))
+                assert joined.count("<|end|>") == sum(r.n_found for r in got[conv])
+            assert sum(r.n_right for c in range(40) for r in got[c]) >= 0.98 * sum(r.n_lines for c in range(40) for r in got[c])
+            assert len(got[None]) >= 31 / size
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    empty = chat.pieces(data.limit(0))
+    assert chat.format_conversations(empty, chat.fit(empty)).count() == 0
+
+
+def test_chat_parsing(spark):
+    groups = chat.pieces(spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string"))
     model = chat.fit(groups)
-    got = chat.format_conversations(groups, model).collect()
-    assert len(got) == 43 and sum(r.n_right for r in got if r.conv_id in range(40)) >= 0.98 * sum(r.n_lines for r in got if r.conv_id in range(40))
-    out = chat.parse_transcripts(spark.createDataFrame([(1, "User: hi\nAssistant: yes\nindeed"), (2, None)], "id long, text string"), model).collect()
+    long = "User: hi\nAssistant: yes\n" * 20_000
+    out = chat.parse_transcripts(spark.createDataFrame([(1, "User: hi\nAssistant: yes\nindeed"), (2, None), (3, long)], "id long, text string"), model).collect()
     assert [(r.role, r.text) for r in out if r.id == 1] == [("user", "hi"), ("assistant", "yes\nindeed")]
-    assert chat.format_conversations(groups.limit(0), model).count() == 0
+    assert len([r for r in out if r.id == 3 and r.text == "yes"]) == 20_000
+    assert chat.Model.turns(model, ["A: is this"], [2]) == [("user", "A: is this")] and chat.Model.turns(model, ["A: is this"], [4]) == [("assistant", "is this")]
 
 
 def test_toxicity_and_quality_held_out(spark):
@@ -369,15 +502,110 @@ def test_toxicity_and_quality_held_out(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     held = [i for i in range(700) if i % 3 == 1]
     assert sum((got[i] >= 0.7) == (i % 4 == 0) for i in held) >= 0.97 * len(held) and 0 <= got[900] <= 1 and got[900] == got[901]
-    net = quality_pu.train(*quality_pu.samples(docs, marks, F.col("doc_id") % 4 != 2))
+    net = quality_pu.fitted(docs, marks, F.col("doc_id") % 4 != 2)
     got = {r.doc_id: r.score for r in quality_pu.score(docs, net).collect()}
     held = [i for i in range(700) if i % 4 == 2]
     assert sum((got[i] >= 0.7) == (i % 5 != 0) for i in held) >= 0.95 * len(held) and 0 <= got[901] <= 1
     none = marks.limit(0)
-    assert toxicity.train(toxicity.sample(docs, none, "toxic", F.lit(True))).net is None and quality_pu.train(*quality_pu.samples(docs, none, F.lit(True))) is None
+    assert toxicity.train(toxicity.sample(docs, none, "toxic", F.lit(True))).net is None and quality_pu.fitted(docs, none, F.lit(True)) is None
     assert toxicity.score(docs.limit(0), model).count() == 0 and quality_pu.score(docs.limit(0), net).count() == 0
 
 
+def test_quality_risk_and_gradient():
+    """The risk against a plain sum over texts, its gradient against differences, and the step against a negative bracket."""
+    rng = np.random.default_rng(2)
+    net = quality_pu.Net()
+    net.params = [np.abs(x) for x in net.params]  # logits grow with every figure
+    n = len(net.params[0])
+    logit = lambda x: float(np.maximum(x @ net.params[0] + net.params[1], 0) @ net.params[2] + net.params[3][0])
+    good, bad = lambda x: np.logaddexp(0, -logit(x)), lambda x: np.logaddexp(0, logit(x))
+    for prior, scale, sign in ((0.3, 1, 1), (0.99, 3, -1)):
+        p, u = rng.random((9, n)) * scale / 2000, rng.random((11, n)) / 2000
+        want = prior * sum(map(good, p)) / 9, sum(map(bad, u)) / 11 - prior * sum(map(bad, p)) / 9
+        assert np.allclose(net.risk(p, u, prior), want) and want[1] * sign > 0
+        target = (lambda: sum(net.risk(p, u, prior))) if sign > 0 else (lambda: -net.risk(p, u, prior)[1])  # noqa: B023
+        for k, g in enumerate(net.slopes(p, u, prior)):
+            for at in [tuple(rng.integers(0, n) for n in g.shape) for _ in range(5)]:
+                old = net.params[k][at]
+                net.params[k][at] = old + 1e-5
+                high = target()
+                net.params[k][at] = old - 1e-5
+                assert np.isclose((high - target()) / 2e-5, g[at], atol=1e-6)
+                net.params[k][at] = old
+
+
+def test_class_prior_of_known_mixtures():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.85):
+        good, web = rng.normal(3, 1, 2000), np.concatenate([rng.normal(3, 1, int(4000 * share)), rng.normal(-3, 1, int(4000 * (1 - share)))])
+        assert abs(quality_pu.class_prior(good, web) - share) < 0.04
+
+
+def test_toxicity_forward_and_gradient():
+    """Maxima and scores against loops over words and filters; one training step against differences of the loss."""
+    texts_ = [b"bad words here and there again", b"", b"one", b"plain talk " * 30]
+    net = toxicity.Net()
+
+    def plain(text):
+        words = toxicity.words_of(text)
+        vectors = [net.table[r].sum(axis=0) for r in toxicity.table_rows(words)]
+        vectors += [np.zeros(toxicity.DIM)] * (3 - len(vectors))
+        out = []
+        for w, f, b in zip(toxicity.WIDTHS, net.filters, net.bias):
+            spots = [np.concatenate(vectors[i : i + w]) @ f + b for i in range(len(vectors) - w + 1)]
+            out.append(np.maximum(np.max(spots, axis=0), 0))
+        return np.concatenate(out)
+
+    assert np.allclose(net.pooled(texts_), [plain(t) for t in texts_], atol=1e-4)
+    labels = np.array([1, 0, 0, 1], np.float32)
+    words = toxicity.Words()
+    docs = [words(t) for t in texts_]
+    loss = lambda: float(np.mean(np.logaddexp(0, net.logits(net.pooled(texts_))) - labels * net.logits(net.pooled(texts_))))
+    before = loss()
+    slope = []
+    for k in range(4):  # the step goes against the slope of each output weight
+        old = net.out[k]
+        net.out[k] = old + 1e-2
+        high = loss()
+        net.out[k] = old - 1e-2
+        slope.append((high - loss()) / 2e-2)
+        net.out[k] = old
+    start = net.out.copy()
+    net.fit(docs, words.rows(), labels)
+    assert loss() < 0.8 * before
+    again = toxicity.Net()
+    epochs, toxicity.EPOCHS = toxicity.EPOCHS, 1
+    try:
+        again.fit(docs, words.rows(), labels)
+    finally:
+        toxicity.EPOCHS = epochs
+    moved = again.out - start
+    assert all(m * s <= 0 for m, s in zip(moved[:4], slope) if abs(s) > 1e-4)
+
+
+def test_long_texts_cross_the_chunk_borders(spark, monkeypatch):
+    """Scores and figures of texts longer than a chunk or segment equal those of one piece."""
+    rng = random.Random(14)
+    text = " ".join(rng.choice(["aa", "bbb", "cccc", "é", "dd\n"]) for _ in range(3000)).encode()
+    whole = quality_pu.vector(text), quality_rules.llr_score(text, np.arange(quality_rules.BUCKETS, dtype=np.float32)), toxicity.Net().pooled([text, b"x"])
+    monkeypatch.setattr(quality_pu, "_CHUNK", 1000), monkeypatch.setattr(quality_rules, "_CHUNK", 1000), monkeypatch.setattr(toxicity, "SEGMENT", 200)
+    parts = quality_pu.vector(text), quality_rules.llr_score(text, np.arange(quality_rules.BUCKETS, dtype=np.float32)), toxicity.Net().pooled([text, b"x"])
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, parts))
+
+
+def test_scores_of_ties_repeats_and_clashing_columns(spark):
+    """Equal rows get equal scores whatever else they carry; labels that repeat count once."""
+    rows = [(i, "good text about words %d" % (i % 50)) for i in range(60)] + [(100 + i, "awful *** junk") for i in range(20)] + [(5, "good text about words 5")] * 3
+    docs = frame(spark, rows).withColumn("score", F.lit("clash")).withColumn("positive", F.lit(3)).withColumn("label", F.lit("clash"))
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(60)] * 2 + [(100 + i, 0, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    net, model = quality_pu.fitted(docs, marks, F.lit(True)), toxicity.train(toxicity.sample(docs, marks, "toxic", F.lit(True)))
+    for scored in (quality_pu.score(docs, net), toxicity.score(docs, model)):
+        got = collections.defaultdict(set)
+        for r in scored.collect():
+            got[dict(rows)[r.doc_id]].add(r.score)
+        assert all(len(x) == 1 for x in got.values()) and scored.count() == len(rows)
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as C
 
