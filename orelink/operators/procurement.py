@@ -61,36 +61,74 @@ def month(date: Column) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 
+def _cell(groups: str, name: str, cents: str) -> Column:
+    """'EA=12.50; KG=3' from an array of (uom, currency, quantity, spend): sums by unit or currency, in its order."""
+    known = F.filter(groups, lambda x: x[name].isNotNull())
+    names = F.array_sort(F.array_distinct(F.transform(known, lambda x: x[name])))
+    total = lambda n: F.aggregate(F.filter(known, lambda x: x[name] == n), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x[cents], F.lit(0)))
+    return F.array_join(F.transform(names, lambda n: F.concat(n, F.lit("="), cents_text(total(n)))), "; ")
+
+
+def totals(records: DataFrame, *keys: str) -> DataFrame:
+    """Per key: records, linked, priced, first and last date, and exact totals by unit and by currency as text cells, never merged.
+
+    One pass sums by (key, unit, currency) with map-side combine; the second gathers these few groups of each key.
+    """
+    parts = records.groupBy(*keys, "uom", "currency").agg(
+        F.count("*").alias("n"), F.count("cmi").alias("linked"), F.count("unit_price").alias("priced"), F.min("purchase_date").alias("first"), F.max("purchase_date").alias("last"),
+        F.sum("qty_cents").alias("quantity"), F.sum("spend_cents").alias("spend"),
+    )
+    sums = parts.groupBy(*keys).agg(
+        F.sum("n").alias("records"), F.sum("linked").alias("linked"), F.sum("priced").alias("priced"), F.min("first").alias("first_date"), F.max("last").alias("last_date"),
+        F.collect_list(F.struct("uom", "currency", "quantity", "spend")).alias("groups"),
+    )
+    return sums.select(
+        *keys, "records", "linked", (F.col("records") - F.col("linked")).alias("unlinked"), "priced", (F.col("records") - F.col("priced")).alias("unpriced"), "first_date", "last_date",
+        _cell("groups", "uom", "quantity").alias("quantity_by_uom"), _cell("groups", "currency", "spend").alias("spend_by_currency"),
+    )
+
+
 def monthly(records: DataFrame, *keys: str) -> DataFrame:
-    return records.groupBy(*keys, month(F.col("purchase_date")).alias("month")).agg(F.count("*").alias("records"), F.sum("qty_cents").alias("qty_cents"), F.coalesce(F.sum("spend_cents"), F.lit(0)).alias("spend_cents"))
+    sums = totals(records.withColumn("month", month(F.col("purchase_date"))), *keys, "month")
+    return sums.select(*keys, "month", "records", "quantity_by_uom", "spend_by_currency")
 
 
 def monthly_filled(records: DataFrame, *keys: str, most: int = 1200) -> DataFrame:
-    """Every month between the first and last of a key, at most ``most`` months, with zeros where nothing was bought."""
+    """Every month from a key's first to its last, at most the first ``most`` of them, with nothing where nothing was bought."""
     known = monthly(records, *keys)
+    first, last = (F.to_date(F.concat(f, F.lit("-01"))) for f in ("lo", "hi"))
     spans = known.groupBy(*keys).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    spans = spans.where(F.months_between(F.to_date(F.concat("hi", F.lit("-01"))), F.to_date(F.concat("lo", F.lit("-01")))) < most)
-    steps = F.sequence(F.to_date(F.concat("lo", F.lit("-01"))), F.to_date(F.concat("hi", F.lit("-01"))), F.expr("interval 1 month"))
+    steps = F.sequence(first, F.least(last, F.add_months(first, most - 1)), F.expr("interval 1 month"))
     months = spans.select(*keys, F.explode(steps).alias("d")).select(*keys, month(F.col("d")).alias("month"))
-    return months.join(known, [*keys, "month"], "left").fillna(0, ["records", "qty_cents", "spend_cents"])
+    return months.join(known, [*keys, "month"], "left").fillna(0, ["records"]).fillna("", ["quantity_by_uom", "spend_by_currency"])
 
 
 def coverage(records: DataFrame) -> DataFrame:
-    """Linked and unlinked records, the linked share in basis points (null when empty), and cents by scope."""
+    """One row a scope (all, linked, unlinked): counts, dates and totals; ``linked_bp`` is the linked share in basis points, null without records."""
     linked = F.col("cmi").isNotNull()
-    out = records.agg(
-        F.count("*").alias("records"), F.count_if(linked).alias("linked"), F.count_if(~linked).alias("unlinked"),
-        F.coalesce(F.sum("qty_cents"), F.lit(0)).alias("qty_cents"), F.coalesce(F.sum(F.when(linked, F.col("qty_cents"))), F.lit(0)).alias("linked_qty_cents"),
-    )
+    scoped = records.withColumn("scope", F.explode(F.array(F.lit("all"), F.when(linked, "linked").otherwise("unlinked"))))
+    parties = scoped.groupBy("scope").agg(F.countDistinct("org_id").alias("organizations"), F.countDistinct("supplier_id").alias("suppliers"))
+    scopes = records.sparkSession.createDataFrame([("all",), ("linked",), ("unlinked",)], "scope string")
+    out = scopes.join(totals(scoped, "scope"), "scope", "left").join(parties, "scope", "left")
+    out = out.fillna(0, ["records", "linked", "unlinked", "priced", "unpriced", "organizations", "suppliers"]).fillna("", ["quantity_by_uom", "spend_by_currency"])
     return out.withColumn("linked_bp", F.floor(F.try_divide(F.col("linked") * 10000, F.col("records"))).cast("long"))
 
 
+def organization_summaries(organizations: DataFrame, records: DataFrame) -> DataFrame:
+    """Every organization with its totals; those without records stay, with zeros."""
+    parties = records.groupBy("org_id").agg(F.countDistinct("supplier_id").alias("suppliers"))
+    out = organizations.join(totals(records, "org_id"), "org_id", "left").join(parties, "org_id", "left")
+    return out.fillna(0, ["records", "linked", "unlinked", "priced", "unpriced", "suppliers"]).fillna("", ["quantity_by_uom", "spend_by_currency"])
+
+
 def unharmonized(records: DataFrame) -> DataFrame:
     """Per organization and category with both linked and unlinked records: the unlinked ones, and up to 20 material ids."""
     scope = records.where("cmi is not null").select("org_id", "category").distinct()
     loose = records.where("cmi is null").join(scope, ["org_id", "category"], "left_semi")
     sums = loose.groupBy("org_id", "category").agg(F.count("*").alias("records"), F.countDistinct("material_id").alias("materials"), F.countDistinct("supplier_id").alias("suppliers"))
-    ranked = loose.select("org_id", "category", "material_id").distinct().groupBy("org_id", "category").agg(F.slice(F.array_sort(F.collect_list("material_id")), 1, 20).alias("ids"))
+    line = Window.partitionBy("org_id", "category").orderBy("material_id")
+    least = loose.select("org_id", "category", "material_id").distinct().withColumn("n", F.row_number().over(line)).where("n <= 20")  # the limit acts before the shuffle too
+    ranked = least.groupBy("org_id", "category").agg(F.array_sort(F.collect_list("material_id")).alias("ids"))
     listed = F.substring(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 1, 500)
     return sums.join(ranked, ["org_id", "category"]).select("org_id", "category", "records", "materials", "suppliers", listed.alias("material_ids"))
 
