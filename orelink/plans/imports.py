@@ -12,9 +12,10 @@ from orelink.sources.mart import mart
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
-_ROWS = """SELECT p_partkey AS row_number, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN '*' || cast(p_partkey AS string) WHEN p_partkey % 11 = 0 THEN 'm-' || cast(p_partkey % 40 AS string) ELSE 'M-' || cast(p_partkey AS string) END AS material_code,
-  CASE WHEN p_partkey % 19 = 0 THEN 'x' ELSE p_name END AS description, CASE WHEN p_partkey % 7 = 0 THEN 'Widgets' ELSE 'Valves' END AS category,
-  CASE WHEN p_partkey % 5 = 0 THEN 'BAG' ELSE 'EA' END AS uom, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS manufacturer, CASE WHEN p_partkey % 23 = 0 THEN 'ten' ELSE cast(p_size AS string) END AS quantity FROM part"""
+_ROWS = """SELECT p_partkey AS row_number, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN '*' || cast(p_partkey AS string) WHEN p_partkey % 11 = 0 THEN 'm-' || cast(p_partkey % 40 AS string)
+  WHEN p_partkey % 29 = 0 THEN 'M-' || cast(p_partkey AS string) ELSE 'N-' || cast(p_partkey AS string) END AS material_code,
+  CASE WHEN p_partkey % 19 = 0 THEN 'x' WHEN p_partkey % 23 = 0 THEN p_name || ' 415xx V' ELSE p_name END AS description, CASE WHEN p_partkey % 7 = 0 THEN 'Widgets' ELSE 'Valves' END AS category,
+  CASE WHEN p_partkey % 5 = 0 THEN 'BAG' WHEN p_partkey % 5 = 1 THEN 'mtr' ELSE 'EA' END AS uom, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 31 = 0 THEN repeat('z', 130) ELSE p_brand END AS manufacturer, cast(p_size AS string) AS quantity FROM part"""
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -22,14 +23,16 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    return mart(spark, d, "materials").where("material_id % 29 = 0").select(F.col("code").alias("material_code"))
+    return mart(spark, d, "materials").select(F.col("code").alias("material_code"))
 
 
+_UOMS = ", ".join(f"'{u}'" for u in I.UOMS)
 _CHECKED = f"""r AS (SELECT *, min(CASE WHEN material_code <> '' THEN row_number END) OVER (PARTITION BY upper(material_code)) AS first FROM ({_ROWS})),
 c AS (SELECT row_number, list_filter([CASE WHEN material_code = '' THEN 'missing_code' END, CASE WHEN material_code <> '' AND NOT regexp_full_match(material_code, '[A-Za-z0-9][A-Za-z0-9\\-/_.]*') THEN 'code_format' END,
   CASE WHEN length(description) < 3 THEN 'description_too_short' END, CASE WHEN material_code <> '' AND row_number > first THEN 'duplicate_in_file' END,
-  CASE WHEN upper(material_code) IN (SELECT upper(code) FROM materials WHERE material_id % 29 = 0) THEN 'duplicate_in_database' END], lambda x: x IS NOT NULL) AS errors,
-  list_filter([CASE WHEN category = 'Widgets' THEN 'unknown_category' END, CASE WHEN quantity = 'ten' THEN 'malformed_quantity' END, CASE WHEN uom = 'BAG' THEN 'unknown_uom' END, CASE WHEN manufacturer = '' THEN 'missing_manufacturer' END], lambda x: x IS NOT NULL) AS warnings FROM r)"""
+  CASE WHEN upper(material_code) IN (SELECT upper(code) FROM materials) THEN 'duplicate_in_database' END, CASE WHEN category NOT IN ('Bearings', 'Valves', 'Motors', 'Pumps', 'Fasteners', 'Uncategorised') THEN 'unknown_category' END], lambda x: x IS NOT NULL) AS errors,
+  list_filter([CASE WHEN regexp_matches(upper(description), '\\b[0-9]+(XX|YY|ZZ *V)\\b') THEN 'malformed_quantity' END, CASE WHEN upper(uom) NOT IN ({_UOMS}) THEN 'unknown_uom' END,
+  CASE WHEN length(manufacturer) > 120 THEN 'field_too_long' END, CASE WHEN manufacturer = '' THEN 'missing_manufacturer' END], lambda x: x IS NOT NULL) AS warnings FROM r)"""
 
 
 @query(f"WITH {_CHECKED} SELECT row_number, CASE WHEN len(errors) > 0 THEN 'ERROR' WHEN len(warnings) > 0 THEN 'WARNING' ELSE 'VALID' END AS severity, array_to_string(list_concat(errors, warnings), '; ') AS rules FROM c WHERE len(errors) + len(warnings) > 0")
@@ -38,7 +41,8 @@ def v1_error_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_CHECKED} SELECT count(*) AS total, cast(0 AS bigint) AS empty, count(*) FILTER (len(errors) + len(warnings) = 0) AS valid, count(*) FILTER (len(errors) = 0 AND len(warnings) > 0) AS warnings,
-count(*) FILTER (len(errors) > 0) AS errors, count(*) FILTER (list_contains(errors, 'duplicate_in_file')) AS duplicates FROM c""")
+count(*) FILTER (len(errors) > 0) AS errors, count(*) FILTER (list_contains(errors, 'duplicate_in_file')) AS duplicates, count(*) FILTER (len(errors) = 0) > 0 AS can_execute,
+{", ".join(f"cast(round(count(*) FILTER ({n} <> '') * 1000 / count(*)) AS bigint) AS {n}_filled" for n in ["material_code", "description", "category", "uom", "manufacturer", "quantity"])} FROM c JOIN ({_ROWS}) f USING (row_number)""")
 def s11_feed_analysis(spark: SparkSession, d: str) -> DataFrame:
     return I.feed_analysis(I.validated(_rows(spark, d), _stored(spark, d)))
 
@@ -66,17 +70,106 @@ def v17_duplicate_codes(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("descriptions > 1")
 
 
-@query("""SELECT row_number, CASE WHEN row_number % 9 = 0 THEN 'unknown_organization' WHEN row_number % 8 = 0 THEN 'bad_date' WHEN row_number % 7 = 0 THEN 'bad_quantity' WHEN row_number % 5 = 0 THEN 'price_without_currency' END AS problem
-FROM (SELECT p_partkey AS row_number FROM part)""")
+_OWNED = f"""SELECT r.*, CASE WHEN row_number % 2 = 0 THEN lower(org_code) ELSE 'nowhere' END AS organization FROM ({_ROWS}) r JOIN organizations o ON o.org_id = r.row_number % 5"""
+
+
+@query(f"SELECT row_number FROM ({_OWNED}) f WHERE EXISTS (SELECT 1 FROM materials m JOIN organizations o ON o.org_id = m.org_id WHERE upper(m.code) = upper(f.material_code) AND upper(o.org_code) = upper(f.organization))")
+def v3_organization_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Codes that the row's own organization has in store."""
+    owners = mart(spark, d, "organizations")
+    rows = _rows(spark, d).join(owners, F.col("org_id") == F.col("row_number") % 5)
+    rows = rows.withColumn("organization", F.when(F.col("row_number") % 2 == 0, F.lower("org_code")).otherwise("nowhere")).drop("org_id", "org_code")
+    stored = mart(spark, d, "materials").join(owners, "org_id").select(F.col("code").alias("material_code"), F.col("org_code").alias("organization"))
+    return I.validated(rows, stored).where(F.exists("problems", lambda p: p["rule"] == "duplicate_in_database")).select("row_number")
+
+
+_TECHNICAL = """SELECT p_partkey AS row_number, CASE WHEN p_size % 3 = 0 THEN cast(p_size AS string) || ' v' ELSE '' END AS voltage, CASE WHEN p_size % 4 = 0 THEN '  ss 304 ' END AS grade, cast(p_size AS string) AS size FROM part"""
+
+
+@query(f"""WITH t AS ({_TECHNICAL}), l AS (SELECT row_number, 'voltage_rating' AS attribute_name, voltage AS value, 'V' AS unit, true AS is_critical FROM t UNION ALL SELECT row_number, 'material_grade', grade, NULL, false FROM t
+UNION ALL SELECT row_number, 'size', size, NULL, false FROM t) SELECT row_number, attribute_name, trim(value) AS value, upper(trim(regexp_replace(value, '\\s+', ' ', 'g'))) AS normalized_value, unit, is_critical FROM l WHERE trim(value) <> ''""")
+def v4_technical_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return I.technical_attributes(spark.sql(_TECHNICAL.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{d}/part.parquet")))
+
+
+_FEED = """SELECT * FROM (SELECT m.material_id + 1000000000 * k AS row_number,
+  CASE WHEN m.material_id % 19 = 0 THEN 'NOWHERE' WHEN m.material_id % 23 = 0 THEN '' WHEN m.material_id % 17 = 0 THEN 'ASIA' ELSE lower(o.org_code) END AS organization,
+  CASE WHEN m.material_id % 29 = 0 THEN ' ' ELSE lower(m.code) END AS material_code,
+  CASE m.material_id % 9 WHEN 0 THEN 's-' || cast(s.supplier_id AS string) WHEN 1 THEN 'nobody' WHEN 2 THEN lower(s.supplier) ELSE s.supplier END AS supplier,
+  CASE m.size % 12 WHEN 0 THEN '31/02/2024' WHEN 1 THEN '2024-13-01' WHEN 2 THEN '1-2-2024' WHEN 3 THEN '2024-03-15T10:00' WHEN 4 THEN '' WHEN 5 THEN '29/02/2024' ELSE '15/03/2024' END AS purchase_date,
+  CASE m.size % 13 WHEN 0 THEN '-3' WHEN 1 THEN '12.345' WHEN 2 THEN '0.00' WHEN 3 THEN '1,250.50' WHEN 4 THEN '12.00' ELSE cast(m.size AS string) END AS quantity,
+  CASE WHEN m.material_id % 37 = 0 THEN 'ABCDEFGHIJKLM' WHEN m.material_id % 41 = 0 THEN '' ELSE 'kg ' END AS uom,
+  CASE WHEN m.material_id % 4 = 0 THEN '' ELSE 'po-' || cast(m.size AS string) END AS po,
+  CASE m.material_id % 10 WHEN 0 THEN '2024-04-31' WHEN 1 THEN '1/4/2024' ELSE '' END AS delivery_date,
+  CASE m.material_id % 11 WHEN 0 THEN 'ten' WHEN 1 THEN '$1,000.10' WHEN 2 THEN '' ELSE '9.90' END AS unit_price, CASE WHEN m.material_id % 14 = 0 THEN '' ELSE 'inr' END AS currency,
+  CASE m.material_id % 6 WHEN 0 THEN 'partially-delivered' WHEN 1 THEN 'lost' ELSE '' END AS status, 'store 1' AS plant,
+  CASE WHEN m.material_id % 7 = 0 THEN upper(coalesce(m.cmi, 'no such')) WHEN m.material_id % 31 = 0 THEN (SELECT min(cmi) FROM cmis) ELSE '' END AS cmi_code
+FROM materials m JOIN organizations o ON o.org_id = m.org_id LEFT JOIN suppliers s ON s.supplier_id = m.material_id % 10 + 1 CROSS JOIN (VALUES (0), (1)) AS twice(k) WHERE k = 0 OR m.material_id % 3 = 0) f"""
+_QTY = "CASE WHEN contains({0}, '.') THEN rtrim(rtrim({0}, '0'), '.') ELSE {0} END"
+_DATE = "CASE WHEN regexp_matches(trim({0}), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(substr(trim({0}), 1, 10) AS DATE) WHEN regexp_full_match(trim({0}), '[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}}') THEN cast(try_strptime(replace(trim({0}), '-', '/'), '%d/%m/%Y') AS DATE) END"
+_PROCURED = f"""cm AS (SELECT cmi, length(cmi) % 5 <> 0 AS active FROM cmis), sup AS (SELECT supplier_id, 'S-' || supplier_id AS code, supplier FROM suppliers),
+x AS (SELECT f.*, upper(trim(f.organization)) AS oc, o.org_id AS oid, m.material_id AS mid, m.cmi AS mapped, mc.active AS mapped_active, n.cmi AS named, n.active AS named_active,
+  coalesce((SELECT min(supplier_id) FROM sup WHERE upper(sup.code) = upper(trim(f.supplier))), (SELECT min(supplier_id) FROM sup WHERE upper(sup.supplier) = upper(trim(f.supplier)))) AS sid,
+  {_DATE.format("f.purchase_date")} AS date, {_DATE.format("f.delivery_date")} AS delivered, replace(trim(f.quantity), ',', '') AS q, regexp_replace(replace(trim(f.unit_price), ',', ''), '^[\u20b9$]', '') AS pr
+  FROM ({_FEED}) f LEFT JOIN organizations o ON upper(o.org_code) = upper(trim(f.organization)) LEFT JOIN materials m ON m.org_id = o.org_id AND upper(m.code) = upper(trim(f.material_code))
+  LEFT JOIN cm mc ON mc.cmi = m.cmi LEFT JOIN cm n ON upper(n.cmi) = upper(trim(f.cmi_code))),
+y AS (SELECT *, CASE WHEN regexp_full_match(q, '[0-9]+(\\.[0-9]{{1,2}})?') AND try_cast(q AS DECIMAL(38, 2)) > 0 THEN {_QTY.format("q")} END AS qty, coalesce(named, CASE WHEN trim(cmi_code) = '' AND mapped_active THEN mapped END) AS cmi,
+  upper(regexp_replace(trim(status), '[ -]+', '_', 'g')) AS st FROM x),
+z AS (SELECT *, list_filter([CASE WHEN oid IS NULL THEN 'unknown_organization' END, CASE WHEN trim(material_code) = '' OR oid IS NOT NULL AND mid IS NULL THEN 'unknown_material' END, CASE WHEN sid IS NULL THEN 'unknown_supplier' END,
+  CASE WHEN date IS NULL THEN 'invalid_date' END, CASE WHEN qty IS NULL THEN 'invalid_quantity' END, CASE WHEN trim(uom) = '' OR length(trim(uom)) > 12 THEN 'invalid_uom' END, CASE WHEN trim(po) = '' THEN 'missing_po_reference' END,
+  CASE WHEN trim(delivery_date) <> '' AND delivered IS NULL THEN 'invalid_date' END, CASE WHEN trim(unit_price) <> '' AND NOT regexp_full_match(pr, '[0-9]+(\\.[0-9]{{1,2}})?') OR trim(unit_price) = '' AND trim(currency) <> '' THEN 'invalid_price' END,
+  CASE WHEN trim(unit_price) <> '' AND trim(currency) = '' THEN 'invalid_currency' END, CASE WHEN st <> '' AND st NOT IN ('ORDERED', 'PARTIALLY_DELIVERED', 'DELIVERED', 'CANCELLED') THEN 'invalid_status' END,
+  CASE WHEN trim(cmi_code) <> '' AND named IS NULL THEN 'unknown_cmi' END, CASE WHEN named IS NOT NULL AND NOT named_active THEN 'cmi_mismatch' END, CASE WHEN named IS NOT NULL AND mid IS NOT NULL AND mapped IS DISTINCT FROM named THEN 'cmi_mismatch' END,
+  CASE WHEN trim(cmi_code) = '' AND mapped IS NOT NULL AND NOT coalesce(mapped_active, false) THEN 'cmi_mismatch' END], lambda r: r IS NOT NULL) AS rules FROM y),
+w AS (SELECT *, len(list_filter(rules, lambda r: r NOT IN ('missing_po_reference', 'cmi_mismatch'))) > 0 OR named IS NOT NULL AND list_contains(rules, 'cmi_mismatch') AS bad FROM z),
+v AS (SELECT *, row_number() OVER (PARTITION BY bad, oc, upper(trim(material_code)), upper(trim(po)), date, qty, upper(trim(uom)), cmi ORDER BY row_number) > 1 AND NOT bad AS again FROM w),
+done AS (SELECT row_number, CASE WHEN bad THEN 'ERROR' WHEN again OR len(rules) > 0 THEN 'WARNING' ELSE 'VALID' END AS severity, CASE WHEN again THEN list_append(rules, 'duplicate_in_file') ELSE rules END AS rules, date, qty, cmi, bad, again, mid FROM v)"""
+
+
+def _procured(spark: SparkSession, d: str) -> DataFrame:
+    tables = {t: mart(spark, d, t) for t in ("materials", "organizations", "suppliers", "cmis")}
+    text = _FEED
+    for t in tables:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+    suppliers = tables["suppliers"].withColumn("code", F.concat(F.lit("S-"), F.col("supplier_id").cast("string")))
+    cmis = tables["cmis"].withColumn("active", F.length("cmi") % 5 != 0)
+    return I.checked_procurement(spark.sql(text, **tables), tables["organizations"], tables["materials"], suppliers, cmis)
+
+
+def _rules(problems: str = "problems"):
+    return F.array_join(F.transform(problems, lambda p: p["rule"]), "; ").alias("rules")
+
+
+@query(f"WITH {_PROCURED} SELECT row_number, severity, array_to_string(rules, '; ') AS rules, date, qty, cmi FROM done")
 def v11_procurement_rows(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("p_partkey")
-    rows = spark.read.parquet(f"{d}/part.parquet").select(
-        n.alias("row_number"), F.when(n % 9 == 0, "NOWHERE").otherwise("asia").alias("org_code"), F.concat(F.lit("m-"), n.cast("string")).alias("material_code"), F.lit("Supplier#000000001").alias("supplier"),
-        n.cast("string").alias("po"), F.when(n % 8 == 0, "31/02/2024").when(n % 2 == 0, "15/03/2024").otherwise("2024-03-15T10:00").alias("purchase_date"), F.when(n % 7 == 0, "-3").otherwise("1,250.50").alias("quantity"),
-        F.lit("EA").alias("uom"), F.lit("10.00").alias("unit_price"), F.when(n % 5 == 0, "").otherwise("INR").alias("currency"),
-    )
-    supplier = mart(spark, d, "suppliers").where("supplier_id = 1").withColumn("supplier", F.lit("SUPPLIER#000000001"))
-    return I.checked_procurement(rows, mart(spark, d, "organizations"), mart(spark, d, "materials"), supplier).select("row_number", "problem")
+    return _procured(spark, d).select("row_number", "severity", _rules(), "date", "qty", "cmi")
+
+
+@query(f"""WITH {_PROCURED} SELECT 'total' AS counter, count(*) AS n FROM done UNION ALL SELECT lower(severity), count(*) FROM done GROUP BY 1 UNION ALL SELECT r, count(*) FROM (SELECT unnest(rules) AS r FROM done) GROUP BY r""")
+def v14_procurement_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return I.procurement_analysis(_procured(spark, d))
+
+
+@query(f"WITH {_PROCURED} SELECT row_number, CASE WHEN bad THEN 'error' WHEN again OR mid % 15 = 0 THEN 'duplicate' ELSE 'imported' END AS outcome FROM done")
+def v14_procurement_execute(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every fifteenth material were imported by an earlier run."""
+    checked = _procured(spark, d)
+    return I.executed_procurement(checked, checked.where("material_id % 15 = 0").select("signature")).select("row_number", "outcome")
+
+
+_NEW = """SELECT material_id AS id, CASE WHEN material_id % 7 = 0 THEN (org_id + 1) % 5 ELSE org_id END AS org_id, CASE WHEN material_id % 11 = 0 THEN -material_id ELSE material_id END AS material_id,
+  CASE WHEN material_id % 13 = 0 THEN -1 ELSE material_id % 10 + 1 END AS supplier_id, CASE WHEN material_id % 3 = 0 THEN 'no such' WHEN material_id % 5 = 0 THEN NULL ELSE cmi END AS cmi FROM materials"""
+
+
+@query(f"""WITH r AS ({_NEW}), cm AS (SELECT cmi, length(cmi) % 5 <> 0 AS active FROM cmis)
+SELECT id, CASE WHEN m.material_id IS NULL THEN 'unknown_material' WHEN m.org_id <> r.org_id THEN 'organization_mismatch' WHEN r.cmi IS NOT NULL AND c.cmi IS NULL THEN 'unknown_cmi' WHEN r.cmi IS NOT NULL AND NOT c.active THEN 'inactive_cmi'
+WHEN r.cmi IS DISTINCT FROM (SELECT x.cmi FROM cm x WHERE x.cmi = m.cmi AND x.active) THEN 'cmi_mismatch' WHEN r.supplier_id NOT IN (SELECT supplier_id FROM suppliers) THEN 'unknown_supplier' END AS problem
+FROM r LEFT JOIN materials m ON m.material_id = r.material_id LEFT JOIN cm c ON c.cmi = r.cmi""")
+def v18_insert_rules(spark: SparkSession, d: str) -> DataFrame:
+    materials = mart(spark, d, "materials")
+    records = spark.sql(_NEW.replace("FROM materials", "FROM {materials}"), materials=materials)
+    cmis = mart(spark, d, "cmis").withColumn("active", F.length("cmi") % 5 != 0)
+    return I.insert_problems(records, materials, mart(spark, d, "suppliers"), cmis).select("id", "problem")
 
 
 @query()

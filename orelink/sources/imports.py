@@ -4,24 +4,61 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Header aliases by target, known categories and units, length limits.
+from orelink.functions import text as T
+
+# Header aliases by target, known categories and units, length limits, technical columns.
 ALIASES = {
     "material_code": ["material_code", "code", "item_code", "mat_code", "material_id", "part_code"],
     "description": ["description", "material_description", "mat_desc", "desc", "item_description"],
     "category": ["category", "material_group", "mat_group", "group"],
+    "subcategory": ["subcategory", "sub_category", "material_subgroup"],
     "uom": ["uom", "unit", "base_uom", "unit_of_measure"],
     "manufacturer": ["manufacturer", "mfr", "make", "brand"],
+    "model": ["model", "model_no", "model_number"],
     "part_number": ["part_number", "part_no", "oem_part", "mpn"],
     "organization": ["organization", "cpse_name", "org", "org_code"],
     "quantity": ["quantity", "qty"],
+    "size": ["size"],
+    "material_type": ["material_type", "material"],
+    "voltage": ["voltage"],
+    "pressure_rating": ["pressure_rating", "pressure"],
+    "power": ["power"],
+    "temperature_rating": ["temperature_rating", "temperature"],
+    "seal_type": ["seal_type", "seal"],
+    "bearing_type": ["bearing_type"],
+    "grade": ["grade", "mat_grade"],
 }
 CATEGORIES = ["Bearings", "Valves", "Motors", "Pumps", "Fasteners", "Uncategorised"]
-UOMS = ["EA", "PCS", "NOS", "SET", "KG", "G", "TON", "L", "ML", "M", "CM", "MM"]
+UOMS = """NOS EA EACH PCS SET PAIR MTR M METER METRE MM CM KM KG G TON TONNE L LTR LITRE LITER ML M2 M3 SQM KVA KW HP BOX ROLL DRUM BOTTLE CAN""".split()
 CODE_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9\-/_.]*$"
-CODE_MAX, DESCRIPTION_MIN, DESCRIPTION_MAX, FIELD_MAX = 50, 3, 500, 120
+CODE_MAX, DESCRIPTION_MIN, DESCRIPTION_MAX = 50, 3, 500
+FIELD_MAX = {"category": 80, "subcategory": 80, "manufacturer": 120, "model": 80, "part_number": 80, "uom": 20}
+MALFORMED = r"(?i)\b\d+(XX|YY|ZZ\s*V)\b"
+TECHNICAL = {  # column: (attribute, unit, critical)
+    "size": ("size", None, False), "material_type": ("material_type", None, False), "voltage": ("voltage_rating", "V", True), "pressure_rating": ("pressure_class", None, True),
+    "power": ("power_rating", "KW", True), "temperature_rating": ("temperature_rating", "C", False), "seal_type": ("seal_type", None, True), "bearing_type": ("bearing_type", None, False), "grade": ("material_grade", None, False),
+}
+# Header names of a procurement file by target, as patterns of whole normalized headers; required targets; states.
+PROCUREMENT_HEADERS = {
+    "organization": r"cpse(_?name)?|organi[sz]ation(_?name)?|org(_?name)?|entity|company",
+    "material_code": r"(material|item)(_?(code|id))?",
+    "supplier": r"(supplier|vendor)(_?(code|id))?",
+    "purchase_date": r"(purchase|po|order|purchasing)_?date",
+    "delivery_date": r"(delivery|received|grn)_?date",
+    "quantity": r"((ordered|purchase)_?)?(qty|quantity)",
+    "uom": r"uom|unit(_?of_?measure)?",
+    "po": r"(po_?|purchase_?order(_?)?)(no|number|ref|reference)?|order_?reference",
+    "unit_price": r"unit_?price|rate|price|cost",
+    "currency": r"currency(_?code)?",
+    "status": r"((procurement|po)_?)?status",
+    "plant": r"plant(_?location)?|location|site|store",
+    "cmi_code": r"cmi(_?(code|id))?|common_?material_?code",
+}
+PROCUREMENT_REQUIRED = ["organization", "material_code", "supplier", "purchase_date", "quantity", "uom"]
+PROCUREMENT_STATES = ["ORDERED", "PARTIALLY_DELIVERED", "DELIVERED", "CANCELLED"]
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -58,6 +95,16 @@ def suggest_mapping(headers: list[str]) -> dict[str, str]:
     return found
 
 
+def suggest_procurement_mapping(headers: list[str]) -> tuple[dict[str, str], list[str]]:
+    """Target column -> header for a procurement file, the first header that names a target winning, and the required targets without one."""
+    found: dict[str, str] = {}
+    for h in headers:
+        hit = next((t for t, pattern in PROCUREMENT_HEADERS.items() if t not in found and re.fullmatch(pattern, header_key(h))), None)
+        if hit:
+            found[hit] = h
+    return found, [t for t in PROCUREMENT_REQUIRED if t not in found]
+
+
 def mapped(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """Columns by target name (missing ones null); other columns go to the map ``source_metadata``."""
     mapping = mapping or suggest_mapping(df.columns)
@@ -86,24 +133,33 @@ def _problem(condition: Column, rule: str, severity: str) -> Column:
     return F.when(condition, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
 
 
+def _text(c: str | Column) -> Column:
+    return F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+
+
 def validated(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """rows: row_number and the mapped columns as strings. Adds problems (rule, severity), severity and is_empty.
+    """rows: row_number and any of the mapped columns as strings. Adds problems (rule, severity), severity and is_empty.
 
-    A code's first row (in row order, whatever its other errors) is the original; later ones are duplicates,
-    without regard to case. ``existing`` (material_code) holds the codes in store.
+    A code's first row (in row order, whatever its other errors) is the original; later ones are duplicates, without regard to case.
+    ``existing`` (material_code, optionally organization) holds the codes in store; with organization, and where the file has that
+    column, a code is a duplicate within its organization only. Blank codes are in no group.
     """
-    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    code, description, uom = text("material_code"), text("description"), F.upper(text("uom"))
-    quantity, category = F.regexp_replace(text("quantity"), ",", ""), text("category")
-    names = ["material_code", "description", "category", "uom", "manufacturer", "quantity"]
-    empty = F.concat(*[text(n) for n in names]) == ""
-    firsts = F.min(F.when(code != "", F.col("row_number"))).over(Window.partitionBy(F.upper(code)))
-    rows = rows.withColumns({"is_empty": empty, "_first": firsts})
-    if existing is not None:
-        known = existing.select(F.upper(F.trim("material_code")).alias("_known")).distinct()
-        rows = rows.join(known, F.upper(code) == F.col("_known"), "left")
-    else:
+    code, description, uom, category = _text("material_code"), _text("description"), F.upper(_text("uom")), _text("category")
+    cells = [c for c in rows.columns if c in ALIASES]
+    keyed = rows.withColumns({"is_empty": F.concat(*[_text(n) for n in cells]) == "", "_key": F.when(code != "", F.upper(code)).otherwise(F.concat(F.lit("\0"), F.col("row_number").cast("string")))})
+    firsts = keyed.groupBy("_key").agg(F.min("row_number").alias("_first"))
+    rows = keyed.join(firsts, "_key")
+    if existing is None:
         rows = rows.withColumn("_known", F.lit(None).cast("string"))
+    elif "organization" in existing.columns and "organization" in cells:
+        known = existing.select(F.upper(F.trim("material_code")).alias("_known"), F.upper(F.trim("organization")).alias("_owner")).distinct()
+        rows = rows.join(known, (F.col("_key") == F.col("_known")) & (F.upper(_text("organization")) == F.col("_owner")), "left")
+    else:
+        rows = rows.join(existing.select(F.upper(F.trim("material_code")).alias("_known")).distinct(), F.col("_key") == F.col("_known"), "left")
+    long = F.lit(False)
+    for field, most in FIELD_MAX.items():
+        if field in cells:
+            long = long | (F.length(_text(field)) > most)
     problems = F.array_compact(
         F.array(
             _problem(code == "", "missing_code", "ERROR"),
@@ -114,25 +170,38 @@ def validated(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
             _problem(F.length(description) > DESCRIPTION_MAX, "description_too_long", "ERROR"),
             _problem((code != "") & (F.col("row_number") > F.col("_first")), "duplicate_in_file", "ERROR"),
             _problem(F.col("_known").isNotNull(), "duplicate_in_database", "ERROR"),
-            _problem((category != "") & ~category.isin(CATEGORIES), "unknown_category", "WARNING"),
-            _problem((quantity != "") & ~quantity.rlike(r"^\d+(\.\d+)?$"), "malformed_quantity", "WARNING"),
+            _problem((category != "") & ~category.isin(CATEGORIES), "unknown_category", "ERROR"),
+            _problem(description.rlike(MALFORMED), "malformed_quantity", "WARNING"),
             _problem((uom != "") & ~uom.isin(UOMS), "unknown_uom", "WARNING"),
-            _problem(F.length(text("manufacturer")) > FIELD_MAX, "field_too_long", "ERROR"),
-            _problem(text("manufacturer") == "", "missing_manufacturer", "WARNING"),
+            _problem(long, "field_too_long", "WARNING"),
+            _problem(_text("manufacturer") == "", "missing_manufacturer", "WARNING") if "manufacturer" in cells else F.lit(None).cast("struct<rule:string,severity:string>"),
         )
     )
     problems = F.when(F.col("is_empty"), F.array().cast("array<struct<rule:string,severity:string>>")).otherwise(problems)
-    severity = F.when(F.exists("problems", lambda p: p["severity"] == "ERROR"), "ERROR").when(F.size("problems") > 0, "WARNING").otherwise("VALID")
-    return rows.withColumn("problems", problems).withColumn("severity", severity).drop("_first", "_known")
+    return _with_severity(rows.withColumn("problems", problems)).drop("_first", "_known", "_owner", "_key")
+
+
+def _with_severity(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("severity", F.when(F.exists("problems", lambda p: p["severity"] == "ERROR"), "ERROR").when(F.size("problems") > 0, "WARNING").otherwise("VALID"))
+
+
+def technical_attributes(rows: DataFrame) -> DataFrame:
+    """(row_number, attribute_name, value, normalized_value, unit, is_critical) of each filled technical column."""
+    kinds = [(c, *v) for c, v in TECHNICAL.items() if c in rows.columns]
+    facts = F.array(*[F.struct(F.lit(name).alias("attribute_name"), _text(c).alias("value"), T.canonical_value(_text(c)).alias("normalized_value"), F.lit(unit).cast("string").alias("unit"), F.lit(critical).alias("is_critical")) for c, name, unit, critical in kinds])
+    return rows.select("row_number", F.explode(F.filter(facts, lambda x: x["value"] != "")).alias("a")).select("row_number", "a.*")
 
 
 def feed_analysis(checked: DataFrame) -> DataFrame:
-    """One row of counters over validated rows."""
+    """One row over validated rows: counters, whether any row can load, and the filled share of each column of full rows in tenths of a percent."""
     full = ~F.col("is_empty")
+    cells = [c for c in checked.columns if c in ALIASES]
+    filled = {c: F.coalesce(F.round(F.try_divide(F.count_if(full & (_text(c) != "")) * F.lit(1000), F.count_if(full))).cast("long"), F.lit(0).cast("long")) for c in cells}
     has = lambda rule: F.exists("problems", lambda p: p["rule"] == rule)
     return checked.agg(
         F.count("*").alias("total"), F.count_if(~full).alias("empty"), F.count_if(full & (F.col("severity") == "VALID")).alias("valid"), F.count_if(full & (F.col("severity") == "WARNING")).alias("warnings"),
         F.count_if(full & (F.col("severity") == "ERROR")).alias("errors"), F.count_if(has("duplicate_in_file")).alias("duplicates"),
+        (F.count_if(full & (F.col("severity") != "ERROR")) > 0).alias("can_execute"), *[share.alias(f"{c}_filled") for c, share in filled.items()],
     )
 
 
@@ -191,51 +260,138 @@ def code_collisions(checked: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def parsed_date(raw: Column) -> Column:
-    """ISO (trailing text allowed) or DD/MM/YYYY, real calendar days only; else null."""
-    iso, local = F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1), F.regexp_extract(raw, r"^(\d{2}/\d{2}/\d{4})$", 1)
-    return F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).when(local != "", F.try_to_date(local, "dd/MM/yyyy"))
+    """ISO (trailing text allowed) or D/M/YYYY with slashes or dashes, real calendar days only; else null."""
+    raw = F.trim(raw)
+    part = lambda i: F.lpad(F.regexp_extract(raw, LOCAL_DATE, i), 2, "0")
+    iso, local = F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1), F.concat(F.regexp_extract(raw, LOCAL_DATE, 3), F.lit("-"), part(2), F.lit("-"), part(1))
+    return F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).when(raw.rlike(LOCAL_DATE), F.try_to_date(local, "yyyy-MM-dd"))
+
+
+LOCAL_DATE = r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})$"
+DECIMAL = r"^\d+(\.\d{1,2})?$"
+
+
+def _plain(number: Column) -> Column:
+    """Digits without trailing zeros of the fraction: 12.50 -> 12.5, 12.00 -> 12."""
+    return F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def parsed_quantity(raw: Column) -> Column:
-    """Positive with at most two decimals, thousands commas dropped; else null."""
+    """The canonical text of a positive number of at most two decimals, thousands commas dropped; else null."""
     clean = F.regexp_replace(F.trim(raw), ",", "")
-    value = F.when(clean.rlike(r"^\d+(\.\d{1,2}0*)?$"), clean.try_cast("decimal(18,2)"))
-    return F.when(value > 0, value)
+    return F.when(clean.rlike(DECIMAL) & (clean.try_cast("decimal(38,2)") > 0), _plain(clean))
+
+
+def parsed_price(raw: Column) -> Column:
+    """Like a quantity, with a leading currency sign dropped and zero allowed."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(raw), ",", ""), "^[\u20b9$]", "")
+    return F.when(clean.rlike(DECIMAL), _plain(clean))
 
 
 def row_signature(*columns: Column) -> Column:
     return F.to_json(F.array(*[F.upper(F.coalesce(c.cast("string"), F.lit(""))) for c in columns]))
 
 
-def checked_procurement(rows: DataFrame, organizations: DataFrame, materials: DataFrame, suppliers: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """rows: row_number, org_code, material_code, supplier, po, purchase_date, quantity, uom, unit_price, currency (strings).
+def resolved(rows: DataFrame, organizations: DataFrame, materials: DataFrame, suppliers: DataFrame, cmis: DataFrame) -> DataFrame:
+    """Procurement rows with their masters: org_id, material_id (of that organization), supplier_id (by code, then by name), the cmi named and the cmi mapped.
 
-    Resolves the masters, parses, and names the first problem of each row; repeated signatures skip after the first.
+    organizations: org_id, org_code; materials: material_id, org_id, code, cmi; suppliers: supplier_id, code, supplier; cmis: cmi, active.
     """
-    org = organizations.select("org_id", F.upper("org_code").alias("_org"))
-    mat = materials.select("material_id", F.col("org_id").alias("_mo"), F.upper("code").alias("_mat"), "cmi")
-    sup = suppliers.select("supplier_id", F.upper("supplier").alias("_sup"))
-    out = rows.join(org, F.upper(F.trim("org_code")) == F.col("_org"), "left")
-    out = out.join(mat, (F.upper(F.trim("material_code")) == F.col("_mat")), "left").join(sup, F.upper(F.trim("supplier")) == F.col("_sup"), "left")
-    out = out.withColumns({"date": parsed_date(F.col("purchase_date")), "qty": parsed_quantity(F.col("quantity")), "price": parsed_quantity(F.col("unit_price"))})
-    sign = row_signature(F.col("org_id"), F.col("material_id"), F.col("po"), F.col("date"), F.col("qty"), F.col("uom"), F.col("cmi"))
-    out = out.withColumn("signature", sign)
-    first = F.min("row_number").over(Window.partitionBy("signature"))
-    out = out.withColumn("_first", first)
-    if seen is not None:
-        out = out.join(seen.select(F.col("signature").alias("_seen")).distinct(), F.col("signature") == F.col("_seen"), "left")
-    else:
-        out = out.withColumn("_seen", F.lit(None).cast("string"))
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    code = lambda c, n: F.substring(F.upper(_text(c)), 1, n)
+    rows = rows.withColumns({"_org": code("organization", 12), "_code": code("material_code", 60), "_cmi": code("cmi_code", 40), "_sup": F.upper(_text("supplier"))})
+    out = rows.join(organizations.select("org_id", F.upper("org_code").alias("_org")), "_org", "left")
+    known = materials.select("material_id", F.col("org_id").alias("_owner"), F.upper("code").alias("_own"), F.col("cmi").alias("mapped_cmi"))
+    out = out.join(known, (F.col("org_id") == F.col("_owner")) & (F.col("_code") == F.col("_own")), "left")
+    by_code = suppliers.groupBy(F.upper(F.trim("code")).alias("_sup")).agg(F.min("supplier_id").alias("_by_code"))
+    by_name = suppliers.groupBy(F.upper(F.trim("supplier")).alias("_sup")).agg(F.min("supplier_id").alias("_by_name"))
+    out = out.join(by_code, "_sup", "left").join(by_name, "_sup", "left").withColumn("supplier_id", F.coalesce("_by_code", "_by_name"))
+    named = cmis.select(F.upper("cmi").alias("_cmi"), F.col("cmi").alias("named_cmi"), F.col("active").alias("named_active"))
+    mapped_ = cmis.select(F.col("cmi").alias("mapped_cmi"), F.col("active").alias("mapped_active"))
+    return out.join(named, "_cmi", "left").join(mapped_, "mapped_cmi", "left").drop("_owner", "_own", "_by_code", "_by_name")
+
+
+def checked_procurement(rows: DataFrame, organizations: DataFrame, materials: DataFrame, suppliers: DataFrame, cmis: DataFrame) -> DataFrame:
+    """rows: row_number and the targets of PROCUREMENT_HEADERS as strings. Adds the masters' ids, parsed values, problems, severity, is_empty and signature.
+
+    A record carries the cmi that it names, if its material is mapped there and it is active, else the active one of its material. Of rows
+    without errors and of equal signature the first is the original, later ones get a warning.
+    """
+    out = resolved(rows, organizations, materials, suppliers, cmis)
+    state = F.regexp_replace(F.upper(_text("status")), r"[\s\-]+", "_")
+    named, mapped_ = F.col("named_cmi"), F.col("mapped_cmi")
+    found = F.col("material_id").isNotNull()
+    out = out.withColumns(
+        {
+            "is_empty": F.concat(*[_text(c) for c in PROCUREMENT_HEADERS]) == "", "date": parsed_date(_text("purchase_date")), "delivered": parsed_date(_text("delivery_date")), "qty": parsed_quantity(_text("quantity")),
+            "price": parsed_price(_text("unit_price")), "state": F.when(state == "", "ORDERED").when(state.isin(PROCUREMENT_STATES), state), "cmi": F.coalesce(named, F.when((F.col("_cmi") == "") & F.col("mapped_active"), mapped_)),
+        }
+    )
+    blank = lambda c: _text(c) == ""
+    bad_cmi = F.filter(F.array(~F.col("named_active"), found & mapped_.isNotNull() & (mapped_ != named), found & mapped_.isNull()), lambda x: F.coalesce(x, F.lit(False)))
+    first = F.array_compact(
+        F.array(
+            _problem(F.col("org_id").isNull(), "unknown_organization", "ERROR"),
+            _problem((F.col("_code") == "") | (F.col("org_id").isNotNull() & ~found), "unknown_material", "ERROR"),
+            _problem(F.col("supplier_id").isNull(), "unknown_supplier", "ERROR"),
+            _problem(F.col("date").isNull(), "invalid_date", "ERROR"),
+            _problem(F.col("qty").isNull(), "invalid_quantity", "ERROR"),
+            _problem(blank("uom") | (F.length(_text("uom")) > 12), "invalid_uom", "ERROR"),
+            _problem(blank("po"), "missing_po_reference", "WARNING"),
+            _problem(~blank("delivery_date") & F.col("delivered").isNull(), "invalid_date", "ERROR"),
+            _problem((~blank("unit_price") & F.col("price").isNull()) | (blank("unit_price") & ~blank("currency")), "invalid_price", "ERROR"),
+            _problem(~blank("unit_price") & blank("currency"), "invalid_currency", "ERROR"),
+            _problem(F.col("state").isNull(), "invalid_status", "ERROR"),
+            _problem((F.col("_cmi") != "") & named.isNull(), "unknown_cmi", "ERROR"),
+        )
+    )
+    mismatch = F.when(named.isNotNull(), F.transform(bad_cmi, lambda _: F.struct(F.lit("cmi_mismatch").alias("rule"), F.lit("ERROR").alias("severity"))))
+    inactive = F.when((F.col("_cmi") == "") & mapped_.isNotNull() & ~F.coalesce("mapped_active", F.lit(False)), F.array(F.struct(F.lit("cmi_mismatch").alias("rule"), F.lit("WARNING").alias("severity"))))
+    none = F.array().cast("array<struct<rule:string,severity:string>>")
+    out = _with_severity(out.withColumn("problems", F.when(F.col("is_empty"), none).otherwise(F.concat(first, F.coalesce(mismatch, inactive, none)))))
+    sign = row_signature(F.col("_org"), F.col("_code"), _text("po"), F.col("date"), F.col("qty"), _text("uom"), F.col("cmi"))
+    out = out.withColumn("signature", F.when(~F.col("is_empty") & (F.col("severity") != "ERROR"), sign))
+    firsts = out.where("signature is not null").groupBy("signature").agg(F.min("row_number").alias("_first"))
+    key = F.coalesce("signature", F.concat(F.lit("\0"), F.col("row_number").cast("string")))  # rows without one are in no group
+    out = out.withColumn("_key", key).join(firsts.withColumnRenamed("signature", "_key"), "_key", "left")
+    again = F.array(F.struct(F.lit("duplicate_in_file").alias("rule"), F.lit("WARNING").alias("severity")))
+    out = out.withColumn("problems", F.when(F.col("row_number") > F.col("_first"), F.concat("problems", again)).otherwise(F.col("problems")))
+    return _with_severity(out).drop("_first", "_key", "_org", "_code", "_cmi", "_sup", "mapped_cmi", "mapped_active", "named_cmi", "named_active")
+
+
+def procurement_analysis(checked: DataFrame) -> DataFrame:
+    """(counter, n): rows by severity, empty rows, and problems by rule."""
+    rows = checked.select(F.when(F.col("is_empty"), "empty").otherwise(F.lower("severity")).alias("counter"))
+    rules = checked.select(F.explode("problems").alias("p")).select(F.col("p.rule").alias("counter"))
+    total = checked.select(F.lit("total").alias("counter"))
+    return total.unionByName(rows).unionByName(rules).groupBy("counter").agg(F.count("*").alias("n"))
+
+
+def executed_procurement(checked: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Adds outcome: error, duplicate (in the file, or of a signature in ``seen``) or imported; empty rows are left out."""
+    seen = checked.select("signature").limit(0) if seen is None else seen.select("signature")
+    known = seen.where("signature is not null").distinct().withColumn("_seen", F.lit(True))
+    again = F.exists("problems", lambda p: p["rule"] == "duplicate_in_file") | F.col("_seen").isNotNull()
+    rows = checked.where("not is_empty")
+    loads = rows.where("signature is not null").join(known, "signature", "left").withColumn("outcome", F.when(again, "duplicate").otherwise("imported")).drop("_seen")
+    return loads.unionByName(rows.where("signature is null").withColumn("outcome", F.lit("error")))
+
+
+def insert_problems(records: DataFrame, materials: DataFrame, suppliers: DataFrame, cmis: DataFrame) -> DataFrame:
+    """records: (id, org_id, material_id, supplier_id, cmi). Adds ``problem``: the first rule that a single new record breaks, or null.
+
+    A record belongs to its material's organization and names that material's active cmi, or none where it has none.
+    """
+    own = materials.select("material_id", F.col("org_id").alias("_owner"), F.col("cmi").alias("_mapped"))
+    known = cmis.select("cmi", F.col("active").alias("_active"))
+    live = cmis.where("active").select(F.col("cmi").alias("_mapped"), F.lit(True).alias("_live"))
+    out = records.join(own, "material_id", "left").join(known, "cmi", "left").join(live, "_mapped", "left").join(suppliers.select("supplier_id", F.lit(True).alias("_sold")), "supplier_id", "left")
+    mapped_ = F.when(F.col("_live"), F.col("_mapped"))
     problem = (
-        F.when(F.col("org_id").isNull(), "unknown_organization")
-        .when(F.col("material_id").isNull(), "unknown_material")
-        .when(F.col("supplier_id").isNull(), "unknown_supplier")
-        .when(F.col("date").isNull(), "bad_date")
-        .when(F.col("qty").isNull(), "bad_quantity")
-        .when(blank("unit_price") & ~blank("currency"), "currency_without_price")
-        .when(~blank("unit_price") & blank("currency"), "price_without_currency")
-        .when(F.col("row_number") > F.col("_first"), "duplicate_in_file")
-        .when(F.col("_seen").isNotNull(), "already_imported")
+        F.when(F.col("_owner").isNull(), "unknown_material")
+        .when(F.col("org_id") != F.col("_owner"), "organization_mismatch")
+        .when(F.col("cmi").isNotNull() & F.col("_active").isNull(), "unknown_cmi")
+        .when(F.col("cmi").isNotNull() & ~F.col("_active"), "inactive_cmi")
+        .when(~F.col("cmi").eqNullSafe(mapped_), "cmi_mismatch")
+        .when(F.col("_sold").isNull(), "unknown_supplier")
     )
-    return out.withColumn("problem", problem).drop("_first", "_seen", "_org", "_mat", "_mo", "_sup")
+    return out.withColumn("problem", problem).select(*records.columns, "problem")
