@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,27 @@ def with_cmi_state(matches: DataFrame, mappings: DataFrame) -> DataFrame:
     return both.withColumn("cmi_state", state).drop("cmi_a", "cmi_b")
 
 
+# States of a match that a person has decided.
+DECIDED = ["approved", "rejected", "deferred"]
+
+
 def short_circuited(pairs: DataFrame, mappings: DataFrame) -> DataFrame:
     """Pairs that are not already of one cmi."""
-    side = lambda s: mappings.where("cmi is not null").select(F.col("material_id").alias(s), F.col("cmi").alias(f"cmi_{s}"))
+    return cmi_verdicts(pairs, mappings).where("not same_cmi").select(*pairs.columns)
+
+
+def cmi_verdicts(pairs: DataFrame, mappings: DataFrame, decided: DataFrame | None = None, mode: str = "shadow") -> DataFrame:
+    """Adds same_cmi, and skippable: in mode 'on' a pair of one cmi whose match (a, b in any order, status) is decided; off: neither."""
+    side = lambda s: mappings.where("cmi is not null").select(F.col("material_id").alias(s), F.col("cmi").alias(f"_cmi_{s}"))
     both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(~F.coalesce(F.col("cmi_a") == F.col("cmi_b"), F.lit(False))).drop("cmi_a", "cmi_b")
+    same = F.coalesce(F.col("_cmi_a") == F.col("_cmi_b"), F.lit(False)) if mode != "off" else F.lit(False)
+    both = both.withColumn("same_cmi", same)
+    skippable = F.lit(False)
+    if mode == "on" and decided is not None:
+        known = decided.where(F.col("status").isin(DECIDED)).select(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).distinct().withColumn("_decided", F.lit(True))
+        both = both.join(known, (F.least("a", "b") == F.col("_low")) & (F.greatest("a", "b") == F.col("_high")), "left")
+        skippable = F.col("same_cmi") & F.coalesce("_decided", F.lit(False))
+    return both.select(*pairs.columns, "same_cmi", skippable.alias("skippable"))
 
 
 def resolve(materials: DataFrame, text: str) -> DataFrame:
@@ -144,3 +162,91 @@ def attention(matches: DataFrame, most: int = 3) -> DataFrame:
     """The pending matches to look at first: critical differences, those of seals before others, then by score."""
     c = F.col("critical_difference")
     return matches.where("status = 'pending'").orderBy(c.isNull(), ~F.coalesce(c.startswith("seal"), F.lit(False)), F.desc("final_score"), "match_id").limit(most)
+
+
+# The comparison kinds of stored evidence by the relation that a review shows.
+RELATIONS = {"EXACT_MATCH": "EXACT", "NORMALIZED_MATCH": "NORMALIZED", "CLOSE_MATCH": "CLOSE", "MISSING": "MISSING", "CONFLICT": "CONFLICT"}
+COMPARISONS = "array<struct<name:string,type:string,critical:boolean,value_a:string,value_b:string>>"
+
+
+def review_evidence(matches: DataFrame) -> DataFrame:
+    """matches: match_id, evidence (JSON with comparisons), critical_difference. One row for each compared attribute and each conflict that only the stored difference names.
+
+    Critical attributes are CRITICAL, other conflicts IMPORTANT, the rest INFORMATIONAL.
+    """
+    rows = matches.withColumn("compared", F.coalesce(F.from_json(F.get_json_object("evidence", "$.comparisons"), COMPARISONS), F.array().cast(COMPARISONS)))
+    relation = F.create_map(*[F.lit(x) for pair in RELATIONS.items() for x in pair])
+    x = F.col("x")
+    conflict = x["type"] == "CONFLICT"
+    shown = rows.select("match_id", F.explode("compared").alias("x")).select(
+        "match_id", x["name"].alias("attribute"), x["value_a"].alias("left_value"), x["value_b"].alias("right_value"), F.coalesce(F.try_element_at(relation, x["type"]), F.lit("NOT_APPLICABLE")).alias("relation"),
+        F.when(x["critical"], "CRITICAL").when(conflict, "IMPORTANT").otherwise("INFORMATIONAL").alias("importance"), F.lit("comparison").alias("source"),
+    )
+    text = F.lower("critical_difference")
+    named = F.exists(F.filter("compared", lambda c: c["type"] == "CONFLICT"), lambda c: text.contains(F.lower(F.regexp_replace(c["name"], "_", " "))) | text.contains(F.lower(c["name"])))
+    none = F.lit(None).cast("string")
+    only = rows.where(F.col("critical_difference").isNotNull() & (F.col("critical_difference") != "") & ~named)
+    name = F.trim(F.substring_index("critical_difference", ":", 1))
+    stored = only.select("match_id", F.when(name != "", name).otherwise("critical_difference").alias("attribute"), none.alias("left_value"), none.alias("right_value"), F.lit("CONFLICT").alias("relation"), F.lit("CRITICAL").alias("importance"), F.lit("stored_difference").alias("source"))
+    return shown.unionByName(stored)
+
+
+def review_verdicts(context: DataFrame) -> DataFrame:
+    """context: ``in_context`` rows. The verdict of each match, whether a person must review it, and how makers and categories relate."""
+    verdict = F.coalesce(F.get_json_object("evidence", "$.decision.state"), F.lit("UNCLASSIFIED"))
+    a, b = F.upper(F.trim("manufacturer_a")), F.upper(F.trim("manufacturer_b"))
+    makers = F.when(F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe(""), "unknown").when(a == b, "same").otherwise("different")
+    kinds = F.when(F.lower(F.trim("category_a")) == F.lower(F.trim("category_b")), "same_category").otherwise("cross_category")
+    missing = F.coalesce(F.json_array_length(F.get_json_object("evidence", "$.missingCritical")), F.lit(0))
+    return context.select(
+        "match_id", verdict.alias("verdict"), F.coalesce(F.get_json_object("evidence", "$.decision.band"), F.lit("unknown")).alias("band"), verdict.isin("NEEDS_TECHNICAL_REVIEW", "UNCLASSIFIED").alias("review_required"),
+        makers.alias("manufacturers"), kinds.alias("categories"), missing.alias("missing"),
+    )
+
+
+def source_trace(materials: DataFrame, imports: DataFrame) -> DataFrame:
+    """materials: material_id, org_code, code, import_id; imports: import_id, file_name, row_report (JSON). Where each record came from."""
+    rows = materials.join(imports.select("import_id", "file_name", "row_report"), "import_id", "left")
+    field = lambda name: F.get_json_object("row_report", f"$.integration.{name}")
+    joined = F.get_json_object("row_report", "$.integration").startswith("{")
+    joined = F.coalesce(joined, F.lit(False))
+    channel = F.when(joined, "integration").when(F.col("import_id").isNotNull(), "import_center").otherwise("legacy")
+    return rows.select(
+        "material_id", F.when(joined, F.coalesce(field("cpse"), "org_code")).otherwise(F.col("org_code")).alias("organization"), F.when(joined, F.coalesce(field("sourceSystem"), field("adapterId"))).alias("source_system"),
+        F.col("code").alias("record"), F.when(joined, field("adapterVersion")).alias("adapter_version"), F.when(channel != "legacy", F.coalesce(F.when(joined, field("sourceFileName")), F.col("file_name"))).alias("file_name"), channel.alias("channel"),
+    )
+
+
+def integration_history(imports: DataFrame) -> DataFrame:
+    """Imports whose JSON report holds an integration, with its adapter."""
+    held = F.get_json_object("row_report", "$.integration")
+    return imports.where(F.coalesce(held.startswith("{"), F.lit(False))).select("import_id", "org_id", "status", F.get_json_object("row_report", "$.integration.adapterId").alias("adapter"), F.get_json_object("row_report", "$.integration.adapterVersion").alias("version"))
+
+
+def dashboard(materials: DataFrame, matches: DataFrame, queue: DataFrame, imports: DataFrame, organizations: DataFrame, cmis: DataFrame, org_id: int | None = None) -> DataFrame:
+    """(block, name, n): the dashboard's counts and distributions, of all or of one organization: its materials and imports, and the matches with a side there."""
+    if org_id is not None:
+        materials, imports = materials.where(F.col("org_id") == org_id), imports.where(F.col("org_id") == org_id)
+        own = materials.select("material_id")
+        sides = matches.select("match_id", F.explode(F.array("a", "b")).alias("material_id")).join(own, "material_id", "left_semi").select("match_id").distinct()
+        matches, queue = matches.join(sides, "match_id", "left_semi"), queue.join(sides, "match_id", "left_semi")
+    pending, opened = F.col("status") == "pending", F.col("status") == "open"
+    one = lambda df, **counts: named(df.agg(*[c.alias(n) for n, c in counts.items()]), *counts)
+    named = lambda df, *names: df.unpivot([], list(names), "name", "n").select(F.lit("totals").alias("block"), "name", F.col("n").cast("long").alias("n"))
+    by = lambda block, df, c: df.groupBy(F.col(c).cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit(block).alias("block"), "name", "n")
+    parts = [
+        one(materials, materials=F.count("*"), mappings=F.count("cmi")), one(queue, pending_reviews=F.count_if(opened)), one(cmis, common_identities=F.count("*")), one(organizations, organizations=F.count("*")),
+        one(matches, near_equivalents=F.count_if(pending & (F.col("match_type") == "near_equivalent")), identical=F.count_if(pending & (F.col("match_type") == "identical")), critical_conflicts=F.count_if(pending & F.col("critical_difference").isNotNull())),
+        one(imports, imports_completed=F.count_if(F.col("status") == "completed"), imports_pending=F.count_if(F.col("status").isin("pending", "processing"))),
+        by("match_type", matches, "match_type"), by("match_status", matches, "status"), by("category", materials, "category"), by("open_queue", queue.where(opened), "priority"), by("queue_status", queue, "status"),
+        by("decision", matches.select(F.coalesce(F.get_json_object("evidence", "$.decision.state"), F.lit("UNCLASSIFIED")).alias("state")), "state"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def conflict_attributes(matches: DataFrame, most: int = 12) -> DataFrame:
+    """(attribute, reason, n): the most frequent stored conflict reasons, with the attribute that each names."""
+    reason = F.concat(F.lit("critical technical conflict: "), "critical_difference")
+    conflicts = matches.where((F.get_json_object("evidence", "$.decision.state") == "TECHNICAL_CONFLICT") & F.col("critical_difference").isNotNull()).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    name = F.regexp_extract("reason", r"(?i)conflict: ([a-z_]+):", 1)
+    return conflicts.orderBy(F.desc("n"), "reason").limit(most).select(F.when(name != "", name).otherwise(F.regexp_replace("reason", "critical technical conflict: ", "")).alias("attribute"), "reason", "n")

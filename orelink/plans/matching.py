@@ -105,7 +105,7 @@ _SIGNALS = ["material_id_a", "material_id_b", "semantic", "fuzzy", "technical",
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Surviving pairs of classes, and the members of the classes."""
     rows, members = M.classes(mart(spark, d, "materials").select("material_id", "org_id", "code", "description", "manufacturer"))
-    rows = M.features(rows).persist()
+    rows = M.features(rows)
     return M.surviving(M.by_makers(M.score_pairs(M.class_pairs(rows), rows))).select(*_SIGNALS, "differ"), members
 
 
@@ -121,6 +121,29 @@ def w2_match_summary(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("decision", "match_type").agg(F.sum("pairs").alias("pairs"), mean.alias("mean_score"))
 
 
+@query("""WITH c AS (SELECT category, org_id, count(*) AS n FROM materials GROUP BY ALL), p AS (SELECT x.category, sum(x.n * y.n) AS pairs FROM c x JOIN c y ON x.category = y.category AND x.org_id < y.org_id GROUP BY 1)
+SELECT c.category, cast(sum(n) AS bigint) AS materials, cast(coalesce(any_value(p.pairs), 0) AS bigint) AS pairs FROM c LEFT JOIN p ON p.category = c.category GROUP BY c.category""")
+def k11_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return M.pair_counts(mart(spark, d, "materials"))
+
+
+@query()
+def k21_explained_run(spark: SparkSession, d: str) -> DataFrame:
+    """The explanation of every surviving pair of classes."""
+    rows, _ = M.classes(mart(spark, d, "materials").select("material_id", "org_id", "code", "description", "manufacturer"))
+    rows = M.features(rows)
+    found = M.surviving(M.by_makers(M.score_pairs(M.class_pairs(rows), rows)))
+    return M.explained(found).select("material_id_a", "material_id_b", "differ", "explanation", "evidence")
+
+
+@query("""WITH p AS (SELECT a, b FROM matches UNION ALL SELECT material_id, material_id + 64 FROM materials), s AS (SELECT p.a, p.b, coalesce(x.cmi = y.cmi, false) AS same_cmi FROM p LEFT JOIN materials x ON x.material_id = a LEFT JOIN materials y ON y.material_id = b)
+SELECT a, b, same_cmi, same_cmi AND EXISTS (SELECT 1 FROM matches m WHERE m.status IN ('approved', 'rejected', 'deferred') AND least(m.a, m.b) = least(s.a, s.b) AND greatest(m.a, m.b) = greatest(s.a, s.b)) AS skippable FROM s""")
+def k22_cmi_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    rows = mart(spark, d, "materials")
+    pairs = mart(spark, d, "matches").select("a", "b").unionByName(rows.select(F.col("material_id").alias("a"), (F.col("material_id") + 64).alias("b")))
+    return W.cmi_verdicts(pairs, rows.select("material_id", "cmi"), mart(spark, d, "matches"), "on")
+
+
 @query()
 def k12_shadow_pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.shadow_pairs(_features(spark, d))
@@ -201,7 +224,9 @@ def e3_per_class(spark: SparkSession, d: str) -> DataFrame:
     return E.per_class(_classed(spark, d))
 
 
-@query()
+@query(f"""WITH c AS ({_CLASSED}), t AS (SELECT ground_truth AS class, count(*) AS support, count(*) FILTER (ground_truth = predicted) AS tp FROM c GROUP BY 1), s AS (SELECT predicted AS class, count(*) AS predicted FROM c GROUP BY 1),
+p AS (SELECT support, tp, round(2 * tp / (coalesce(predicted, 0) + support), 4) AS f1 FROM t LEFT JOIN s ON s.class = t.class)
+SELECT round(sum(tp) / sum(support), 4) AS accuracy, round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1 FROM p""")
 def e3_overall(spark: SparkSession, d: str) -> DataFrame:
     return E.overall(E.per_class(_classed(spark, d)))
 

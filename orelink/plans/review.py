@@ -193,3 +193,66 @@ def v16_code_collisions(spark: SparkSession, d: str) -> DataFrame:
     stored = mart(spark, d, "materials")
     checked = I.validated(_rows(spark, d), stored.select(F.col("code").alias("material_code")))
     return I.code_collisions(checked, stored)
+
+
+_EVIDENCE = """SELECT o_orderkey AS match_id, '{"comparisons":[{"name":"seal_type","type":"' || CASE o_custkey % 3 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'EXACT_MATCH' ELSE 'MISSING' END || '","critical":true,"value_a":"RS","value_b":"' || cast(o_custkey % 5 AS string)
+|| '"},{"name":"size","type":"' || CASE o_custkey % 4 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'CLOSE_MATCH' WHEN 2 THEN 'NORMALIZED_MATCH' ELSE 'OTHER' END || '","critical":false,"value_a":"1","value_b":null}]}' AS evidence,
+CASE o_custkey % 6 WHEN 0 THEN 'seal type: RS vs ZZ' WHEN 3 THEN 'voltage: 230 vs 415' WHEN 4 THEN ': ?' END AS critical_difference FROM orders"""
+
+
+@query(f"""WITH m AS ({_EVIDENCE}), c AS (SELECT match_id, critical_difference, unnest(from_json(evidence -> '$.comparisons', '[{{"name":"VARCHAR","type":"VARCHAR","critical":"BOOLEAN","value_a":"VARCHAR","value_b":"VARCHAR"}}]')) AS x FROM m)
+SELECT match_id, x.name AS attribute, x.value_a AS left_value, x.value_b AS right_value, CASE x.type WHEN 'EXACT_MATCH' THEN 'EXACT' WHEN 'NORMALIZED_MATCH' THEN 'NORMALIZED' WHEN 'CLOSE_MATCH' THEN 'CLOSE' WHEN 'MISSING' THEN 'MISSING' WHEN 'CONFLICT' THEN 'CONFLICT' ELSE 'NOT_APPLICABLE' END AS relation,
+CASE WHEN x.critical THEN 'CRITICAL' WHEN x.type = 'CONFLICT' THEN 'IMPORTANT' ELSE 'INFORMATIONAL' END AS importance, 'comparison' AS source FROM c
+UNION ALL SELECT match_id, CASE WHEN starts_with(critical_difference, ':') THEN 'critical_difference' ELSE split_part(critical_difference, ':', 1) END, NULL, NULL, 'CONFLICT', 'CRITICAL', 'stored_difference' FROM m
+WHERE critical_difference IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.match_id = m.match_id AND x.type = 'CONFLICT' AND (contains(m.critical_difference, replace(x.name, '_', ' ')) OR contains(m.critical_difference, x.name)))""")
+def w14_review_evidence(spark: SparkSession, d: str) -> DataFrame:
+    text = _EVIDENCE.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}")
+    return W.review_evidence(spark.sql(text, orders=spark.read.parquet(f"{d}/orders.parquet")))
+
+
+@query(f"""WITH c AS ({_CONTEXT}) SELECT match_id, coalesce(evidence ->> '$.decision.state', 'UNCLASSIFIED') AS verdict, coalesce(evidence ->> '$.decision.band', 'unknown') AS band, coalesce(evidence ->> '$.decision.state', 'UNCLASSIFIED') IN ('NEEDS_TECHNICAL_REVIEW', 'UNCLASSIFIED') AS review_required,
+CASE WHEN coalesce(manufacturer_a, '') = '' OR coalesce(manufacturer_b, '') = '' THEN 'unknown' WHEN upper(trim(manufacturer_a)) = upper(trim(manufacturer_b)) THEN 'same' ELSE 'different' END AS manufacturers,
+CASE WHEN lower(trim(category_a)) = lower(trim(category_b)) THEN 'same_category' ELSE 'cross_category' END AS categories, cast(json_array_length(evidence, '$.missingCritical') AS int) AS missing FROM c""")
+def w14_review_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return W.review_verdicts(_context(spark, d))
+
+
+@query("""SELECT m.material_id, CASE WHEN i.row_report ->> '$.integration.adapterId' IS NOT NULL THEN coalesce(i.row_report ->> '$.integration.cpse', org_code) ELSE org_code END AS organization, i.row_report ->> '$.integration.adapterId' AS source_system, m.code AS record,
+i.row_report ->> '$.integration.adapterVersion' AS adapter_version, i.file_name, CASE WHEN i.row_report ->> '$.integration.adapterId' IS NOT NULL THEN 'integration' WHEN m.material_id % 3 <> 0 THEN 'import_center' ELSE 'legacy' END AS channel
+FROM materials m JOIN organizations o ON o.org_id = m.org_id LEFT JOIN imports i ON i.import_id = CASE WHEN m.material_id % 3 <> 0 THEN m.material_id % 100 + 1 END""")
+def w15_source_trace(spark: SparkSession, d: str) -> DataFrame:
+    rows = mart(spark, d, "materials").join(mart(spark, d, "organizations"), "org_id").withColumn("import_id", F.when(F.col("material_id") % 3 != 0, F.col("material_id") % 100 + 1))
+    return W.source_trace(rows, mart(spark, d, "imports"))
+
+
+@query("""SELECT import_id, org_id, status, row_report ->> '$.integration.adapterId' AS adapter, row_report ->> '$.integration.adapterVersion' AS version FROM imports WHERE (row_report -> '$.integration') IS NOT NULL""")
+def s14_integration_history(spark: SparkSession, d: str) -> DataFrame:
+    return W.integration_history(mart(spark, d, "imports"))
+
+
+_BLOCKS = """SELECT 'totals' AS block, 'materials' AS name, count(*) AS n FROM mt UNION ALL SELECT 'totals', 'mappings', count(cmi) FROM mt UNION ALL SELECT 'totals', 'pending_reviews', count(*) FROM q WHERE status = 'open' UNION ALL SELECT 'totals', 'common_identities', count(*) FROM cmis
+UNION ALL SELECT 'totals', 'organizations', count(*) FROM organizations UNION ALL SELECT 'totals', 'near_equivalents', count(*) FROM ma WHERE status = 'pending' AND match_type = 'near_equivalent' UNION ALL SELECT 'totals', 'identical', count(*) FROM ma WHERE status = 'pending' AND match_type = 'identical'
+UNION ALL SELECT 'totals', 'critical_conflicts', count(*) FROM ma WHERE status = 'pending' AND critical_difference IS NOT NULL UNION ALL SELECT 'totals', 'imports_completed', count(*) FROM im WHERE status = 'completed' UNION ALL SELECT 'totals', 'imports_pending', count(*) FROM im WHERE status IN ('pending', 'processing')
+UNION ALL SELECT 'match_type', match_type, count(*) FROM ma GROUP BY 2 UNION ALL SELECT 'match_status', status, count(*) FROM ma GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM mt GROUP BY 2 UNION ALL SELECT 'open_queue', priority, count(*) FROM q WHERE status = 'open' GROUP BY 2
+UNION ALL SELECT 'queue_status', status, count(*) FROM q GROUP BY 2 UNION ALL SELECT 'decision', coalesce(evidence ->> '$.decision.state', 'UNCLASSIFIED'), count(*) FROM ma GROUP BY 2"""
+
+
+def _dashboard(spark: SparkSession, d: str, org_id: int | None = None) -> DataFrame:
+    return W.dashboard(*[mart(spark, d, t) for t in ("materials", "matches", "review_queue", "imports", "organizations", "cmis")], org_id=org_id)
+
+
+@query(f"WITH mt AS (SELECT * FROM materials), ma AS (SELECT * FROM matches), q AS (SELECT * FROM review_queue), im AS (SELECT * FROM imports) {_BLOCKS}")
+def d1_dashboard_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _dashboard(spark, d)
+
+
+@query(f"""WITH mt AS (SELECT * FROM materials WHERE org_id = 2), ma AS (SELECT * FROM matches m WHERE a IN (SELECT material_id FROM materials WHERE org_id = 2) OR b IN (SELECT material_id FROM materials WHERE org_id = 2)),
+q AS (SELECT * FROM review_queue WHERE match_id IN (SELECT match_id FROM ma)), im AS (SELECT * FROM imports WHERE org_id = 2) {_BLOCKS}""")
+def d1_organization_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return _dashboard(spark, d, 2)
+
+
+@query("""SELECT regexp_extract(reason, 'conflict: ([a-z_]+):', 1) AS attribute, reason, n FROM (SELECT 'critical technical conflict: ' || critical_difference AS reason, count(*) AS n FROM matches
+WHERE evidence ->> '$.decision.state' = 'TECHNICAL_CONFLICT' AND critical_difference IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason LIMIT 12)""")
+def d4_top_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return W.conflict_attributes(mart(spark, d, "matches"))

@@ -59,6 +59,16 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_
   || '"},"criticalConflicts":[' || CASE o_custkey % 4 WHEN 0 THEN '"seal: RS vs ZZ"' WHEN 1 THEN '"voltage: 230 vs 415"' ELSE '' END
   || '],"missingCritical":[' || CASE WHEN o_custkey % 3 = 0 THEN '"pressure_rating"' ELSE '' END || ']'
   || CASE WHEN o_custkey % 7 = 0 THEN ',"assemblyConfiguration":"WITH NUT"' ELSE '' END || '}' AS evidence FROM orders""",
+    "governed_rules": """SELECT rule_id, cmi, 'SET' AS from_uom, 'EA' AS to_uom, cast(4 AS bigint) AS factor, status, CASE WHEN status IN ('APPROVED', 'DISABLED') AND rule_id % 5 <> 0 THEN rule_id * 10 + 1 END AS effective_version,
+  CASE WHEN status IN ('APPROVED', 'DISABLED') AND rule_id % 5 <> 0 AND rule_id % 3 = 0 THEN rule_id * 10 + 2 END AS pending_version, 'evidence ' || cast(rule_id AS string) AS reason
+  FROM (SELECT min(p_partkey) AS rule_id, p_name AS cmi, CASE WHEN length(p_name) % 4 = 0 THEN 'PENDING' WHEN length(p_name) % 4 = 1 THEN 'DISABLED' ELSE 'APPROVED' END AS status FROM part WHERE p_size <= 25 GROUP BY p_name) x""",
+    "rule_versions": """SELECT rule_id * 10 + n AS version_id, rule_id, n AS version_number, from_uom, to_uom, factor + n * (n - 1) AS factor, rule_id % 7 AS created_by, CASE WHEN n = 2 THEN rule_id * 10 + 1 END AS supersedes
+  FROM (SELECT min(p_partkey) AS rule_id, 'SET' AS from_uom, 'EA' AS to_uom, cast(4 AS bigint) AS factor FROM part WHERE p_size <= 25 AND length(p_name) % 4 <> 0 GROUP BY p_name) x CROSS JOIN (VALUES (1), (2)) AS v(n)
+  WHERE rule_id % 5 <> 0 AND (n = 1 OR rule_id % 3 = 0)""",
+    "rule_history": """SELECT event_id AS history_id, event_id % 50 AS rule_id, user_id AS actor, CASE event_id % 6 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'APPROVE' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'DISABLE' WHEN 4 THEN 'RE_ENABLE' ELSE 'AMEND' END AS action,
+  cast(ts AS timestamp) AS ts, CASE WHEN event_id % 4 = 1 THEN event_id - 1 END AS previous_version, 'SET' AS from_uom, 'EA' AS to_uom, event_id % 3 + 1 AS factor FROM events""",
+    "imports": """SELECT c_custkey AS import_id, c_nationkey % 5 AS org_id, 'file-' || cast(c_custkey AS string) || '.csv' AS file_name, CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' ELSE 'completed' END AS status, c_custkey % 97 AS total_rows,
+  CASE WHEN c_custkey % 3 = 0 THEN '{"integration":{"adapterId":"' || lower(c_mktsegment) || '","adapterVersion":"' || cast(c_custkey % 4 AS string) || '"}}' WHEN c_custkey % 3 = 1 THEN '{"rows":3}' END AS row_report FROM customer""",
     "review_queue": """SELECT o_orderkey AS match_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'medium' ELSE 'low' END AS priority,
   CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS status FROM orders WHERE o_orderkey % 2 = 0""",
 }

@@ -29,15 +29,3 @@ def test_oracle(spark, db, name):
     assert sorted(order) == names
     want = collections.Counter(tuple(norm(r[order.index(n)]) for n in names) for r in found.fetchall())
     assert got == want
-
-
-def test_ledger_pairs(spark):
-    from orelink.operators.uom import paired_ledgers, reconciliation
-
-    rows = "rule_id long, actor long, action string, ts timestamp"
-    at = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 0, s)
-    history = spark.createDataFrame([(1, 7, 7, "x", at(0)), (2, 7, 7, "x", at(3)), (3, 7, 7, "x", at(40))], f"history_id long, {rows}")
-    audit = spark.createDataFrame([(1, 7, 7, "x", at(2)), (2, 7, 7, "x", at(5)), (3, 7, 7, "y", at(40))], f"audit_id long, {rows}")
-    pairs = paired_ledgers(history, audit)
-    assert {(r.history_id, r.audit_id) for r in pairs.collect()} == {(1, 1), (2, 2), (3, None), (None, 3)}
-    assert {r.finding for r in reconciliation(pairs).collect()} == {"MISSING_AUDIT_EVENT", "UNEXPECTED_AUDIT_EVENT"}
