@@ -629,3 +629,40 @@ def test_pipeline_against_brute_force(spark):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(TOKENIZER, public_tokenizers.PATTERN).ranks, special_tokens={})
     want = {i: len(library.encode_ordinary(t)) for i, t in docs.items()}
     assert {r.doc_id: r.n_tokens for r in C.run(spark, d).collect()} == want
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empties, repeats, ties, a long text, clashing columns and empty tables, stage by stage against plain Python."""
+    import corpus_pipeline as C
+
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, base = text(40), text(80)
+    rows = [(i, text(60) + "\nsame line\n" + text(5)) for i in range(14)] + [(i, base) for i in (20, 21, None)] + [(22, base)] * 2
+    rows += [(30, None), (31, ""), (32, "short text"), (33, text(30) + " " + item + " " + text(30)), (34, text(20_000)), (None, text(50)), (None, "lonely " + text(50)), (40, "of " * 200)]
+    docs = spark.createDataFrame([(i, t, "en", None, None, "clash", "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, body string")
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, df in (("documents", docs), ("labels", spark.createDataFrame([], labels)), ("benchmark", spark.createDataFrame([(1, item), (None, None), (2, "")], items))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    left = [(i, t) for i, t in rows if len((t or "").split()) >= 20 and t != "of " * 200]
+    ids = collections.defaultdict(set)
+    for i, t in left:
+        for x in t.split("\n"):
+            ids[x].add(i)
+    left = [(i, "\n".join(x for x in t.split("\n") if len(ids[x] - {None}) < 10)) for i, t in left]
+    assert not any("same line" in t for _, t in left)
+    group = collections.defaultdict(list)
+    for i, t in left:  # the texts are random: near duplicates are the copies alone
+        group[simhash.fingerprint(t.encode())].append((i is None, i or 0, t))
+    left = [(None if none else i, t) for none, i, t in map(min, group.values())]
+    found = decontaminate.Items([(1, item.encode()), (None, b""), (2, b"")])
+    left = [(i, t) for i, t in left if not any(found.matches(t.encode()))]
+    assert {20, 34} <= {i for i, _ in left} and not {21, 22, 30, 31, 32, 33, 40} & {i for i, _ in left}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(TOKENIZER, public_tokenizers.PATTERN).ranks, special_tokens={})
+    want = collections.Counter((i, len(library.encode_ordinary(t))) for i, t in left)
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in C.run(spark, str(tmp_path)).collect()) == want
+    empty = tmp_path / "none"
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels), ("benchmark", items)):
+        spark.createDataFrame([], kind).write.parquet(f"{empty}/{name}.parquet")
+    assert C.run(spark, str(empty)).count() == 0
