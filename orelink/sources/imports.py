@@ -368,12 +368,14 @@ def procurement_analysis(checked: DataFrame) -> DataFrame:
 
 def executed_procurement(checked: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Adds outcome: error, duplicate (in the file, or of a signature in ``seen``) or imported; empty rows are left out."""
-    seen = checked.select("signature").limit(0) if seen is None else seen.select("signature")
-    known = seen.where("signature is not null").distinct().withColumn("_seen", F.lit(True))
-    again = F.exists("problems", lambda p: p["rule"] == "duplicate_in_file") | F.col("_seen").isNotNull()
-    rows = checked.where("not is_empty")
-    loads = rows.where("signature is not null").join(known, "signature", "left").withColumn("outcome", F.when(again, "duplicate").otherwise("imported")).drop("_seen")
-    return loads.unionByName(rows.where("signature is null").withColumn("outcome", F.lit("error")))
+    key = F.coalesce("signature", F.concat(F.lit("\0"), F.col("row_number").cast("string")))  # rows without one are in no group
+    rows = checked.where("not is_empty").withColumn("_key", key)
+    if seen is None:
+        rows = rows.withColumn("_seen", F.lit(False))
+    else:
+        rows = rows.join(seen.where("signature is not null").select(F.col("signature").alias("_key")).distinct().withColumn("_seen", F.lit(True)), "_key", "left")
+    again = F.exists("problems", lambda p: p["rule"] == "duplicate_in_file") | F.coalesce("_seen", F.lit(False))
+    return rows.withColumn("outcome", F.when(F.col("signature").isNull(), "error").when(again, "duplicate").otherwise("imported")).drop("_key", "_seen")
 
 
 def insert_problems(records: DataFrame, materials: DataFrame, suppliers: DataFrame, cmis: DataFrame) -> DataFrame:
