@@ -64,4 +64,5 @@ def test_scores_and_decisions(spark):
     assert got[1, 2].technical == 100 and not got[1, 2].conflicts
     assert got[1, 3].decision == "NEEDS_TECHNICAL_REVIEW" and got[1, 3].conflicts
     assert got[4, 5].assembly_differs and got[4, 5].match_type == "needs_review"
-    assert "Both materials belong to Bearings." in got[1, 2].explanation
+    assert "decision=HIGH_CONFIDENCE_MATCH" in got[1, 2].explanation and "agrees=" in got[1, 2].explanation and "conflict=" not in got[1, 2].explanation
+    assert "conflict=" in got[1, 3].explanation and "assembly=" in got[4, 5].explanation
