@@ -11,7 +11,7 @@ from orelink.operators import evaluation as E
 from orelink.operators import matching as M
 from orelink.operators import workflow as W
 from orelink.plans.registry import Registry
-from orelink.sources.mart import mart
+from orelink.sources.mart import kept, mart
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -102,10 +102,15 @@ def k8_all_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
 _SIGNALS = ["material_id_a", "material_id_b", "semantic", "fuzzy", "technical", "final_score", "match_type", "decision", "band"]
 
 
+def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Features of classes of equal descriptions (written once: the run reads them six times), and the members of the classes."""
+    rows, members = M.classes(mart(spark, d, "materials").select("material_id", "org_id", "code", "description", "manufacturer"))
+    return kept(spark, d, "class_features", lambda: M.features(rows)), members
+
+
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Surviving pairs of classes, and the members of the classes."""
-    rows, members = M.classes(mart(spark, d, "materials").select("material_id", "org_id", "code", "description", "manufacturer"))
-    rows = M.features(rows)
+    rows, members = _classes(spark, d)
     return M.surviving(M.by_makers(M.score_pairs(M.class_pairs(rows), rows))).select(*_SIGNALS, "differ"), members
 
 
@@ -130,8 +135,7 @@ def k11_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def k21_explained_run(spark: SparkSession, d: str) -> DataFrame:
     """The explanation of every surviving pair of classes."""
-    rows, _ = M.classes(mart(spark, d, "materials").select("material_id", "org_id", "code", "description", "manufacturer"))
-    rows = M.features(rows)
+    rows, _ = _classes(spark, d)
     found = M.surviving(M.by_makers(M.score_pairs(M.class_pairs(rows), rows)))
     return M.explained(found).select("material_id_a", "material_id_b", "differ", "explanation", "evidence")
 

@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,12 +100,23 @@ def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in sources:
         text = _named(text, t)
     rows = spark.sql(text, **sources)
-    if name != "procurement" or not (folder := _shared_dir(spark)):
+    if name != "procurement" or not _shared_dir(spark):
         return rows
-    path = f"{folder.rstrip('/')}/orelink-{name}-{uuid.uuid4().hex}"
-    rows.repartitionByRange("purchase_date").sortWithinPartitions("purchase_date").write.parquet(path)
-    _WRITTEN[key] = path, rows.schema
-    return mart(spark, sf_dir, name)
+    return kept(spark, sf_dir, name, lambda: rows.repartitionByRange("purchase_date").sortWithinPartitions("purchase_date"))
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table over ``sf_dir`` that is written once a session to the shared folder and read from there; without such a folder it is made anew."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _WRITTEN:
+        rows = make()
+        if not (folder := _shared_dir(spark)):
+            return rows
+        path = f"{folder.rstrip('/')}/orelink-{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        _WRITTEN[key] = path, rows.schema
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def _named(text: str, table: str) -> str:
