@@ -248,3 +248,20 @@ def describe(df, text: str = "description"):
     df = df.withColumns({"subcategory": subcategory(F.col("category"), F.col("tokens")), "attributes": extract_attributes(F.col("category"), F.col("tokens"))})
     verdict = quality(F.col(text), F.col("normalized"), F.col("category"), F.col("attributes"))
     return df.withColumns({"quality": verdict, "assembly": assembly(F.col(text))})
+
+
+def reprocessed(df):
+    """Materials (material_id, description, category, subcategory, manufacturer, manual attributes as ``manual``) with their derived columns made anew.
+
+    A category that a record has stays over the keyword rules; what the rules do not find stays as it was; manual attributes
+    replace extracted ones of their name.
+    """
+    rows = df.withColumn("normalized", normalize(F.col("description")))
+    rows = rows.withColumn("tokens", tokens_of(F.col("normalized")))
+    rows = rows.withColumn("category", F.coalesce("category", classify(F.col("tokens"))["category"]))
+    extracted = extract_attributes(F.col("category"), F.col("tokens"))
+    rows = rows.withColumns({"subcategory": F.coalesce(subcategory(F.col("category"), F.col("tokens")), "subcategory"), "extracted": extracted})
+    rows = rows.withColumns({"manufacturer": F.coalesce(F.get(F.filter("extracted", lambda a: a["attribute_name"] == "manufacturer"), F.lit(0))["value"], "manufacturer"), "quality": quality(F.col("description"), F.col("normalized"), F.col("category"), F.col("extracted"))})
+    manual = F.coalesce("manual", F.array().cast(f"array<{ATTRIBUTE}>"))
+    free = F.filter("extracted", lambda a: ~F.exists(manual, lambda m: m["attribute_name"] == a["attribute_name"]))
+    return rows.withColumn("attributes", F.concat(free, manual)).drop("extracted", "manual")

@@ -120,3 +120,8 @@ def config_fingerprint(config: dict) -> str:
     for at in range(0, len(units), 2):
         h = (h ^ int.from_bytes(units[at : at + 2], "little")) * 0x01000193 & 0xFFFFFFFF
     return f"cfg-{h:08x}"[:10]
+
+
+def mirrored(runs: DataFrame, path: str) -> None:
+    """Adds evaluation runs to a folder of JSON lines; earlier runs stay as they are."""
+    runs.write.mode("append").json(path)

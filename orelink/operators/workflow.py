@@ -26,6 +26,22 @@ def enqueued(queue: DataFrame, matches: DataFrame) -> DataFrame:
     return queue.unionByName(fresh)
 
 
+def applied_run(matches: DataFrame, queue: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches (a, b, final_score, status) and queue (a, b, priority, status) after a run that found ``found`` (a, b, final_score, match_type).
+
+    Pending matches of earlier runs go, with their queue entries; found pairs are put in or, where decided, left as they
+    are; each found pair without an entry is queued; open entries of decided matches are resolved.
+    """
+    stored = upsert_matches(without_pending(matches), found)
+    gone = matches.where("status = 'pending'").select("a", "b")
+    held = queue.join(gone, ["a", "b"], "left_anti").withColumn("match_id", F.struct("a", "b")).drop("a", "b")
+    entries = enqueued(held, found.select(F.struct("a", "b").alias("match_id"), "match_type")).select("match_id.a", "match_id.b", "priority", "status")
+    decided_ = stored.where("status <> 'pending'").select("a", "b", F.lit(True).alias("_decided"))
+    closed = entries.join(decided_, ["a", "b"], "left")
+    state = F.when((F.col("status") == "open") & F.col("_decided").isNotNull(), "resolved").otherwise(F.col("status"))
+    return stored, closed.select("a", "b", "priority", state.alias("status"))
+
+
 def latest_decision(decisions: DataFrame) -> DataFrame:
     """The row of the largest id of each match."""
     line = Window.partitionBy("match_id").orderBy(F.desc("id"))

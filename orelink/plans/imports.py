@@ -178,3 +178,10 @@ def s9_adapted_feed(spark: SparkSession, d: str) -> DataFrame:
     feed = part.select(F.col("p_partkey").alias("MAT_CODE"), F.col("p_name").alias("MAT_DESC"), F.when(F.col("p_size") % 2 == 0, "BRG").otherwise("Valves").alias("MAT_GROUP"), F.lit("MTRS").alias("UOM"), F.col("p_size").alias("LEGACY_BIN"))
     rows = I.adapted(I.mapped(feed), {"category": {"BRG": "Bearings"}, "uom": {"MTRS": "MTR"}})
     return rows.select("material_code", "description", "category", "uom", F.to_json("source_metadata").alias("source_metadata"))
+
+
+@query(f"""WITH {_CHECKED.replace("'BAG'", "'SET'")} SELECT row_number, CASE WHEN len(errors) = 0 THEN 'inserted' WHEN errors = ['duplicate_in_database'] THEN 'updated' ELSE 'skipped' END AS outcome, CASE WHEN uom = 'BAG' THEN 'SET' ELSE uom END AS uom FROM c JOIN ({_ROWS}) f USING (row_number)""")
+def s13_integrated_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A feed with a source's own headers and unit words, mapped, validated and loaded."""
+    headers = {"material_code": "MAT_CODE", "description": "MAT_DESC", "category": "MAT_GROUP", "uom": "Base UOM", "manufacturer": "MFR"}
+    return I.integrated(_rows(spark, d).withColumnsRenamed(headers), {"uom": {"BAG": "SET"}}, _stored(spark, d), True, "update")[1].select("row_number", "outcome", "uom")

@@ -9,6 +9,7 @@ from orelink.functions import similarity as S
 from orelink.functions import text as T
 from orelink.functions import vocabulary as V
 from orelink.operators import matching as M
+from orelink.operators import workflow as W
 from orelink.plans.registry import Registry
 from orelink.sources import imports as I
 from orelink.sources.mart import mart
@@ -60,6 +61,17 @@ def t7_classified(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("material_id", "class.category", "class.confidence", T.subcategory(F.col("class.category"), F.col("tokens")).alias("subcategory"))
 
 
+_MAKERS = f"CASE WHEN category IN ('Bearings', 'Motors', 'Pumps', 'Valves') THEN list_filter(tokens, lambda t: t IN {_listed(V.MANUFACTURERS)})[1] END"
+
+
+@query(f"""WITH {_NORMALIZED}, {_HITS}, {_BEST}, o AS (SELECT n.material_id, n.tokens, CASE WHEN m.size % 3 = 0 THEN 'Valves' ELSE b.category END AS category, m.manufacturer AS stored FROM n JOIN materials m USING (material_id) LEFT JOIN b USING (material_id))
+SELECT material_id, array_to_string(tokens, ' ') AS normalized, category, coalesce({_LABEL}, 'Other') AS subcategory, coalesce({_MAKERS}, stored) AS manufacturer FROM o""")
+def t14_reprocessed(spark: SparkSession, d: str) -> DataFrame:
+    """Materials processed anew, a third of the sizes with a category of their own."""
+    rows = mart(spark, d, "materials").select("material_id", "description", F.when(F.col("size") % 3 == 0, "Valves").alias("category"), F.lit("Other").alias("subcategory"), "manufacturer", F.lit(None).cast(f"array<{T.ATTRIBUTE}>").alias("manual"))
+    return T.reprocessed(rows).select("material_id", "normalized", "category", "subcategory", "manufacturer")
+
+
 _PARTS = "(" + "|".join(V.COMPONENTS) + ")"
 _WITH = f"regexp_extract_all(upper(description), '\\bWITH\\s+({_PARTS}(\\s+(AND|\\+|&)\\s+{_PARTS})?)S?\\b', 1)"
 
@@ -163,21 +175,45 @@ _PAIRS = """SELECT l_orderkey AS a, l_linenumber AS b, cast(l_partkey % 101 AS i
   l_suppkey % 9 = 0 AS conflict, l_orderkey % 4 = 0 AS missing, l_orderkey % 11 = 0 AS assembly, CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN 'SKF' ELSE ' skf' END AS maker_a, CASE WHEN l_orderkey % 3 = 0 THEN 'FAG' ELSE 'Skf ' END AS maker_b FROM lineitem"""
 
 
-@query(f"""WITH p AS ({_PAIRS}), f AS (SELECT *, cast(floor((semantic * 3 + fuzzy * 2 + technical * 3 + CASE WHEN compatible THEN 200 ELSE 0 END) / 10 + 0.5) AS int) AS final_score, coalesce(upper(trim(maker_a)) <> upper(trim(maker_b)), false) AS differ FROM p),
+_DECIDED = """p AS ({pairs}), f AS (SELECT *, cast(floor((semantic * 3 + fuzzy * 2 + technical * 3 + CASE WHEN compatible THEN 200 ELSE 0 END) / 10 + 0.5) AS int) AS final_score, coalesce(upper(trim(maker_a)) <> upper(trim(maker_b)), false) AS differ FROM p),
 t AS (SELECT *, CASE WHEN NOT compatible THEN 'different' WHEN conflict THEN 'needs_review' WHEN assembly THEN 'needs_review' WHEN missing AND (semantic >= 70 OR fuzzy >= 55) THEN 'needs_review'
   WHEN technical >= 90 AND fuzzy >= 92 AND semantic >= 90 THEN 'identical' WHEN technical >= 80 AND (fuzzy >= 55 OR semantic >= 70) THEN 'near_duplicate' WHEN technical >= 55 AND (fuzzy >= 40 OR semantic >= 70) THEN 'functional_equivalent' ELSE 'different' END AS match_type FROM f),
 d AS (SELECT *, CASE WHEN NOT compatible THEN 'NOT_A_MATCH' WHEN conflict THEN 'NEEDS_TECHNICAL_REVIEW' WHEN final_score < 30 THEN 'NOT_A_MATCH' WHEN assembly THEN 'NEEDS_TECHNICAL_REVIEW' WHEN final_score >= 80 AND NOT missing AND NOT differ THEN 'HIGH_CONFIDENCE_MATCH'
-  WHEN differ AND final_score >= 80 THEN 'NEEDS_TECHNICAL_REVIEW' WHEN final_score >= 60 OR match_type = 'needs_review' THEN 'NEEDS_TECHNICAL_REVIEW' ELSE 'LOW_CONFIDENCE' END AS decision FROM t)
-SELECT a, b, final_score, match_type, decision, CASE decision WHEN 'NOT_A_MATCH' THEN 'reject' WHEN 'NEEDS_TECHNICAL_REVIEW' THEN 'review' WHEN 'HIGH_CONFIDENCE_MATCH' THEN 'high' ELSE 'low' END AS band FROM d WHERE decision <> 'NOT_A_MATCH' AND final_score >= 30""")
+  WHEN differ AND final_score >= 80 THEN 'NEEDS_TECHNICAL_REVIEW' WHEN final_score >= 60 OR match_type = 'needs_review' THEN 'NEEDS_TECHNICAL_REVIEW' ELSE 'LOW_CONFIDENCE' END AS decision FROM t)"""
+
+
+@query(f"""WITH {_DECIDED.format(pairs=_PAIRS)} SELECT a, b, final_score, match_type, decision, CASE decision WHEN 'NOT_A_MATCH' THEN 'reject' WHEN 'NEEDS_TECHNICAL_REVIEW' THEN 'review' WHEN 'HIGH_CONFIDENCE_MATCH' THEN 'high' ELSE 'low' END AS band FROM d WHERE decision <> 'NOT_A_MATCH' AND final_score >= 30""")
 def k19_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Final score, match type, decision and band of pairs whose signals are given, and the floor of what is kept."""
-    rows = spark.sql(_PAIRS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    return _decisions(spark.sql(_PAIRS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet")))
+
+
+def _decisions(rows: DataFrame) -> DataFrame:
     found = lambda c: F.when(F.col(c), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"conflicts": found("conflict"), "missing": found("missing"), "assembly_differs": F.col("assembly")})
     rows = rows.withColumnsRenamed({"compatible": "category_compatible", "maker_a": "manufacturer_a", "maker_b": "manufacturer_b"})
     return M.surviving(M.decide(rows)).select("a", "b", "final_score", "match_type", "decision", "band")
 
 
+_ORDERED = """SELECT o_orderkey AS a, o_custkey AS b, cast(o_custkey % 101 AS int) AS semantic, cast(o_custkey * 7 % 101 AS int) AS fuzzy, cast((o_orderkey * 13 + o_custkey) % 101 AS int) AS technical, o_custkey % 17 <> 0 AS compatible,
+  o_orderkey % 9 = 0 AS conflict, o_orderkey % 4 = 0 AS missing, o_orderkey % 11 = 0 AS assembly, CASE o_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'SKF' ELSE ' skf' END AS maker_a, CASE WHEN o_orderkey % 5 = 0 THEN 'FAG' ELSE 'Skf ' END AS maker_b FROM orders"""
+_OLD = """SELECT o_orderkey AS a, o_custkey AS b, 50 AS final_score, CASE o_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' ELSE 'deferred' END AS status FROM orders WHERE o_orderkey % 3 = 0"""
+_QUEUED = f"""SELECT a, b, 'medium' AS priority, CASE WHEN a % 2 = 0 THEN 'open' ELSE 'in_review' END AS status FROM ({_OLD}) o WHERE b % 5 <> 0"""
+
+
+@query(f"""WITH {_DECIDED.format(pairs=_ORDERED)}, found AS (SELECT * FROM d WHERE decision <> 'NOT_A_MATCH' AND final_score >= 30), old AS ({_OLD}), q AS ({_QUEUED}),
+m AS (SELECT a, b, final_score, status FROM old WHERE status <> 'pending' UNION ALL SELECT a, b, final_score, 'pending' FROM found ANTI JOIN (SELECT a, b FROM old WHERE status <> 'pending') k USING (a, b)),
+e AS (SELECT q.a, q.b, q.priority, q.status FROM q JOIN old USING (a, b) WHERE old.status <> 'pending' UNION ALL SELECT found.a, found.b, CASE match_type WHEN 'needs_review' THEN 'high' WHEN 'identical' THEN 'low' ELSE 'medium' END, 'open'
+  FROM found ANTI JOIN (SELECT q.a, q.b FROM q JOIN old USING (a, b) WHERE old.status <> 'pending') k USING (a, b))
+SELECT m.a, m.b, m.final_score, m.status, e.priority, CASE WHEN e.status = 'open' AND m.status <> 'pending' THEN 'resolved' ELSE e.status END AS queue_status FROM m LEFT JOIN e ON e.a = m.a AND e.b = m.b""")
+def w2_applied_run(spark: SparkSession, d: str) -> DataFrame:
+    """Stored matches and their queue entries after a run over pairs whose signals are given."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    pairs, old, queue = (spark.sql(text.replace("FROM orders", "FROM {orders}"), orders=orders) for text in (_ORDERED, _OLD, _QUEUED))
+    matches, entries = W.applied_run(old, queue, _decisions(pairs))
+    return matches.join(entries.withColumnRenamed("status", "queue_status"), ["a", "b"], "left")
+
+
 _CODED = """SELECT p_partkey AS material_id, CASE p_partkey % 4 WHEN 0 THEN 'brg-' WHEN 1 THEN 'BRG' WHEN 2 THEN '' ELSE 'VX/' END || cast(p_partkey + 1000 AS string) AS code,
   'Spare ' || CASE p_partkey % 3 WHEN 0 THEN 'BRG-' WHEN 1 THEN 'brg' ELSE 'vx/' END || cast(p_partkey + 1000 + p_size % 2 AS string) || ' of set' AS description FROM part"""
 

@@ -61,13 +61,18 @@ PROCUREMENT_REQUIRED = ["organization", "material_code", "supplier", "purchase_d
 PROCUREMENT_STATES = ["ORDERED", "PARTIALLY_DELIVERED", "DELIVERED", "CANCELLED"]
 
 
+CELL_MAX = 65536  # characters of a cell; a longer one is an error, not a cut
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """All cells as trimmed strings; quoted newlines stay inside their record."""
-    return spark.read.csv(path, header=header, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
+    """All cells as trimmed strings; quoted newlines stay inside their record, blank lines are no records, a cell over ``CELL_MAX`` fails the read."""
+    return spark.read.csv(path, header=header, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False, maxCharsPerColumn=CELL_MAX, mode="FAILFAST")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True, quote='"', escape='"', lineSep="\n", emptyValue="")
+    """Trimmed cells in lines that end in CRLF, quoted where they hold a comma, quote or line break (written as CRLF, too); nulls are empty."""
+    cells = df.select(*[F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in df.columns])
+    cells.write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -122,6 +127,14 @@ def adapted(df: DataFrame, vocabulary: dict[str, dict[str, str]]) -> DataFrame:
     return df
 
 
+def integrated(feed: DataFrame, vocabulary: dict[str, dict[str, str]], stored: DataFrame, include_warnings: bool = True, duplicates: str = "skip") -> tuple[DataFrame, DataFrame]:
+    """A source's feed (its own headers and row_number) through mapping, vocabulary, validation and loading: (analysis, rows with outcome)."""
+    rows = mapped(feed)
+    rows = adapted(rows.withColumn("row_number", rows["source_metadata"]["row_number"].cast("long")), vocabulary)
+    checked = validated(rows.withColumn("source_metadata", F.map_filter("source_metadata", lambda k, v: k != "row_number")), stored)
+    return feed_analysis(checked), performed(checked, include_warnings, duplicates)
+
+
 def code_conflict(code: Column, description: Column) -> Column:
     """The description names another number behind the code's own letters."""
     letters, digits = F.upper(F.regexp_extract(code, r"^([A-Za-z]+)", 1)), F.regexp_extract(code, r"(\d{3,})", 1)
