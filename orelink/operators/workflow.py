@@ -29,7 +29,7 @@ def enqueued(queue: DataFrame, matches: DataFrame) -> DataFrame:
 def applied_run(matches: DataFrame, queue: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches (a, b, final_score, status) and queue (a, b, priority, status) after a run that found ``found`` (a, b, final_score, match_type).
 
-    Pending matches of earlier runs go, with their queue entries; found pairs are put in or, where decided, left as they
+    Each table holds a pair (a, b) once. Pending matches of earlier runs go, with their queue entries; found pairs are put in or, where decided, left as they
     are; each found pair without an entry is queued; open entries of decided matches are resolved.
     """
     stored = upsert_matches(without_pending(matches), found)
