@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over documents, pages and conversations.
+"""Training-data operators: Spark jobs over documents, pages and conversations.
 
 Nothing else in the library imports this subpackage. ``queries.py`` holds the registered queries.
 """
