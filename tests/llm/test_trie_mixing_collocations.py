@@ -83,7 +83,7 @@ def test_trie_matches_a_walk(spark, chats, monkeypatch, group, most):
 
 def test_trie_sql(spark, chats):
     con = duckdb.connect()
-    con.register("conversations", turns(spark, [r for r in chats if r[0] not in (5, 6, 7)]).toPandas())  # ties and their orders are left to each engine
+    con.register("conversations", turns(spark, [r for r in chats if r[0] not in (5, 6, 7)]).toArrow())  # ties and their orders are left to each engine
     want = collections.Counter(con.execute(f"SELECT {', '.join(NODE)} FROM ({OP11_SQL})").fetchall())
     got = prefix_trie.trie(turns(spark, [r for r in chats if r[0] not in (5, 6, 7)]), 100, 6)
     assert collections.Counter(tuple(r) for r in got.select(*NODE).collect()) == want
@@ -113,7 +113,7 @@ def mixed():
 def test_mixing_sql_and_bounds(spark, mixed):
     got = mixing.mix(docs(spark, mixed), (5, 2, 1)).collect()
     con = duckdb.connect()
-    con.register("documents", docs(spark, mixed).toPandas())
+    con.register("documents", docs(spark, mixed).toArrow())
     cols = ["doc_id", "source", "size", "source_size", "target", "taken", "starts"]
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({OP12_SQL})").fetchall()
     assert collections.Counter(tuple(r[c] for c in cols) for r in got) == collections.Counter(want)
