@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelink.operators.rollup import bits, distinct, measured, month, rolled
+
 
 def cents_text(cents: Column) -> Column:
     """1250 -> 12.50, 1200 -> 12."""
@@ -50,15 +52,11 @@ def summary(records: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantities(records: DataFrame, *keys: str) -> DataFrame:
-    return records.groupBy(*keys, "uom").agg(F.count("*").alias("records"), F.sum("qty_cents").alias("qty_cents"))
+    return measured(records).groupBy(*keys, "uom").agg(F.sum("records").alias("records"), F.sum("qty_cents").alias("qty_cents"))
 
 
 def spend(records: DataFrame, *keys: str) -> DataFrame:
-    return records.where("currency is not null").groupBy(*keys, "currency").agg(F.count("*").alias("records"), F.sum("spend_cents").alias("spend_cents"))
-
-
-def month(date: Column) -> Column:
-    return F.date_format(date, "yyyy-MM")
+    return measured(records).where("currency is not null").groupBy(*keys, "currency").agg(F.sum("records").alias("records"), F.sum("spend_cents").alias("spend_cents"))
 
 
 def _cell(groups: str, name: str, cents: str) -> Column:
@@ -74,8 +72,9 @@ def totals(records: DataFrame, *keys: str) -> DataFrame:
 
     One pass sums by (key, unit, currency) with map-side combine; the second gathers these few groups of each key.
     """
-    parts = records.groupBy(*keys, "uom", "currency").agg(
-        F.count("*").alias("n"), F.count("cmi").alias("linked"), F.count("unit_price").alias("priced"), F.min("purchase_date").alias("first"), F.max("purchase_date").alias("last"),
+    linked = F.when(F.col("cmi").isNotNull(), F.col("records")).otherwise(0)
+    parts = measured(records).groupBy(*keys, "uom", "currency").agg(
+        F.sum("records").alias("n"), F.sum(linked).alias("linked"), F.sum("priced").alias("priced"), F.min("first_date").alias("first"), F.max("last_date").alias("last"),
         F.sum("qty_cents").alias("quantity"), F.sum("spend_cents").alias("spend"),
     )
     sums = parts.groupBy(*keys).agg(
@@ -89,7 +88,7 @@ def totals(records: DataFrame, *keys: str) -> DataFrame:
 
 
 def monthly(records: DataFrame, *keys: str) -> DataFrame:
-    sums = totals(records.withColumn("month", month(F.col("purchase_date"))), *keys, "month")
+    sums = totals(measured(records), *keys, "month")
     return sums.select(*keys, "month", "records", "quantity_by_uom", "spend_by_currency")
 
 
@@ -103,34 +102,54 @@ def monthly_filled(records: DataFrame, *keys: str, most: int = 1200) -> DataFram
     return months.join(known, [*keys, "month"], "left").fillna(0, ["records"]).fillna("", ["quantity_by_uom", "spend_by_currency"])
 
 
-def coverage(records: DataFrame) -> DataFrame:
-    """One row a scope (all, linked, unlinked): counts, dates and totals; ``linked_bp`` is the linked share in basis points, null without records."""
-    linked = F.col("cmi").isNotNull()
-    scoped = records.withColumn("scope", F.explode(F.array(F.lit("all"), F.when(linked, "linked").otherwise("unlinked"))))
-    parties = scoped.groupBy("scope").agg(F.countDistinct("org_id").alias("organizations"), F.countDistinct("supplier_id").alias("suppliers"))
-    scopes = records.sparkSession.createDataFrame([("all",), ("linked",), ("unlinked",)], "scope string")
-    out = scopes.join(totals(scoped, "scope"), "scope", "left").join(parties, "scope", "left")
+def coverage(records: DataFrame, suppliers: DataFrame | None = None) -> DataFrame:
+    """One row a scope (all, linked, unlinked): counts, dates and totals; ``linked_bp`` is the linked share in basis points, null without records.
+
+    Records, or cells with ``suppliers`` (bitmaps by cmi), are summed once as linked and unlinked; all is both together.
+    """
+    linked, scopes = F.col("cmi").isNotNull(), lambda rows: rows.withColumn("scope", F.explode(F.array(F.lit("all"), F.when(F.col("_linked"), "linked").otherwise("unlinked"))))
+    marked = records.withColumn("_linked", linked)
+    parts = rolled(marked, "_linked", "uom", "currency").withColumn("cmi", F.when(F.col("_linked"), ""))
+    held = bits(marked, "supplier_id", "_linked") if suppliers is None else suppliers.withColumn("_linked", linked)
+    parties = [distinct(scopes(held), "suppliers", "scope"), distinct(scopes(bits(marked, "org_id", "_linked")), "organizations", "scope")]
+    known = records.sparkSession.createDataFrame([("all",), ("linked",), ("unlinked",)], "scope string")
+    out = known.join(totals(scopes(parts), "scope"), "scope", "left").join(parties[0], "scope", "left").join(parties[1], "scope", "left")
     out = out.fillna(0, ["records", "linked", "unlinked", "priced", "unpriced", "organizations", "suppliers"]).fillna("", ["quantity_by_uom", "spend_by_currency"])
     return out.withColumn("linked_bp", F.floor(F.try_divide(F.col("linked") * 10000, F.col("records"))).cast("long"))
 
 
-def organization_summaries(organizations: DataFrame, records: DataFrame) -> DataFrame:
-    """Every organization with its totals; those without records stay, with zeros."""
-    parties = records.groupBy("org_id").agg(F.countDistinct("supplier_id").alias("suppliers"))
+def organization_summaries(organizations: DataFrame, records: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Every organization with its totals; those without records stay, with zeros. ``pairs``: where ``records`` are cells, the pairs of the same filter."""
+    parties = (records if pairs is None else pairs).groupBy("org_id").agg(F.countDistinct("supplier_id").alias("suppliers"))
     out = organizations.join(totals(records, "org_id"), "org_id", "left").join(parties, "org_id", "left")
     return out.fillna(0, ["records", "linked", "unlinked", "priced", "unpriced", "suppliers"]).fillna("", ["quantity_by_uom", "spend_by_currency"])
 
 
-def unharmonized(records: DataFrame) -> DataFrame:
-    """Per organization and category with both linked and unlinked records: the unlinked ones, and up to 20 material ids."""
-    scope = records.where("cmi is not null").select("org_id", "category").distinct()
-    loose = records.where("cmi is null").join(scope, ["org_id", "category"], "left_semi")
-    sums = loose.groupBy("org_id", "category").agg(F.count("*").alias("records"), F.countDistinct("material_id").alias("materials"), F.countDistinct("supplier_id").alias("suppliers"))
+def material_counts(records: DataFrame) -> DataFrame:
+    """(org_id, category, linked, material_id, records)."""
+    return records.groupBy("org_id", "category", F.col("cmi").isNotNull().alias("linked"), "material_id").agg(F.count("*").alias("records"))
+
+
+def loose_suppliers(records: DataFrame) -> DataFrame:
+    """Bitmaps of suppliers of the unlinked records by organization and category."""
+    return bits(records.where("cmi is null"), "supplier_id", "org_id", "category")
+
+
+def unharmonized(records: DataFrame, counts: DataFrame | None = None, suppliers: DataFrame | None = None) -> DataFrame:
+    """Per organization and category with both linked and unlinked records: the unlinked ones, and up to 20 material ids.
+
+    ``counts`` and ``suppliers``: ``material_counts`` and ``loose_suppliers`` where they are stored.
+    """
+    counts = material_counts(records) if counts is None else counts
+    scope = counts.where("linked").select("org_id", "category").distinct()
+    loose = counts.where("not linked").join(scope, ["org_id", "category"], "left_semi")
+    sums = loose.groupBy("org_id", "category").agg(F.sum("records").alias("records"), F.count("*").alias("materials"))
     line = Window.partitionBy("org_id", "category").orderBy("material_id")
-    least = loose.select("org_id", "category", "material_id").distinct().withColumn("n", F.row_number().over(line)).where("n <= 20")  # the limit acts before the shuffle too
+    least = loose.select("org_id", "category", "material_id").withColumn("n", F.row_number().over(line)).where("n <= 20")  # the limit acts before the shuffle too
     ranked = least.groupBy("org_id", "category").agg(F.array_sort(F.collect_list("material_id")).alias("ids"))
     listed = F.substring(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 1, 500)
-    return sums.join(ranked, ["org_id", "category"]).select("org_id", "category", "records", "materials", "suppliers", listed.alias("material_ids"))
+    held = distinct(loose_suppliers(records) if suppliers is None else suppliers, "suppliers", "org_id", "category")
+    return sums.join(ranked, ["org_id", "category"]).join(held, ["org_id", "category"]).select("org_id", "category", "records", "materials", "suppliers", listed.alias("material_ids"))
 
 
 def opportunity_evidence(records: DataFrame) -> DataFrame:
@@ -139,9 +158,12 @@ def opportunity_evidence(records: DataFrame) -> DataFrame:
     )
 
 
-def opportunities(records: DataFrame) -> DataFrame:
-    """(detection_key, opportunity_type, cmi, org_id, category, score, organizations, suppliers, records) by six rules."""
-    seen = opportunity_evidence(records)
+def opportunities(records: DataFrame, seen: DataFrame | None = None, loose: DataFrame | None = None) -> DataFrame:
+    """(detection_key, opportunity_type, cmi, org_id, category, score, organizations, suppliers, records) by six rules.
+
+    ``seen`` and ``loose``: ``opportunity_evidence`` and ``unharmonized`` where they come from roll-ups.
+    """
+    seen = opportunity_evidence(records) if seen is None else seen
     score = F.col("organizations") * 2 + F.col("suppliers") * 2 + F.col("records")
     rank = F.greatest(F.lit(1), F.ceil(F.lit(0.1) * F.col("n")).cast("long"))
     # the k-th largest count: the largest value with at least k cmis at or above it, over one row for each distinct count
@@ -161,7 +183,7 @@ def opportunities(records: DataFrame) -> DataFrame:
     by_cmi = seen.crossJoin(F.broadcast(cut)).withColumn("score", score).select(F.explode(kinds).alias("opportunity_type"), "cmi", "score", "organizations", "suppliers", "records")
     by_cmi = by_cmi.select(F.concat_ws(":", "opportunity_type", "cmi").alias("detection_key"), "opportunity_type", "cmi", F.lit(None).cast("int").alias("org_id"), F.lit(None).cast("string").alias("category"), "score", "organizations", "suppliers", "records")
     kind = "UNHARMONIZED_RELATED_PROCUREMENT"
-    loose = unharmonized(records).select(
+    loose = (unharmonized(records) if loose is None else loose).select(
         F.concat_ws(":", F.lit(kind), "org_id", "category").alias("detection_key"), F.lit(kind).alias("opportunity_type"), F.lit(None).cast("string").alias("cmi"), "org_id", "category",
         F.col("records").alias("score"), F.lit(1).cast("long").alias("organizations"), "suppliers", "records",
     )

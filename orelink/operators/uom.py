@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelink.functions import vocabulary as V
+from orelink.operators.rollup import measured
 
 
 def active_rules(rules: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def normalized(records: DataFrame, rules: DataFrame, domain_rules: DataFrame | N
 
 def comparable(records: DataFrame, rules: DataFrame, *keys: str, domain_rules: DataFrame | None = None) -> DataFrame:
     """Comparable quantities: cents of the normalized unit by key. Units are counted before the rules join."""
-    slim = records.groupBy(*dict.fromkeys([*keys, "cmi", "uom"])).agg(F.count("*").alias("records"), F.sum("qty_cents").alias("qty_cents"))
+    slim = measured(records).groupBy(*dict.fromkeys([*keys, "cmi", "uom"])).agg(F.sum("records").alias("records"), F.sum("qty_cents").alias("qty_cents"))
     return normalized(slim, rules, domain_rules).groupBy(*keys, "norm_uom").agg(F.sum("records").alias("records"), F.sum("norm_cents").alias("norm_cents"))
 
 
@@ -127,7 +128,7 @@ def decided_amendments(rules: DataFrame, versions: DataFrame, requests: DataFram
 
 def quality_counts(records: DataFrame, rules: DataFrame) -> DataFrame:
     """(uom, records, uom_class): one row a unit; the one pass over the records that all quality figures share."""
-    return classified(records.groupBy("uom").agg(F.count("*").alias("records")), rules)
+    return classified(measured(records).groupBy("uom").agg(F.sum("records").alias("records")), rules)
 
 
 def remedied_cmis(records: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def steward_overview(rules: DataFrame, versions: DataFrame, history: DataFrame,
 
 def pending_queue(rules: DataFrame, history: DataFrame, records: DataFrame) -> DataFrame:
     """Rules that await approval, with their events, the records of their cmi and those of them in the rule's unit."""
-    used = records.where("cmi is not null").groupBy("cmi", F.upper(F.trim("uom")).alias("_unit")).agg(F.count("*").alias("n"))
+    used = measured(records).where("cmi is not null").groupBy("cmi", F.upper(F.trim("uom")).alias("_unit")).agg(F.sum("records").alias("n"))
     events = history.groupBy("rule_id").agg(F.count("*").alias("events"))
     rows = rules.where("status = 'PENDING'").join(used, "cmi", "left").join(events, "rule_id", "left")
     sums = rows.groupBy("rule_id", "cmi", "from_uom", F.coalesce("events", F.lit(0)).alias("events"))
@@ -175,7 +176,7 @@ def amendment_queue(rules: DataFrame, versions: DataFrame, records: DataFrame) -
     rows = rules.where("pending_version is not null and effective_version is not null").drop("from_uom", "to_uom", "factor")
     rows = rows.join(named("effective_version", F.col("version_number").alias("effective_number")), "effective_version", "left")
     rows = rows.join(named("pending_version", F.col("version_number").alias("proposed_number"), "from_uom", "factor"), "pending_version", "left")
-    used = records.where("cmi is not null").groupBy("cmi", F.upper(F.trim("uom")).alias("from_uom")).agg(F.count("*").alias("affected"))
+    used = measured(records).where("cmi is not null").groupBy("cmi", F.upper(F.trim("uom")).alias("from_uom")).agg(F.sum("records").alias("affected"))
     return rows.join(used, ["cmi", "from_uom"], "left").select("rule_id", "cmi", "effective_number", "proposed_number", "from_uom", "factor", F.coalesce("affected", F.lit(0)).alias("affected"))
 
 

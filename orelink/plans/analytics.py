@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelink.operators import procurement as P
+from orelink.operators import rollup as R
+from orelink.plans import rolls
 from orelink.plans.registry import Registry
 from orelink.sources.mart import mart
 
@@ -26,37 +28,45 @@ def a1_list_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT cmi, {_SUMMARY} FROM procurement WHERE cmi IS NOT NULL GROUP BY cmi")
 def a2_cmi_summary(spark: SparkSession, d: str) -> DataFrame:
-    return P.summary(mart(spark, d, "procurement").where("cmi is not null"), "cmi")
+    return R.summary(rolls.units(spark, d).where("cmi is not null"), rolls.cmi_suppliers(spark, d), "cmi")
 
 
 @query("SELECT cmi, uom, count(*) AS records, cast(sum(qty_cents) AS bigint) AS qty_cents FROM procurement WHERE cmi IS NOT NULL GROUP BY cmi, uom")
 def a2_cmi_quantities(spark: SparkSession, d: str) -> DataFrame:
-    return P.quantities(mart(spark, d, "procurement").where("cmi is not null"), "cmi")
+    return P.quantities(rolls.units(spark, d).where("cmi is not null"), "cmi")
 
 
 @query("""SELECT cmi, currency, count(*) AS records, cast(sum(spend_cents) AS bigint) AS spend_cents,
   cast(sum(spend_cents) // 100 AS varchar) || CASE WHEN sum(spend_cents) % 100 = 0 THEN '' ELSE '.' || lpad(cast(sum(spend_cents) % 100 AS varchar), 2, '0') END AS spend
 FROM procurement WHERE cmi IS NOT NULL AND currency IS NOT NULL GROUP BY cmi, currency""")
 def a2_cmi_spend(spark: SparkSession, d: str) -> DataFrame:
-    return P.spend(mart(spark, d, "procurement").where("cmi is not null"), "cmi").withColumn("spend", P.cents_text(F.col("spend_cents")))
+    return P.spend(rolls.units(spark, d).where("cmi is not null"), "cmi").withColumn("spend", P.cents_text(F.col("spend_cents")))
 
 
 @query("""SELECT p.org_id, org_code, uom, count(*) AS records, cast(sum(qty_cents) AS bigint) AS qty_cents
 FROM procurement p JOIN organizations o ON o.org_id = p.org_id WHERE cmi IS NOT NULL GROUP BY p.org_id, org_code, uom""")
 def a3_demand_by_organization(spark: SparkSession, d: str) -> DataFrame:
-    sums = P.quantities(mart(spark, d, "procurement").where("cmi is not null"), "org_id")
+    sums = P.quantities(rolls.units(spark, d).where("cmi is not null"), "org_id")
     return sums.join(mart(spark, d, "organizations"), "org_id").select("org_id", "org_code", "uom", "records", "qty_cents")
 
 
+@query("""SELECT org_id, uom, count(*) AS records, cast(sum(qty_cents) AS bigint) AS qty_cents FROM procurement WHERE purchase_date BETWEEN DATE '1995-03-10' AND DATE '1996-07-20' GROUP BY org_id, uom""")
+def a3_demand_between(spark: SparkSession, d: str) -> DataFrame:
+    """Dates that cut their months: those two from the records, whole months from the cells."""
+    rows = R.between(mart(spark, d, "procurement"), rolls.cells(spark, d), "1995-03-10", "1996-07-20")
+    return P.quantities(rows, "org_id")
+
+
 @query("SELECT cmi, org_id, currency, count(*) AS records, cast(sum(spend_cents) AS bigint) AS spend_cents FROM procurement WHERE cmi IS NOT NULL AND currency IS NOT NULL GROUP BY ALL")
 def a3_spend_by_organization(spark: SparkSession, d: str) -> DataFrame:
-    return P.spend(mart(spark, d, "procurement").where("cmi is not null"), "cmi", "org_id")
+    return P.spend(rolls.units(spark, d).where("cmi is not null"), "cmi", "org_id")
 
 
 @query("""SELECT cmi, p.supplier_id, supplier, count(*) AS records, count(DISTINCT org_id) AS organizations, min(purchase_date) AS first_date, max(purchase_date) AS last_date
 FROM procurement p JOIN suppliers s ON s.supplier_id = p.supplier_id WHERE cmi IS NOT NULL GROUP BY ALL""")
 def a4_cmi_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    sums = P.summary(mart(spark, d, "procurement").where("cmi is not null"), "cmi", "supplier_id")
+    found = rolls.pairs(spark, d).where("cmi is not null").groupBy("cmi", "supplier_id", "org_id").agg(F.sum("records").alias("records"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+    sums = found.groupBy("cmi", "supplier_id").agg(F.sum("records").alias("records"), F.count("*").alias("organizations"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
     return sums.join(mart(spark, d, "suppliers"), "supplier_id").select("cmi", "supplier_id", "supplier", "records", "organizations", "first_date", "last_date")
 
 
@@ -79,40 +89,40 @@ _MONTHLY = f"SELECT cmi, month, records, quantity_by_uom, spend_by_currency FROM
 
 @query(_MONTHLY)
 def a5_cmi_monthly(spark: SparkSession, d: str) -> DataFrame:
-    return P.monthly(mart(spark, d, "procurement").where("cmi is not null"), "cmi")
+    return P.monthly(rolls.cells(spark, d).where("cmi is not null"), "cmi")
 
 
 @query(f"""WITH m AS ({_MONTHLY}), s AS (SELECT cmi, min(month) AS lo, max(month) AS hi FROM m GROUP BY cmi),
 g AS (SELECT cmi, strftime(unnest(generate_series(cast(lo || '-01' AS timestamp), cast(hi || '-01' AS timestamp), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM s)
 SELECT g.cmi, g.month, coalesce(records, 0) AS records, coalesce(quantity_by_uom, '') AS quantity_by_uom, coalesce(spend_by_currency, '') AS spend_by_currency FROM g LEFT JOIN m ON m.cmi = g.cmi AND m.month = g.month""")
 def a6_cmi_monthly_filled(spark: SparkSession, d: str) -> DataFrame:
-    return P.monthly_filled(mart(spark, d, "procurement").where("cmi is not null"), "cmi")
+    return P.monthly_filled(rolls.cells(spark, d).where("cmi is not null"), "cmi")
 
 
 @query(f"""WITH p AS (SELECT * FROM procurement WHERE status = 'OPEN' AND purchase_date < DATE '1995-02-01'), t AS ({_totals('org_id', 'p')})
 SELECT o.org_id, org_code, coalesce(records, 0) AS records, coalesce(linked, 0) AS linked, coalesce(unlinked, 0) AS unlinked, coalesce(priced, 0) AS priced, coalesce(unpriced, 0) AS unpriced, first_date, last_date,
 coalesce(quantity_by_uom, '') AS quantity_by_uom, coalesce(spend_by_currency, '') AS spend_by_currency, (SELECT count(DISTINCT supplier_id) FROM p WHERE p.org_id = o.org_id) AS suppliers FROM organizations o LEFT JOIN t ON t.org_id = o.org_id""")
 def a7_organization_summaries(spark: SparkSession, d: str) -> DataFrame:
-    records = mart(spark, d, "procurement").where("status = 'OPEN' and purchase_date < date '1995-02-01'")
-    return P.organization_summaries(mart(spark, d, "organizations"), records)
+    open_ = "status = 'OPEN' and month < '1995-02'"
+    return P.organization_summaries(mart(spark, d, "organizations"), rolls.cells(spark, d).where(open_), rolls.pairs(spark, d).where(open_))
 
 
 @query("""SELECT c.cmi, count(p.po) AS records, count(DISTINCT org_id) AS organizations, count(DISTINCT supplier_id) AS suppliers, max(purchase_date) AS last_date
 FROM cmis c LEFT JOIN procurement p ON p.cmi = c.cmi GROUP BY c.cmi""")
 def a8_cmi_overviews(spark: SparkSession, d: str) -> DataFrame:
-    sums = P.summary(mart(spark, d, "procurement").where("cmi is not null"), "cmi").select("cmi", "records", "organizations", "suppliers", "last_date")
+    sums = R.summary(rolls.units(spark, d).where("cmi is not null"), rolls.cmi_suppliers(spark, d), "cmi").select("cmi", "records", "organizations", "suppliers", "last_date")
     return mart(spark, d, "cmis").join(sums, "cmi", "left").fillna(0, ["records", "organizations", "suppliers"])
 
 
 @query(f"""WITH p AS (SELECT *, unnest(['all', CASE WHEN cmi IS NULL THEN 'unlinked' ELSE 'linked' END]) AS scope FROM procurement), t AS ({_totals('scope', 'p')}), d AS (SELECT scope, count(DISTINCT org_id) AS organizations, count(DISTINCT supplier_id) AS suppliers FROM p GROUP BY scope)
 SELECT t.*, organizations, suppliers, cast(linked * 10000 // records AS bigint) AS linked_bp FROM t JOIN d ON d.scope = t.scope""")
 def a9_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return P.coverage(mart(spark, d, "procurement"))
+    return P.coverage(rolls.units(spark, d), rolls.cmi_suppliers(spark, d))
 
 
 @query("""SELECT cmi IS NOT NULL AS linked, currency, count(*) AS records, cast(sum(spend_cents) AS bigint) AS spend_cents FROM procurement WHERE currency IS NOT NULL GROUP BY ALL""")
 def a9_coverage_spend(spark: SparkSession, d: str) -> DataFrame:
-    return P.spend(mart(spark, d, "procurement").withColumn("linked", F.col("cmi").isNotNull()), "linked")
+    return P.spend(rolls.units(spark, d).withColumn("linked", F.col("cmi").isNotNull()), "linked")
 
 
 _EVIDENCE = "SELECT cmi, count(DISTINCT org_id) AS organizations, count(DISTINCT supplier_id) AS suppliers, count(*) AS records, count(DISTINCT purchase_date) AS dates FROM procurement WHERE cmi IS NOT NULL GROUP BY cmi"
@@ -120,12 +130,12 @@ _EVIDENCE = "SELECT cmi, count(DISTINCT org_id) AS organizations, count(DISTINCT
 
 @query(_EVIDENCE)
 def a10_cmi_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    return P.opportunity_evidence(mart(spark, d, "procurement"))
+    return R.evidence(rolls.cells(spark, d), rolls.cmi_suppliers(spark, d))
 
 
 @query("SELECT cmi, org_id, uom, count(*) AS records, cast(sum(qty_cents) AS bigint) AS qty_cents FROM procurement WHERE cmi IS NOT NULL GROUP BY ALL")
 def a11_evidence_by_organization(spark: SparkSession, d: str) -> DataFrame:
-    return P.quantities(mart(spark, d, "procurement").where("cmi is not null"), "cmi", "org_id")
+    return P.quantities(rolls.units(spark, d).where("cmi is not null"), "cmi", "org_id")
 
 
 @query("SELECT cmi, supplier_id, uom, count(*) AS records, cast(sum(qty_cents) AS bigint) AS qty_cents FROM procurement WHERE cmi IS NOT NULL GROUP BY ALL")
@@ -140,7 +150,7 @@ FROM procurement p WHERE cmi IS NULL AND EXISTS (SELECT 1 FROM procurement q WHE
 
 @query(_LOOSE)
 def a12_unharmonized(spark: SparkSession, d: str) -> DataFrame:
-    return P.unharmonized(mart(spark, d, "procurement"))
+    return rolls.unharmonized(spark, d)
 
 
 _OPPORTUNITIES = f"""WITH e AS ({_EVIDENCE}), k AS (SELECT CASE WHEN count(*) >= 2 THEN list(records ORDER BY records DESC)[greatest(1, cast(ceil(0.1 * count(*)) AS bigint))] END AS cut FROM e),
@@ -153,7 +163,7 @@ UNION ALL SELECT 'UNHARMONIZED_RELATED_PROCUREMENT:' || org_id || ':' || categor
 
 @query(_OPPORTUNITIES)
 def a13_opportunities(spark: SparkSession, d: str) -> DataFrame:
-    return P.opportunities(mart(spark, d, "procurement"))
+    return rolls.opportunities(spark, d)
 
 
 @query("""WITH e AS (SELECT cmi, count(*) AS records FROM procurement WHERE cmi IS NOT NULL GROUP BY cmi),
@@ -176,19 +186,20 @@ def a15_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT detection_key, score FROM ({_OPPORTUNITIES}) WHERE opportunity_type = 'FRAGMENTED_DEMAND' ORDER BY score DESC, detection_key LIMIT 20")
 def a16_list_opportunities(spark: SparkSession, d: str) -> DataFrame:
-    found = P.opportunities(mart(spark, d, "procurement")).where("opportunity_type = 'FRAGMENTED_DEMAND'")
+    found = rolls.opportunities(spark, d).where("opportunity_type = 'FRAGMENTED_DEMAND'")
     return P.page(found.select("detection_key", "score"), [F.desc("score"), F.asc("detection_key")], 1, 20)
 
 
 @query("""SELECT s.supplier_id, supplier, region_id, count(p.po) AS records, count(DISTINCT p.org_id) AS organizations, count(DISTINCT cmi) AS cmis, max(purchase_date) AS last_date
 FROM suppliers s LEFT JOIN procurement p ON p.supplier_id = s.supplier_id AND p.org_id = 2 AND p.currency = 'INR' WHERE contains(lower(supplier), '1') GROUP BY ALL""")
 def a17_supplier_list(spark: SparkSession, d: str) -> DataFrame:
-    return P.supplier_list(mart(spark, d, "suppliers"), mart(spark, d, "procurement"), "1", org_id=2, currency="INR")
+    return R.supplier_list(mart(spark, d, "suppliers"), rolls.supplier_totals(spark, d), rolls.supplier_cmis(spark, d), "1", org_id=2, currency="INR")
 
 
 @query(f"SELECT s.supplier_id, supplier, {_SUMMARY} FROM suppliers s JOIN procurement p ON p.supplier_id = s.supplier_id GROUP BY ALL".replace("DISTINCT supplier_id", "DISTINCT p.supplier_id"))
 def a18_supplier_headers(spark: SparkSession, d: str) -> DataFrame:
-    sums = P.summary(mart(spark, d, "procurement"), "supplier_id")
+    sums = R.rolled(rolls.supplier_totals(spark, d), "supplier_id").select("supplier_id", "records", "priced", (F.col("records") - F.col("priced")).alias("unpriced"), "first_date", "last_date")
+    sums = sums.join(R.distinct(R.bits(rolls.supplier_totals(spark, d), "org_id", "supplier_id"), "organizations", "supplier_id"), "supplier_id").withColumn("suppliers", F.lit(1).cast("long"))
     return mart(spark, d, "suppliers").select("supplier_id", "supplier").join(sums, "supplier_id")
 
 
@@ -223,8 +234,8 @@ def a18_supplier_recent(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT supplier_id, count(*) AS records, count(DISTINCT org_id) AS organizations, cast(floor(count(*) * 10000 / (SELECT count(*) FROM procurement)) AS bigint) AS share_bp
 FROM procurement GROUP BY supplier_id HAVING count(DISTINCT org_id) >= 2""")
 def a19_cross_organization_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    records = mart(spark, d, "procurement")
-    sums = records.groupBy("supplier_id").agg(F.count("*").alias("records"), F.countDistinct("org_id").alias("organizations"))
+    by_org = rolls.supplier_totals(spark, d).groupBy("supplier_id", "org_id").agg(F.sum("records").alias("records"))
+    sums = by_org.groupBy("supplier_id").agg(F.sum("records").alias("records"), F.count("*").alias("organizations"))
     total = sums.agg(F.sum("records").alias("total"))  # one row
     return sums.where("organizations >= 2").crossJoin(F.broadcast(total)).select("supplier_id", "records", "organizations", F.floor(F.col("records") * 10000 / F.col("total")).cast("long").alias("share_bp"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelink.operators import uom as U
+from orelink.plans import rolls
 from orelink.plans.registry import Registry
 from orelink.sources.mart import mart
 
@@ -29,22 +30,22 @@ def u2_active_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT uom, {_CLASS} AS uom_class, records FROM (SELECT uom, count(*) AS records FROM procurement GROUP BY uom) LEFT JOIN {_ACTIVE} r ON r.from_uom = upper(trim(uom))")
 def u3_uom_classes(spark: SparkSession, d: str) -> DataFrame:
-    return U.classified(mart(spark, d, "procurement").groupBy("uom").agg(F.count("*").alias("records")), mart(spark, d, "uom_rules"))
+    return U.classified(rolls.units(spark, d).groupBy("uom").agg(F.sum("records").alias("records")), mart(spark, d, "uom_rules"))
 
 
 @query(f"SELECT coalesce(r.to_uom, upper(uom)) AS norm_uom, count(*) AS records, cast(sum(qty_cents * coalesce(factor, 1)) AS bigint) AS norm_cents FROM procurement LEFT JOIN {_ACTIVE} r ON r.from_uom = upper(uom) GROUP BY 1")
 def u4_comparable_total(spark: SparkSession, d: str) -> DataFrame:
-    return U.comparable(mart(spark, d, "procurement"), mart(spark, d, "uom_rules"))
+    return U.comparable(rolls.units(spark, d), mart(spark, d, "uom_rules"))
 
 
 @query(_comparable("p.cmi"))
 def u5_comparable_scoped(spark: SparkSession, d: str) -> DataFrame:
-    return U.comparable(mart(spark, d, "procurement"), mart(spark, d, "uom_rules"), "cmi", domain_rules=mart(spark, d, "domain_rules"))
+    return U.comparable(rolls.units(spark, d), mart(spark, d, "uom_rules"), "cmi", domain_rules=mart(spark, d, "domain_rules"))
 
 
 @query(_comparable("org_id"))
 def u6_comparable_by_organization(spark: SparkSession, d: str) -> DataFrame:
-    return U.comparable(mart(spark, d, "procurement"), mart(spark, d, "uom_rules"), "org_id", domain_rules=mart(spark, d, "domain_rules"))
+    return U.comparable(rolls.units(spark, d), mart(spark, d, "uom_rules"), "org_id", domain_rules=mart(spark, d, "domain_rules"))
 
 
 @query(_comparable("supplier_id"))
@@ -62,13 +63,13 @@ def u7_normalized_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT uom, count(*) AS records FROM procurement GROUP BY uom HAVING uom NOT IN ('EA', 'PCS', 'NOS', 'SET', 'KG', 'G', 'TON', 'L', 'ML', 'M', 'CM', 'MM') ORDER BY records DESC, uom LIMIT 50""")
 def u9_unknown_uoms(spark: SparkSession, d: str) -> DataFrame:
-    counts = mart(spark, d, "procurement").groupBy("uom").agg(F.count("*").alias("records"))
+    counts = rolls.units(spark, d).groupBy("uom").agg(F.sum("records").alias("records"))
     return counts.where(~F.col("uom").isin(U.V.KNOWN_UOMS)).orderBy(F.desc("records"), "uom").limit(50)
 
 
 @query(f"SELECT cmi, uom, records, {_CLASS} AS uom_class FROM (SELECT cmi, uom, count(*) AS records FROM procurement WHERE cmi IS NOT NULL GROUP BY ALL) LEFT JOIN {_ACTIVE} r ON r.from_uom = upper(trim(uom))")
 def u10_remediation_board(spark: SparkSession, d: str) -> DataFrame:
-    counts = mart(spark, d, "procurement").where("cmi is not null").groupBy("cmi", "uom").agg(F.count("*").alias("records"))
+    counts = rolls.units(spark, d).where("cmi is not null").groupBy("cmi", "uom").agg(F.sum("records").alias("records"))
     return U.classified(counts, mart(spark, d, "uom_rules"))
 
 
@@ -113,7 +114,7 @@ _SINCE = "2024-01-15"
 
 
 def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    records = mart(spark, d, "procurement")
+    records = rolls.units(spark, d)
     return U.quality_counts(records, mart(spark, d, "uom_rules")), U.remedied_cmis(records)
 
 
@@ -140,11 +141,11 @@ FROM governed_rules r JOIN rule_versions e ON e.version_id = r.effective_version
 
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
-    return U.pending_queue(mart(spark, d, "governed_rules"), mart(spark, d, "rule_history"), mart(spark, d, "procurement"))
+    return U.pending_queue(mart(spark, d, "governed_rules"), mart(spark, d, "rule_history"), rolls.units(spark, d))
 
 
 def _amendments(spark: SparkSession, d: str) -> DataFrame:
-    return U.amendment_queue(mart(spark, d, "governed_rules"), mart(spark, d, "rule_versions"), mart(spark, d, "procurement"))
+    return U.amendment_queue(mart(spark, d, "governed_rules"), mart(spark, d, "rule_versions"), rolls.units(spark, d))
 
 
 @query(_PENDING_QUEUE)

@@ -76,6 +76,7 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+_OWN_DIRS: dict[str, str] = {}
 
 
 def _shared_dir(spark: SparkSession) -> str | None:
@@ -84,15 +85,32 @@ def _shared_dir(spark: SparkSession) -> str | None:
         return found
     if not spark.sparkContext.master.startswith("local"):
         return None
-    own = tempfile.mkdtemp(prefix="orelink-mart-")
-    atexit.register(shutil.rmtree, own, True)
-    return own
+    key = spark.sparkContext.applicationId
+    if key not in _OWN_DIRS:
+        _OWN_DIRS[key] = tempfile.mkdtemp(prefix="orelink-mart-")
+        atexit.register(shutil.rmtree, _OWN_DIRS[key], True)
+    return _OWN_DIRS[key]
+
+
+def _there(spark: SparkSession, key: tuple[str, str, str]) -> bool:
+    """Whether a table was written and still is where it was written."""
+    if key not in _WRITTEN:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN[key][0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this session wrote in the shared folder; the next query writes what it needs again."""
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(key)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One mart table over the Parquet tables in ``sf_dir``."""
     key = spark.sparkContext.applicationId, sf_dir, name
-    if key in _WRITTEN:
+    if _there(spark, key):
         path, schema = _WRITTEN[key]
         return spark.read.schema(schema).parquet(path)
     sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if f" {t}" in TABLES[name]}
@@ -105,15 +123,18 @@ def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return kept(spark, sf_dir, name, lambda: rows.repartitionByRange("purchase_date").sortWithinPartitions("purchase_date"))
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table over ``sf_dir`` that is written once a session to the shared folder and read from there; without such a folder it is made anew."""
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    """A table over ``sf_dir`` that is written once a session to the shared folder and read from there; without such a folder it is made anew.
+
+    ``write`` writes the rows of ``make`` to a path in a layout of its own.
+    """
     key = spark.sparkContext.applicationId, sf_dir, name
-    if key not in _WRITTEN:
+    if not _there(spark, key):
         rows = make()
         if not (folder := _shared_dir(spark)):
             return rows
         path = f"{folder.rstrip('/')}/orelink-{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+        write(rows, path) if write else rows.write.parquet(path)
         _WRITTEN[key] = path, rows.schema
     path, schema = _WRITTEN[key]
     return spark.read.schema(schema).parquet(path)
