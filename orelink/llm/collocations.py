@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from orelink.llm.common import as_bytes, dropped, keyed_join, written
 
-SHARD, HELD = 1 << 20, 1 << 21
+SHARD, HELD, SENT = 1 << 18, 1 << 19, 1 << 15
 BITS = 26
 DEPTH = 4
 _BREAK = b"\xff"  # a byte that UTF-8 never has
@@ -146,9 +146,11 @@ class Shard:
         table = pa.array(vocabulary, pa.binary())
         for k in range(shortest, depth + 1):
             at, endpos = states.ends(k)
-            cells = [table.take(pa.array(ids[at - k + 1 + j])) for j in range(k)]
-            phrase = pc.binary_join_element_wise(*cells, pa.scalar(b" ", pa.binary())) if k > 1 else cells[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), k, np.int32)), phrase.cast(pa.string()), pa.array(endpos)], ["lang", "k", "phrase", "f"])
+            for i in range(0, len(at), SENT):
+                here, f = at[i : i + SENT], endpos[i : i + SENT]
+                cells = [table.take(pa.array(ids[here - k + 1 + j])) for j in range(k)]
+                phrase = pc.binary_join_element_wise(*cells, pa.scalar(b" ", pa.binary())) if k > 1 else cells[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), k, np.int32)), phrase.cast(pa.string()), pa.array(f)], ["lang", "k", "phrase", "f"])
 
 
 def _counted(depth: int, known=None):
