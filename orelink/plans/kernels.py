@@ -136,16 +136,40 @@ def k6_text_signals(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("material_id").alias("a"), F.col("material_id_b").alias("b"), fuzzy.alias("fuzzy"), semantic.alias("semantic"))
 
 
-_WORDS = f"list_distinct(list_filter(regexp_split_to_array(upper(description), '[^A-Z0-9#]+'), lambda t: length(t) >= 2 AND t NOT IN {_listed(V.STOPWORDS)} AND NOT regexp_full_match(t, '\\d+')))"
+_KEYS = f"k AS (SELECT n.material_id, m.org_id, m.category, list_distinct(list_filter(regexp_split_to_array(array_to_string(tokens, ' '), '[^A-Z0-9#]+'), lambda t: length(t) >= 2 AND t NOT IN {_listed(V.STOPWORDS)} AND NOT regexp_full_match(t, '\\d+'))) AS words FROM n JOIN materials m USING (material_id))"
 
 
-@query(f"""WITH k AS (SELECT material_id, org_id, category, {_WORDS} AS words FROM materials)
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Materials with the distinctive tokens of their normalized text."""
+    return mart(spark, d, "materials").withColumn("keys", S.distinctive_tokens(T.normalize(F.col("description"))))
+
+
+@query(f"""WITH {_NORMALIZED}, {_KEYS}, u AS (SELECT material_id, org_id, category, unnest(words) AS token FROM k)
+SELECT a.material_id AS a, b.material_id AS b, count(*) AS shared FROM u a JOIN u b ON a.category = b.category AND a.token = b.token AND a.material_id < b.material_id AND a.org_id <> b.org_id GROUP BY ALL""")
+def k8_all_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return M.candidate_pairs(_keyed(spark, d))
+
+
+_CLASSED = f"{_NORMALIZED}, {_KEYS}, l AS (SELECT *, min(material_id) OVER (PARTITION BY category, list_sort(words)) AS class FROM k)"
+
+
+@query(f"""WITH {_CLASSED} SELECT x.class AS a, y.class AS b, any_value(len(list_intersect(x.words, y.words)))::BIGINT AS shared, count(*) AS links FROM l x JOIN l y
+ON x.category = y.category AND x.org_id <> y.org_id AND (x.class < y.class OR x.class = y.class AND x.material_id < y.material_id) AND len(list_intersect(x.words, y.words)) > 0 GROUP BY ALL""")
+def k8_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates as pairs of classes of equal tokens with the number of material pairs they stand for; ``k8_class_members`` has the members."""
+    return M.token_class_pairs(M.token_classes(_keyed(spark, d))[0])
+
+
+@query(f"WITH {_CLASSED} SELECT material_id, class FROM l")
+def k8_class_members(spark: SparkSession, d: str) -> DataFrame:
+    return M.token_classes(_keyed(spark, d))[1]
+
+
+@query(f"""WITH {_NORMALIZED}, {_KEYS}
 SELECT x.category, len(list_intersect(x.words, y.words)) AS shared, count(*) AS pairs FROM k x JOIN k y ON x.category = y.category AND x.material_id < y.material_id AND x.org_id <> y.org_id GROUP BY ALL""")
 def k9_quadratic_scan(spark: SparkSession, d: str) -> DataFrame:
-    """How many pairs of the scan without blocking share how many tokens."""
-    rows = mart(spark, d, "materials").withColumn("keys", S.distinctive_tokens(F.col("description")))
-    pairs = M.quadratic_pairs(rows).join(rows.select(F.col("material_id").alias("a"), "category"), "a")
-    return pairs.groupBy("category", "shared").agg(F.count("*").alias("pairs"))
+    """How many pairs of the scan without blocking share how many tokens: scanned as pairs of classes."""
+    return M.quadratic_counts(M.token_classes(_keyed(spark, d))[0])
 
 
 # Attributes of two records, derived from the parts: numbers with units, nominal sizes, vocabulary forms, one side missing.

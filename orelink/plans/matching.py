@@ -62,15 +62,6 @@ def t6_classify(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(T.classify(F.col("tokens"))["category"].alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 20 = 0""")
-def k4_cosine(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label")
-    pairs = asked.join(rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label"), "label").where("a < b")
-    return pairs.select("a", "b", F.round(S.cosine_dense(F.col("x"), F.col("y")), 6).alias("cosine"))
-
-
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
 FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id""")
 def k4_cosine_all(spark: SparkSession, d: str) -> DataFrame:
@@ -85,20 +76,6 @@ def k7_distinctive_tokens(spark: SparkSession, d: str) -> DataFrame:
     return mart(spark, d, "materials").select("material_id", F.array_sort(S.distinctive_tokens(F.col("description"))).alias("keys"))
 
 
-@query(f"""WITH k AS (SELECT material_id, org_id, category, unnest({_WORDS}) AS token FROM materials)
-SELECT a.material_id AS a, b.material_id AS b, count(*) AS shared FROM k a JOIN k b ON a.category = b.category AND a.token = b.token AND a.material_id < b.material_id AND a.org_id <> b.org_id GROUP BY ALL HAVING count(*) >= 3""")
-def k8_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = mart(spark, d, "materials").withColumn("keys", S.distinctive_tokens(F.col("description")))
-    return M.candidate_pairs(rows, 3)
-
-
-@query(f"""WITH k AS (SELECT material_id, org_id, category, unnest({_WORDS}) AS token FROM materials)
-SELECT a.material_id AS a, b.material_id AS b, count(*) AS shared FROM k a JOIN k b ON a.category = b.category AND a.token = b.token AND a.material_id < b.material_id AND a.org_id <> b.org_id GROUP BY ALL""")
-def k8_all_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = mart(spark, d, "materials").withColumn("keys", S.distinctive_tokens(F.col("description")))
-    return M.candidate_pairs(rows)
-
-
 _SIGNALS = ["material_id_a", "material_id_b", "semantic", "fuzzy", "technical", "final_score", "match_type", "decision", "band"]
 
 
@@ -134,10 +111,17 @@ def k11_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k21_explained_run(spark: SparkSession, d: str) -> DataFrame:
-    """The explanation of every surviving pair of classes."""
-    rows, _ = _classes(spark, d)
-    found = M.surviving(M.by_makers(M.score_pairs(M.class_pairs(rows), rows)))
-    return M.explained(found).select("material_id_a", "material_id_b", "differ", "explanation", "evidence")
+    """The explanation of every surviving pair of classes, with the number of material pairs that it stands for; ``k21_class_members`` has the members."""
+    rows, members = _classes(spark, d)
+    found = M.explained(M.surviving(M.by_makers(M.score_pairs(M.class_pairs(rows), rows)))).select("material_id_a", "material_id_b", "differ", "explanation", "evidence")
+    links = M.counted_pairs(found.select("material_id_a", "material_id_b", "differ"), members).groupBy("material_id_a", "material_id_b", "differ").agg(F.sum("pairs").alias("links"))
+    return found.join(links, ["material_id_a", "material_id_b", "differ"])
+
+
+@query("SELECT material_id, (SELECT min(y.material_id) FROM materials y WHERE y.description = x.description) AS class, org_id, nullif(upper(trim(manufacturer)), '') AS maker FROM materials x")
+def k21_class_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of the classes that ``k21_explained_run`` pairs."""
+    return _classes(spark, d)[1].select("material_id", "class", "org_id", "maker")
 
 
 @query("""WITH p AS (SELECT a, b FROM matches UNION ALL SELECT material_id, material_id + 64 FROM materials), s AS (SELECT p.a, p.b, coalesce(x.cmi = y.cmi, false) AS same_cmi FROM p LEFT JOIN materials x ON x.material_id = a LEFT JOIN materials y ON y.material_id = b)

@@ -310,8 +310,8 @@ def resolved(rows: DataFrame, organizations: DataFrame, materials: DataFrame, su
 
     organizations: org_id, org_code; materials: material_id, org_id, code, cmi; suppliers: supplier_id, code, supplier; cmis: cmi, active.
     """
-    code = lambda c, n: F.substring(F.upper(_text(c)), 1, n)
-    rows = rows.withColumns({"_org": code("organization", 12), "_code": code("material_code", 60), "_cmi": code("cmi_code", 40), "_sup": F.upper(_text("supplier"))})
+    code = lambda c: F.upper(_text(c))  # noqa: E731  whole: a code that only begins like a stored one is another code
+    rows = rows.withColumns({"_org": code("organization"), "_code": code("material_code"), "_cmi": code("cmi_code"), "_sup": code("supplier")})
     out = rows.join(organizations.select("org_id", F.upper("org_code").alias("_org")), "_org", "left")
     known = materials.select("material_id", F.col("org_id").alias("_owner"), F.upper("code").alias("_own"), F.col("cmi").alias("mapped_cmi"))
     out = out.join(known, (F.col("org_id") == F.col("_owner")) & (F.col("_code") == F.col("_own")), "left")
