@@ -15,18 +15,68 @@ def decision_class(decision):
     return F.when(decision == "HIGH_CONFIDENCE_MATCH", "MATCH").when(decision.isin("NEEDS_TECHNICAL_REVIEW", "LOW_CONFIDENCE"), "NEEDS_REVIEW").otherwise("NOT_A_MATCH")
 
 
-def group_pairs(groups: DataFrame) -> DataFrame:
-    """(group_id, member) -> the pairs a < b of each labelled group."""
-    a, b = groups.select("group_id", F.col("member").alias("a")), groups.select("group_id", F.col("member").alias("b"))
-    return a.join(b, "group_id").where("a < b")
+def _pairs(n: str):
+    return F.floor(F.col(n) * (F.col(n) - 1) / 2).cast("long")
+
+
+def group_links(groups: DataFrame) -> DataFrame:
+    """(group_id, member, head, pairs): each member with its group's least member, and how many pairs the group stands for."""
+    sizes = groups.groupBy("group_id").agg(F.min("member").alias("head"), F.count("*").alias("_n"))
+    return groups.join(sizes, "group_id").select("group_id", "member", "head", _pairs("_n").alias("pairs"))
+
+
+def _ratios(counts: DataFrame) -> DataFrame:
+    """Adds precision, recall and F1 to tp, fp and fn; 0 where undefined."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    out = counts.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+    return out.withColumn("f1", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+
+
+def clustered(groups: DataFrame, clusters: DataFrame) -> DataFrame:
+    """groups: (group_id, member), each member once; clusters: (cluster, member), each once. One row: pairs of members counted as same group against same cluster.
+
+    Every count is a sum of n (n - 1) / 2 over groups, clusters or both, so no pair is made. Members without a cluster are ``skipped``.
+    """
+    both = groups.join(clusters, "member", "left")
+    known = both.where("cluster is not null")
+    cells = known.groupBy("group_id", "cluster").agg(F.count("*").alias("n"))
+    sums = lambda name, key: cells.groupBy(key).agg(F.sum("n").alias("_n")).agg(F.coalesce(F.sum(_pairs("_n")), F.lit(0)).alias(name))
+    tp = cells.withColumnRenamed("n", "_n").agg(F.coalesce(F.sum(_pairs("_n")), F.lit(0)).alias("tp"))
+    all_ = both.agg(F.count("cluster").alias("_n"), F.count_if(F.col("cluster").isNull()).alias("skipped")).select(_pairs("_n").alias("evaluated"), "skipped")
+    row = tp.crossJoin(sums("positives", "group_id")).crossJoin(sums("predicted", "cluster")).crossJoin(all_)  # one row each
+    fp, fn = F.col("predicted") - F.col("tp"), F.col("positives") - F.col("tp")
+    return _ratios(row.select("evaluated", "skipped", "positives", "tp", fp.alias("fp"), (F.col("evaluated") - F.col("tp") - fp - fn).alias("tn"), fn.alias("fn")))
+
+
+def evaluated(groups: DataFrame, conflicts: DataFrame, decided: DataFrame, records: DataFrame) -> DataFrame:
+    """The matcher's decisions against labelled groups (their pairs should match) and conflict pairs (they should not). One row.
+
+    groups: (group_id, member), a member in several groups at most once each; conflicts: (a, b), each pair once; decided: (a, b, state), each
+    pair once and a < b; records: (member). Pairs of a record that is absent are skipped. A pair that was never decided is no match. Pairs of groups are counted, those decided are
+    looked up by equal group; none is listed.
+    """
+    there = groups.join(records.select("member"), "member", "left_semi")
+    total = lambda rows, name: rows.groupBy("group_id").agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(_pairs("_n")), F.lit(0)).alias(name))
+    side = lambda s: there.select(F.col("member").alias(s), F.col("group_id").alias(f"_{s}"))
+    high, review = F.col("state") == "HIGH_CONFIDENCE_MATCH", F.col("state") == "NEEDS_TECHNICAL_REVIEW"
+    same = decided.join(side("a"), "a").join(side("b"), "b").where("_a = _b").agg(F.count_if(high).alias("tp"), F.count_if(review).alias("_reviewed"))
+    asked = conflicts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    known = asked.join(records.select(F.col("member").alias("a")), "a", "left_semi").join(records.select(F.col("member").alias("b")), "b", "left_semi")
+    said = known.join(decided, ["a", "b"], "left").agg(F.count("*").alias("negatives"), F.count_if(high).alias("fp"), F.count_if(review).alias("_held"))
+    row = total(there, "positives").crossJoin(total(groups, "_all")).crossJoin(same).crossJoin(said).crossJoin(asked.agg(F.count("*").alias("_asked")))  # one row each
+    pairs = F.col("positives") + F.col("negatives")
+    out = row.select(
+        pairs.alias("evaluated"), "positives", "negatives", "tp", "fp", (F.col("negatives") - F.col("fp")).alias("tn"), (F.col("positives") - F.col("tp")).alias("fn"),
+        F.coalesce(F.try_divide(F.col("_reviewed") + F.col("_held"), pairs), F.lit(0.0)).alias("review_rate"), (F.col("negatives") - F.col("fp")).alias("conflicts_caught"), F.col("fp").alias("unsafe_matches"),
+        (F.col("_all") - F.col("positives") + F.col("_asked") - F.col("negatives")).alias("skipped"),
+    )
+    return _ratios(out)
 
 
 def binary(pairs: DataFrame) -> DataFrame:
-    """pairs: truth, predicted (booleans). Confusion counts and ratios (null where undefined)."""
+    """pairs: truth, predicted (booleans). Confusion counts and ratios (0 where undefined)."""
     t, p = F.col("truth"), F.col("predicted")
-    out = pairs.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn"))
-    out = out.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
-    return out.withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    return _ratios(pairs.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn")))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

@@ -181,15 +181,48 @@ def w17_resolve(spark: SparkSession, d: str) -> DataFrame:
     return W.resolve(mart(spark, d, "materials"), "M-12").select("material_id", "code", "rank")
 
 
-@query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 0 AND toxic = 1) AS tn, count(*) FILTER (quality = 1 AND toxic = 1) AS fn FROM labels")
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 0 AND toxic = 1) AS tn, count(*) FILTER (quality = 1 AND toxic = 1) AS fn FROM labels)
+SELECT tp, fp, tn, fn, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c""")
 def e1_binary_evaluation(spark: SparkSession, d: str) -> DataFrame:
     pairs = spark.read.parquet(f"{d}/labels.parquet").select((F.col("quality") == 1).alias("truth"), (F.col("toxic") == 0).alias("predicted"))
-    return E.binary(pairs).select("tp", "fp", "tn", "fn")
-
-
-@query("SELECT x.cmi AS group_id, x.material_id AS a, y.material_id AS b FROM materials x JOIN materials y ON x.cmi = y.cmi AND x.material_id < y.material_id")
-def e2_group_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return E.group_pairs(mart(spark, d, "materials").where("cmi is not null").select(F.col("cmi").alias("group_id"), F.col("material_id").alias("member")))
+    return E.binary(pairs)
+
+
+@query("""SELECT cmi AS group_id, material_id AS member, (SELECT min(material_id) FROM materials y WHERE y.cmi = x.cmi) AS head, (SELECT cast(count(*) * (count(*) - 1) / 2 AS bigint) FROM materials y WHERE y.cmi = x.cmi) AS pairs FROM materials x WHERE cmi IS NOT NULL""")
+def e2_group_links(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled groups as links to their heads, with the number of pairs they stand for."""
+    return E.group_links(mart(spark, d, "materials").where("cmi is not null").select(F.col("cmi").alias("group_id"), F.col("material_id").alias("member")))
+
+
+_STATE = "json_extract_string(evidence, '$.decision.state')"
+_RATIOS = "coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"
+
+
+@query(f"""WITH g AS (SELECT cmi AS group_id, CASE WHEN material_id % 17 = 0 THEN -material_id ELSE material_id END AS member FROM materials WHERE cmi IS NOT NULL),
+d AS (SELECT least(a, b) AS a, greatest(a, b) AS b, arg_min({_STATE}, match_id) AS state FROM matches WHERE a <> b GROUP BY ALL), k AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM matches WHERE critical_difference IS NOT NULL GROUP BY ALL),
+p AS (SELECT x.member AS a, y.member AS b, true AS truth FROM g x JOIN g y ON x.group_id = y.group_id AND x.member < y.member UNION ALL SELECT a, b, false FROM k),
+q AS (SELECT p.*, d.state, p.a IN (SELECT material_id FROM materials) AND p.b IN (SELECT material_id FROM materials) AS there FROM p LEFT JOIN d ON d.a = p.a AND d.b = p.b),
+c AS (SELECT count(*) FILTER (there) AS evaluated, count(*) FILTER (there AND truth) AS positives, count(*) FILTER (there AND NOT truth) AS negatives, count(*) FILTER (there AND truth AND state = 'HIGH_CONFIDENCE_MATCH') AS tp, count(*) FILTER (there AND NOT truth AND state = 'HIGH_CONFIDENCE_MATCH') AS fp,
+count(*) FILTER (there AND NOT truth AND state IS DISTINCT FROM 'HIGH_CONFIDENCE_MATCH') AS tn, count(*) FILTER (there AND truth AND state IS DISTINCT FROM 'HIGH_CONFIDENCE_MATCH') AS fn, count(*) FILTER (there AND state = 'NEEDS_TECHNICAL_REVIEW') AS r, count(*) FILTER (NOT there) AS skipped FROM q)
+SELECT evaluated, positives, negatives, tp, fp, tn, fn, coalesce(r / nullif(evaluated, 0), 0) AS review_rate, tn AS conflicts_caught, fp AS unsafe_matches, skipped, {_RATIOS} FROM c""")
+def e1_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """All figures of a run's decisions: groups are the materials of a cmi (some of them not in store), conflicts the matches with a critical difference."""
+    materials, found = mart(spark, d, "materials"), mart(spark, d, "matches")
+    groups = materials.where("cmi is not null").select(F.col("cmi").alias("group_id"), F.when(F.col("material_id") % 17 == 0, -F.col("material_id")).otherwise(F.col("material_id")).alias("member"))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    decided = found.where("a <> b").groupBy(*pair).agg(F.min_by(F.get_json_object("evidence", "$.decision.state"), "match_id").alias("state"))
+    return E.evaluated(groups, found.where("critical_difference is not null").select(*pair).distinct(), decided, materials.select(F.col("material_id").alias("member")))
+
+
+@query(f"""WITH g AS (SELECT cmi AS group_id, material_id AS member FROM materials WHERE cmi IS NOT NULL), l AS (SELECT material_id AS member, description AS cluster FROM materials WHERE material_id % 13 <> 0),
+m AS (SELECT g.*, cluster FROM g LEFT JOIN l USING (member)), p AS (SELECT x.group_id = y.group_id AS t, x.cluster = y.cluster AS p FROM m x JOIN m y ON x.member < y.member AND x.cluster IS NOT NULL AND y.cluster IS NOT NULL),
+c AS (SELECT count(*) AS evaluated, (SELECT count(*) FROM m WHERE cluster IS NULL) AS skipped, count(*) FILTER (t) AS positives, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (NOT t AND NOT p) AS tn, count(*) FILTER (t AND NOT p) AS fn FROM p)
+SELECT evaluated, skipped, positives, tp, fp, tn, fn, {_RATIOS} FROM c""")
+def e1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of equal descriptions against the cmis, counted in closed form."""
+    materials = mart(spark, d, "materials")
+    groups = materials.where("cmi is not null").select(F.col("cmi").alias("group_id"), F.col("material_id").alias("member"))
+    return E.clustered(groups, materials.where("material_id % 13 <> 0").select(F.col("description").alias("cluster"), F.col("material_id").alias("member")))
 
 
 _CLASSED = "SELECT CASE WHEN quality = 1 THEN 'MATCH' WHEN doc_id % 2 = 0 THEN 'NEEDS_REVIEW' ELSE 'NOT_A_MATCH' END AS ground_truth, CASE WHEN toxic = 0 THEN 'MATCH' WHEN doc_id % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'NOT_A_MATCH' END AS predicted FROM labels"
