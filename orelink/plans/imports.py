@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orelink.plans.registry import Registry
 from orelink.sources import imports as I
-from orelink.sources.mart import mart
+from orelink.sources import jobs as J
+from orelink.sources.mart import kept_at, mart
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -52,6 +53,29 @@ def v7_importable(spark: SparkSession, d: str) -> DataFrame:
     return I.importable(I.validated(_rows(spark, d), _stored(spark, d)), True, "update").select("row_number")
 
 
+def _job(spark: SparkSession, d: str, name: str, rows: DataFrame, stored: DataFrame, chunk_rows: int) -> DataFrame:
+    """The ledger of a job that loads ``rows`` into a store that holds the keys ``stored``; its tables stay for the session."""
+
+    def write(base: DataFrame, path: str) -> None:
+        base.write.parquet(f"{path}/store/run=base/chunk=0")
+        J.stage(rows, f"{path}/job", chunk_rows)
+        J.run(spark, f"{path}/job", f"{path}/store", "import")
+        J.ledger(spark, f"{path}/job").coalesce(1).write.parquet(f"{path}/done")
+
+    schema = "rows long, imported long, duplicate long, error long, chunk long"
+    return kept_at(spark, d, name, lambda: stored, write, "done", schema).select("chunk", "rows", "imported", "duplicate", "error")
+
+
+@query(f"""WITH {_CHECKED}, k AS (SELECT c.row_number, CASE WHEN len(list_filter(errors, lambda e: NOT starts_with(e, 'duplicate_in_'))) = 0 THEN upper(material_code) END AS key FROM c JOIN ({_ROWS}) f USING (row_number)),
+o AS (SELECT cast(floor((row_number - 1) / 500.0) AS bigint) AS chunk, CASE WHEN key IS NULL THEN 'error' WHEN key IN (SELECT upper(code) FROM materials) OR row_number > min(row_number) OVER (PARTITION BY key) THEN 'duplicate' ELSE 'imported' END AS outcome FROM k)
+SELECT chunk, count(*) AS rows, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'error') AS error FROM o GROUP BY chunk""")
+def v9_chunked_import(spark: SparkSession, d: str) -> DataFrame:
+    """Material rows loaded in chunks of 500 by a stream, over the materials in store: what each chunk did."""
+    rows = J.loadable_key(I.validated(_rows(spark, d), _stored(spark, d)), F.col("material_code")).select("row_number", "key", "material_code", "description", "uom")
+    stored = mart(spark, d, "materials").select(F.to_json(F.array(F.upper("code"))).alias("key"))
+    return _job(spark, d, "material_job", rows, stored, 500)
+
+
 @query("SELECT org_id, material_id FROM (SELECT *, row_number() OVER (PARTITION BY org_id, material_id, purchase_date, qty_cents, uom ORDER BY po) AS n FROM procurement) WHERE n > 1")
 def v13_repeated_signatures(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
@@ -157,6 +181,15 @@ def v14_procurement_execute(spark: SparkSession, d: str) -> DataFrame:
     return I.executed_procurement(checked, checked.where("material_id % 15 = 0").select("signature")).select("row_number", "outcome")
 
 
+@query(f"""WITH {_PROCURED}, o AS (SELECT cast(floor((row_number - 1) / 1000.0) AS bigint) AS chunk, CASE WHEN bad THEN 'error' WHEN again OR mid % 15 = 0 THEN 'duplicate' ELSE 'imported' END AS outcome FROM done)
+SELECT chunk, count(*) AS rows, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'error') AS error FROM o GROUP BY chunk""")
+def v14_chunked_procurement(spark: SparkSession, d: str) -> DataFrame:
+    """Procurement rows loaded in chunks of 1,000 by a stream; every fifteenth material's were stored by an earlier run."""
+    checked = _procured(spark, d).where("not is_empty")
+    rows = checked.select("row_number", F.col("signature").alias("key"), "material_id", "date", "qty", "cmi")
+    return _job(spark, d, "procurement_job", rows, rows.where("material_id % 15 = 0 and key is not null").select("key").distinct(), 1000)
+
+
 _NEW = """SELECT material_id AS id, CASE WHEN material_id % 7 = 0 THEN (org_id + 1) % 5 ELSE org_id END AS org_id, CASE WHEN material_id % 11 = 0 THEN -material_id ELSE material_id END AS material_id,
   CASE WHEN material_id % 13 = 0 THEN -1 ELSE material_id % 10 + 1 END AS supplier_id, CASE WHEN material_id % 3 = 0 THEN 'no such' WHEN material_id % 5 = 0 THEN NULL ELSE cmi END AS cmi FROM materials"""
 

@@ -140,6 +140,18 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def kept_at(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], None], part: str, schema: str) -> DataFrame:
+    """Like ``kept`` for a job with a folder of its own: ``write`` fills the folder, ``part`` of it, of ``schema``, is read. It needs a shared folder."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if not _there(spark, key):
+        if not (folder := _shared_dir(spark)):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{folder.rstrip('/')}/orelink-{name}-{uuid.uuid4().hex}"
+        write(make(), path)
+        _WRITTEN[key] = path, schema
+    return spark.read.schema(schema).parquet(f"{_WRITTEN[key][0]}/{part}")
+
+
 def _named(text: str, table: str) -> str:
     return re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
 
