@@ -24,18 +24,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelink.llm.common import as_bytes, dropped, keyed_join, written
 
-SHARD, HELD, SENT = 1 << 18, 1 << 19, 1 << 15
+SHARD, HELD = 1 << 18, 1 << 19
+READ, SENT = 64, 1 << 14  # rows at a time, in and out
 BITS = 26
 DEPTH = 4
 _BREAK = b"\xff"  # a byte that UTF-8 never has
@@ -153,19 +155,27 @@ class Shard:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), k, np.int32)), phrase.cast(pa.string()), pa.array(f)], ["lang", "k", "phrase", "f"])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Language and text of each row, a few rows of a batch at a time as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, READ):
+            part = b.slice(i, READ)
+            yield from zip(part.column("lang").to_pylist(), as_bytes(part, "text"))
+
+
 def _counted(depth: int, known=None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(known.value, np.uint8) if known is not None else None
         shards: dict[str, Shard] = {}
         held = 0
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), as_bytes(b, "text")):
-                shard = shards.setdefault(lang, Shard())
-                held += shard.add(text)
-                full = lang if shard.words >= SHARD else max(shards, key=lambda x: shards[x].words) if held >= HELD else None
-                if full is not None:
-                    held -= shards[full].words
-                    yield from shards.pop(full).counts(full, depth, bits)
+        for lang, text in _rows(batches):
+            shard = shards.setdefault(lang, Shard())
+            held += shard.add(text)
+            full = lang if shard.words >= SHARD else max(shards, key=lambda x: shards[x].words) if held >= HELD else None
+            if full is not None:
+                held -= shards[full].words
+                yield from shards.pop(full).counts(full, depth, bits)
+                pa.default_memory_pool().release_unused()
         for lang, shard in shards.items():
             yield from shard.counts(lang, depth, bits)
 
@@ -186,6 +196,18 @@ def bitmap(phrases: DataFrame) -> bytes:
     return bytes(out)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Texts go to Python ``rows`` at a time, on both sides of the pipe, while the plans inside run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of all phrases of one to four words found at least ``least`` times, and (lang, n), both written."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -231,7 +253,8 @@ def subsumed(candidates: DataFrame, share: int) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int | None = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score), the first ``top`` of each language (None: all)."""
-    phrases, n = phrase_counts(docs, least)
+    with small_batches(docs.sparkSession):
+        phrases, n = phrase_counts(docs, least)
     candidates = scored(phrases)
     left = candidates.join(subsumed(candidates, share), ["lang", "phrase"], "left_anti")
     line = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
