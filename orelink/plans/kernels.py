@@ -212,11 +212,29 @@ def k19_decisions(spark: SparkSession, d: str) -> DataFrame:
     return _decisions(spark.sql(_PAIRS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet")))
 
 
-def _decisions(rows: DataFrame) -> DataFrame:
+def _decided_rows(rows: DataFrame) -> DataFrame:
     found = lambda c: F.when(F.col(c), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"conflicts": found("conflict"), "missing": found("missing"), "assembly_differs": F.col("assembly")})
     rows = rows.withColumnsRenamed({"compatible": "category_compatible", "maker_a": "manufacturer_a", "maker_b": "manufacturer_b"})
-    return M.surviving(M.decide(rows)).select("a", "b", "final_score", "match_type", "decision", "band")
+    return M.decide(rows)
+
+
+def _decisions(rows: DataFrame) -> DataFrame:
+    return M.surviving(_decided_rows(rows)).select("a", "b", "final_score", "match_type", "decision", "band")
+
+
+_TRACE = """r AS (SELECT *, [NOT compatible, conflict, final_score < 30, assembly, final_score >= 80 AND NOT missing AND NOT differ, differ AND final_score >= 80, final_score >= 60, match_type = 'needs_review', true] AS fs,
+  [CASE WHEN compatible THEN 'compatible' ELSE 'incompatible' END, CASE WHEN conflict THEN '1' ELSE '0' END, final_score::VARCHAR, CASE WHEN assembly THEN 'differs' ELSE 'same' END, final_score::VARCHAR,
+   CASE WHEN maker_a IS NULL THEN 'unknown' WHEN differ THEN 'different' ELSE 'same' END, final_score::VARCHAR, match_type, final_score::VARCHAR] AS inputs, unnest(range(1, 10))::INT AS position FROM d)"""
+
+
+@query(f"""WITH {_DECIDED.format(pairs=_PAIRS)}, {_TRACE} SELECT a, b, position, ['category', 'critical_conflict', 'score_floor', 'assembly', 'high_confidence', 'manufacturers', 'review_band', 'review_type', 'otherwise'][position] AS rule, inputs[position] AS input,
+[NULL, NULL, 30, NULL, 80, 80, 60, NULL, NULL][position] AS threshold, fs[position] AS fired, position = list_position(fs, true) AS decisive,
+['NOT_A_MATCH', 'NEEDS_TECHNICAL_REVIEW', 'NOT_A_MATCH', 'NEEDS_TECHNICAL_REVIEW', 'HIGH_CONFIDENCE_MATCH', 'NEEDS_TECHNICAL_REVIEW', 'NEEDS_TECHNICAL_REVIEW', 'NEEDS_TECHNICAL_REVIEW', 'LOW_CONFIDENCE'][position] AS verdict FROM r""")
+def w15_rule_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Every decision rule of every pair of ``k19_decisions``, with its input, threshold and outcome."""
+    rows = spark.sql(_PAIRS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    return M.rule_trace(_decided_rows(rows), "a", "b")
 
 
 _ORDERED = """SELECT o_orderkey AS a, o_custkey AS b, cast(o_custkey % 101 AS int) AS semantic, cast(o_custkey * 7 % 101 AS int) AS fuzzy, cast((o_orderkey * 13 + o_custkey) % 101 AS int) AS technical, o_custkey % 17 <> 0 AS compatible,

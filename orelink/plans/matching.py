@@ -118,6 +118,13 @@ def k21_explained_run(spark: SparkSession, d: str) -> DataFrame:
     return found.join(links, ["material_id_a", "material_id_b", "differ"])
 
 
+@query()
+def w15_briefs(spark: SparkSession, d: str) -> DataFrame:
+    """Of every scored pair of classes: the question its verdict poses, completeness of its evidence, and what was compared."""
+    rows, _ = _classes(spark, d)
+    return M.brief(M.by_makers(M.score_pairs(M.class_pairs(rows), rows)), "material_id_a", "material_id_b", "differ")
+
+
 @query("SELECT material_id, (SELECT min(y.material_id) FROM materials y WHERE y.description = x.description) AS class, org_id, nullif(upper(trim(manufacturer)), '') AS maker FROM materials x")
 def k21_class_members(spark: SparkSession, d: str) -> DataFrame:
     """The members of the classes that ``k21_explained_run`` pairs."""

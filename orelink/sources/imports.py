@@ -11,25 +11,25 @@ from orelink.functions import text as T
 
 # Header aliases by target, known categories and units, length limits, technical columns.
 ALIASES = {
-    "material_code": ["material_code", "code", "item_code", "mat_code", "material_id", "part_code"],
-    "description": ["description", "material_description", "mat_desc", "desc", "item_description"],
+    "material_code": ["material_code", "code", "materialcode", "material_no", "materialno", "material_number", "materialnumber", "item_code", "itemcode", "item_no", "item_number", "part_no", "mat_code", "mat_no", "material_id", "part_code"],
+    "description": ["description", "material_description", "materialdescription", "item_description", "itemdescription", "short_text", "shorttext", "desc", "nomenclature", "mat_desc"],
     "category": ["category", "material_group", "mat_group", "group"],
-    "subcategory": ["subcategory", "sub_category", "material_subgroup"],
-    "uom": ["uom", "unit", "base_uom", "unit_of_measure"],
-    "manufacturer": ["manufacturer", "mfr", "make", "brand"],
+    "subcategory": ["sub_category", "subcategory", "material_subgroup"],
+    "uom": ["uom", "unit", "unit_of_measure", "unitofmeasure", "um", "base_uom"],
+    "manufacturer": ["manufacturer", "make", "brand", "oem", "mfr"],
     "model": ["model", "model_no", "model_number"],
-    "part_number": ["part_number", "part_no", "oem_part", "mpn"],
-    "organization": ["organization", "cpse_name", "org", "org_code"],
+    "part_number": ["part_number", "partnumber", "partno", "oem_part", "mpn"],
+    "organization": ["cpse_name", "cpse", "organization", "organisation", "org", "org_code", "organization_code", "cpse_code", "company", "owner"],
     "quantity": ["quantity", "qty"],
-    "size": ["size"],
-    "material_type": ["material_type", "material"],
-    "voltage": ["voltage"],
-    "pressure_rating": ["pressure_rating", "pressure"],
-    "power": ["power"],
-    "temperature_rating": ["temperature_rating", "temperature"],
-    "seal_type": ["seal_type", "seal"],
+    "size": ["size", "nominal_size", "dimensions"],
+    "material_type": ["material", "material_type"],
+    "voltage": ["voltage", "voltage_rating", "rated_voltage"],
+    "pressure_rating": ["pressure_rating", "pressure_class", "pressure"],
+    "power": ["power", "power_rating", "rated_power"],
+    "temperature_rating": ["temperature_rating", "temperature", "temp_rating"],
+    "seal_type": ["seal_type", "seal", "sealing"],
     "bearing_type": ["bearing_type"],
-    "grade": ["grade", "mat_grade"],
+    "grade": ["grade", "material_grade", "mat_grade"],
 }
 CATEGORIES = ["Bearings", "Valves", "Motors", "Pumps", "Fasteners", "Uncategorised"]
 UOMS = """NOS EA EACH PCS SET PAIR MTR M METER METRE MM CM KM KG G TON TONNE L LTR LITRE LITER ML M2 M3 SQM KVA KW HP BOX ROLL DRUM BOTTLE CAN""".split()
@@ -41,21 +41,21 @@ TECHNICAL = {  # column: (attribute, unit, critical)
     "size": ("size", None, False), "material_type": ("material_type", None, False), "voltage": ("voltage_rating", "V", True), "pressure_rating": ("pressure_class", None, True),
     "power": ("power_rating", "KW", True), "temperature_rating": ("temperature_rating", "C", False), "seal_type": ("seal_type", None, True), "bearing_type": ("bearing_type", None, False), "grade": ("material_grade", None, False),
 }
-# Header names of a procurement file by target, as patterns of whole normalized headers; required targets; states.
+# Header names of a procurement file by target, without '_' (a header may have it between words or not); required targets; states.
 PROCUREMENT_HEADERS = {
-    "organization": r"cpse(_?name)?|organi[sz]ation(_?name)?|org(_?name)?|entity|company",
-    "material_code": r"(material|item)(_?(code|id))?",
-    "supplier": r"(supplier|vendor)(_?(code|id))?",
-    "purchase_date": r"(purchase|po|order|purchasing)_?date",
-    "delivery_date": r"(delivery|received|grn)_?date",
-    "quantity": r"((ordered|purchase)_?)?(qty|quantity)",
-    "uom": r"uom|unit(_?of_?measure)?",
-    "po": r"(po_?|purchase_?order(_?)?)(no|number|ref|reference)?|order_?reference",
-    "unit_price": r"unit_?price|rate|price|cost",
-    "currency": r"currency(_?code)?",
-    "status": r"((procurement|po)_?)?status",
-    "plant": r"plant(_?location)?|location|site|store",
-    "cmi_code": r"cmi(_?(code|id))?|common_?material_?code",
+    "organization": ["cpsename", "cpse", "organizationname", "organisationname", "organization", "organisation", "orgname", "org", "entity", "company"],
+    "material_code": ["materialcode", "materialid", "itemcode", "itemid", "item", "material"],
+    "supplier": ["suppliercode", "supplierid", "supplier", "vendorcode", "vendorid", "vendor"],
+    "purchase_date": ["purchasedate", "podate", "orderdate", "purchasingdate"],
+    "delivery_date": ["deliverydate", "receiveddate", "grndate"],
+    "quantity": ["orderedqty", "orderedquantity", "purchaseqty", "purchasequantity", "qty", "quantity"],
+    "uom": ["uom", "unitofmeasure", "unit"],
+    "po": ["po", "pono", "ponumber", "poref", "poreference", "purchaseorder", "purchaseorderno", "purchaseordernumber", "purchaseorderref", "purchaseorderreference", "orderreference"],
+    "unit_price": ["unitprice", "rate", "price", "cost"],
+    "currency": ["currencycode", "currency"],
+    "status": ["procurementstatus", "postatus", "status"],
+    "plant": ["plantlocation", "plant", "location", "site", "store"],
+    "cmi_code": ["cmicode", "cmiid", "cmi", "commonmaterialcode"],
 }
 PROCUREMENT_REQUIRED = ["organization", "material_code", "supplier", "purchase_date", "quantity", "uom"]
 PROCUREMENT_STATES = ["ORDERED", "PARTIALLY_DELIVERED", "DELIVERED", "CANCELLED"]
@@ -100,16 +100,31 @@ def suggest_mapping(headers: list[str]) -> dict[str, str]:
     return found
 
 
+def unmapped(headers: list[str], mapping: dict[str, str]) -> list[str]:
+    """Headers that name no target, or one that an earlier header has."""
+    return [h for h in headers if h not in mapping.values()]
+
+
 def suggest_procurement_mapping(headers: list[str]) -> tuple[dict[str, str], list[str]]:
     """Target column -> header for a procurement file, the first header that names a target winning, and the required targets without one."""
+    targets = {a: t for t, names in PROCUREMENT_HEADERS.items() for a in names}
     found: dict[str, str] = {}
     for h in headers:
-        hit = next((t for t, pattern in PROCUREMENT_HEADERS.items() if t not in found and re.fullmatch(pattern, header_key(h))), None)
-        if hit:
-            found[hit] = h
+        key = header_key(h)
+        target = targets.get(key.replace("_", ""))
+        if target and target not in found and "__" not in key and key == key.strip("_"):
+            found[target] = h
     return found, [t for t in PROCUREMENT_REQUIRED if t not in found]
 
 
+def mapped_procurement(feed: DataFrame) -> DataFrame:
+    """A procurement feed (its own headers, and row_number) as the targets of ``PROCUREMENT_HEADERS``; targets without a header are null. A required one without is an error."""
+    mapping, missing = suggest_procurement_mapping([c for c in feed.columns if c != "row_number"])
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}")
+    return feed.select("row_number", *[(F.col(f"`{mapping[t]}`") if t in mapping else F.lit(None)).cast("string").alias(t) for t in PROCUREMENT_HEADERS])
+
+
 def mapped(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """Columns by target name (missing ones null); other columns go to the map ``source_metadata``."""
     mapping = mapping or suggest_mapping(df.columns)
@@ -219,7 +234,11 @@ def feed_analysis(checked: DataFrame) -> DataFrame:
 
 
 def importable(checked: DataFrame, include_warnings: bool = True, duplicates: str = "skip") -> DataFrame:
-    """Rows to load. Errors load only with duplicates='update', when all of them are duplicate_in_database."""
+    """Rows to load. Errors load only with duplicates='update', when all of them are duplicate_in_database; with 'cancel' nothing is loaded."""
+    if duplicates not in ("skip", "update", "cancel"):
+        raise ValueError(f"unknown strategy for duplicates: {duplicates}")
+    if duplicates == "cancel":
+        return checked.limit(0)
     only = F.forall(F.filter("problems", lambda p: p["severity"] == "ERROR"), lambda p: p["rule"] == "duplicate_in_database")
     keep = F.col("severity") == "VALID"
     if include_warnings:
