@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orelink.functions import vocabulary as V
 from orelink.operators.rollup import measured
+from orelink.sources.scratch import written_once
 
 
 def active_rules(rules: DataFrame) -> DataFrame:
@@ -196,18 +197,28 @@ def governance_summary(queue: DataFrame, rules: DataFrame, organizations: DataFr
     return reduce(DataFrame.crossJoin, parts)  # one row each
 
 
-def health(summary: DataFrame, reconciled: DataFrame, oldest_days: int) -> DataFrame:
-    """(indicator, state, n): six indicators of a ``governance_summary`` row and one row (issues) of ledger findings; ``oldest_days``: of the open reviews."""
+def open_reviews(queue: DataFrame, matches: DataFrame) -> DataFrame:
+    """The open reviews with what they are about: (match_id, priority, created, a, b, final_score). Reviews whose match is gone are left out."""
+    return queue.where("status = 'open'").select("match_id", "priority").join(matches.select("match_id", "created", "a", "b", "final_score"), "match_id")
+
+
+def oldest_review(reviews: DataFrame, today: str) -> DataFrame:
+    """One row, ``oldest_days``: the age of the oldest of ``open_reviews``, null without any."""
+    return reviews.agg(F.datediff(F.lit(today).cast("date"), F.min("created")).alias("oldest_days"))
+
+
+def health(summary: DataFrame, reconciled: DataFrame, oldest: DataFrame) -> DataFrame:
+    """(indicator, state, n): six indicators of a ``governance_summary`` row, one row (issues) of ledger findings and one of ``oldest_review``."""
     n = F.col
     due = lambda count, state: F.when(count > 0, state).otherwise("PASS")
     decisions = n("pending_rules") + n("pending_amendments")
     rows = {
         "ledger_agreement": (due(n("issues"), "ACTION REQUIRED"), n("issues")), "effective_versions": (F.when((n("approved_rules") == 0) | (n("approved_rules") == n("active_rules")), "PASS").otherwise("WARNING"), n("approved_rules") - n("active_rules")),
         "pending_decisions": (due(decisions, "ACTION REQUIRED"), decisions), "unit_quality": (due(n("unconverted_records"), "WARNING"), n("unconverted_records")),
-        "review_backlog": (due(n("open_reviews"), "ACTION REQUIRED" if oldest_days > 30 else "WARNING"), n("open_reviews")), "cmi_coverage": (due(n("organizations_unmapped"), "WARNING"), n("organizations_unmapped")),
+        "review_backlog": (F.when(n("open_reviews") == 0, "PASS").when(n("oldest_days") > 30, "ACTION REQUIRED").otherwise("WARNING"), n("open_reviews")), "cmi_coverage": (due(n("organizations_unmapped"), "WARNING"), n("organizations_unmapped")),
     }
     made = F.array(*[F.struct(F.lit(k).alias("indicator"), state.alias("state"), count.cast("long").alias("n")) for k, (state, count) in rows.items()])
-    return summary.crossJoin(reconciled).select(F.explode(made).alias("h")).select("h.*")
+    return summary.crossJoin(reconciled).crossJoin(oldest).select(F.explode(made).alias("h")).select("h.*")
 
 
 def work_queue(reviews: DataFrame, pending: DataFrame, amendments: DataFrame, quality: DataFrame, summary: DataFrame, most: int = 15) -> DataFrame:
@@ -271,6 +282,24 @@ def pair_run(history: list[tuple[int, float]], audit: list[tuple[int, float]], s
     return out + [(None, a) for a in places]
 
 
+def close_runs(rows: DataFrame, keys: list[str], seconds: float) -> DataFrame:
+    """Adds ``run``: the time at which a key's run of rows began of which none is more than ``seconds`` after the one before.
+
+    Rows are dealt by range of (key, time), so a busy key is many tasks. Each takes two values over from the partitions before: the last time of the key
+    there, and when the last run began; these come from one row for each key and partition.
+    """
+    parts = written_once(rows.repartitionByRange(*keys, "ts").withColumn("_part", F.spark_partition_id()))
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("_part", *keys).orderBy("ts")
+    carried = lambda table, last: table.groupBy("_part", *keys).agg(F.max(last).alias("_m")).select("_part", *keys, F.max("_m").over(ahead).alias(f"_{last}_before")).where(F.col(f"_{last}_before").isNotNull())
+    before = F.coalesce(F.lag("ts").over(line), F.col("_ts_before"))
+    gap = before.isNull() | (F.col("ts").cast("double") - before.cast("double") > seconds)
+    marked = parts.join(carried(parts, "ts"), ["_part", *keys], "left").withColumn("_began", F.when(gap, F.col("ts")))
+    began = F.max("_began").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    told = marked.join(carried(marked, "_began").withColumnRenamed("__began_before", "_run_before"), ["_part", *keys], "left").withColumn("run", F.coalesce(began, F.col("_run_before")))
+    return told.select(*rows.columns, "run")
+
+
 def paired_ledgers(history: DataFrame, audit: DataFrame, seconds: float = 5.0) -> DataFrame:
     """Greedy one-to-one pairing of history and audit rows of one rule and actor within ``seconds``.
 
@@ -284,9 +313,7 @@ def paired_ledgers(history: DataFrame, audit: DataFrame, seconds: float = 5.0) -
     both = history.select("rule_id", "actor", F.try_element_at(expected, F.col("action")).alias("action"), "ts", "history_id", none.alias("audit_id"))
     both = both.unionByName(audit.select("rule_id", "actor", "action", "ts", none.alias("history_id"), "audit_id"))
     usable = F.col("rule_id").isNotNull() & F.col("actor").isNotNull() & F.col("action").isNotNull() & F.col("ts").isNotNull()
-    line = Window.partitionBy("rule_id", "actor", "action").orderBy("ts")
-    gap = F.coalesce((F.col("ts").cast("double") - F.lag("ts").over(line).cast("double") > seconds).cast("int"), F.lit(0))
-    runs = both.where(usable).withColumn("_gap", gap).withColumn("run", F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    runs = close_runs(both.where(usable), ["rule_id", "actor", "action"], seconds)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, ([], []), []
@@ -307,7 +334,7 @@ def paired_ledgers(history: DataFrame, audit: DataFrame, seconds: float = 5.0) -
         yield given()
 
     keys = ["rule_id", "actor", "action", "run"]
-    dealt = runs.select(*keys, (F.unix_micros("ts") / 1e6).alias("at"), "history_id", "audit_id").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = written_once(runs).select(*keys, (F.unix_micros("ts") / 1e6).alias("at"), "history_id", "audit_id").repartitionByRange(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(pair, PAIRED).unionByName(both.where(~usable).select("rule_id", "history_id", "audit_id"))
 
 

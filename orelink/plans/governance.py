@@ -175,21 +175,30 @@ def _ledgers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, audit
 
 
-@query()
+# In these tables no two events of a rule, actor and action are within seconds of each other, so whatever fits is the pair.
+_PAIRED = """au AS (SELECT history_id AS audit_id, rule_id, actor, action, CASE WHEN history_id % 11 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts + INTERVAL 2 SECOND END AS ts, CASE WHEN history_id % 13 = 0 THEN factor + 1 ELSE factor END AS said FROM rule_history WHERE history_id % 7 <> 0),
+pr AS (SELECT h.history_id, h.factor, a.audit_id, a.said FROM rule_history h JOIN au a ON a.rule_id = h.rule_id AND a.actor = h.actor AND a.action = h.action AND abs(epoch_us(a.ts) - epoch_us(h.ts)) <= 5000000)"""
+
+
+@query(f"WITH {_PAIRED} SELECT history_id, h.rule_id, h.action, audit_id, said = pr.factor AS details_match FROM rule_history h LEFT JOIN pr USING (history_id)")
 def u15_ledger_agreement(spark: SparkSession, d: str) -> DataFrame:
     history, audit = _ledgers(spark, d)
     return U.agreement(U.paired_ledgers(history, audit), history, audit)
 
 
-@query()
+@query(f"""WITH {_PAIRED} SELECT rule_id, history_id, NULL::BIGINT AS audit_id, 'MISSING_AUDIT_EVENT' AS finding FROM rule_history WHERE history_id NOT IN (SELECT history_id FROM pr)
+UNION ALL SELECT rule_id, NULL, audit_id, 'UNEXPECTED_AUDIT_EVENT' FROM au WHERE audit_id NOT IN (SELECT audit_id FROM pr)""")
 def u16_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return U.reconciliation(U.paired_ledgers(*_ledgers(spark, d)))
 
 
-@query("SELECT event_id, action, CASE action WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS rank FROM ledger ORDER BY rank, ts, event_id LIMIT 40")
+_TODAY = "1998-12-31"
+
+
+@query("""SELECT q.match_id, q.priority, m.created, m.a, m.b, m.final_score FROM review_queue q JOIN matches m ON m.match_id = q.match_id WHERE q.status = 'open' ORDER BY m.created, q.match_id LIMIT 25""")
 def u17_open_reviews(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.when(F.col("action") == "purchase", 0).when(F.col("action") == "click", 1).otherwise(2)
-    return mart(spark, d, "ledger").withColumn("rank", rank).orderBy("rank", "ts", "event_id").limit(40).select("event_id", "action", "rank")
+    """The open reviews, oldest first."""
+    return U.open_reviews(mart(spark, d, "review_queue"), mart(spark, d, "matches")).orderBy("created", "match_id").limit(25)
 
 
 _SUMMED = f"""SELECT (SELECT count(*) FROM review_queue WHERE status = 'open') AS open_reviews, (SELECT count(*) FROM governed_rules WHERE status = 'PENDING') AS pending_rules, (SELECT count(*) FROM governed_rules WHERE status = 'APPROVED') AS approved_rules,
@@ -241,10 +250,10 @@ def u21_work_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH s AS ({_SUMMED}) SELECT 'ledger_agreement' AS indicator, 'PASS' AS state, cast(0 AS bigint) AS n FROM s UNION ALL SELECT 'effective_versions', CASE WHEN approved_rules = 0 OR approved_rules = active_rules THEN 'PASS' ELSE 'WARNING' END, approved_rules - active_rules FROM s
 UNION ALL SELECT 'pending_decisions', CASE WHEN pending_rules + pending_amendments > 0 THEN 'ACTION REQUIRED' ELSE 'PASS' END, pending_rules + pending_amendments FROM s UNION ALL SELECT 'unit_quality', CASE WHEN unconverted_records > 0 THEN 'WARNING' ELSE 'PASS' END, unconverted_records FROM s
-UNION ALL SELECT 'review_backlog', CASE WHEN open_reviews > 0 THEN 'ACTION REQUIRED' ELSE 'PASS' END, open_reviews FROM s UNION ALL SELECT 'cmi_coverage', CASE WHEN organizations_unmapped > 0 THEN 'WARNING' ELSE 'PASS' END, organizations_unmapped FROM s""")
+UNION ALL SELECT 'review_backlog', CASE WHEN open_reviews = 0 THEN 'PASS' WHEN (SELECT DATE '{_TODAY}' - min(created) FROM review_queue q JOIN matches m ON m.match_id = q.match_id WHERE q.status = 'open') > 30 THEN 'ACTION REQUIRED' ELSE 'WARNING' END, open_reviews FROM s UNION ALL SELECT 'cmi_coverage', CASE WHEN organizations_unmapped > 0 THEN 'WARNING' ELSE 'PASS' END, organizations_unmapped FROM s""")
 def u21_health(spark: SparkSession, d: str) -> DataFrame:
-    """The history against an audit that has every event once; the oldest review is 40 days old."""
+    """The history against an audit that has every event once; the age of the open reviews by the last day of the tables."""
     history = mart(spark, d, "rule_history")
     action = F.try_element_at(F.create_map(*[F.lit(x) for pair in U.EXPECTED_AUDIT.items() for x in pair]), F.col("action"))
     findings = U.reconciliation(U.paired_ledgers(history, history.select(F.col("history_id").alias("audit_id"), "rule_id", "actor", action.alias("action"), "ts")))
-    return U.health(_summed(spark, d), findings.agg(F.count("*").alias("issues")), 40)
+    return U.health(_summed(spark, d), findings.agg(F.count("*").alias("issues")), U.oldest_review(U.open_reviews(mart(spark, d, "review_queue"), mart(spark, d, "matches")), _TODAY))

@@ -7,15 +7,14 @@ read from there by every query; on a cluster without a shared folder it is deriv
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orelink.sources.scratch import shared_dir
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "embeddings", "documents"]
 
 _UOM = "CASE p.p_size % 13 " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(["EA", "PCS", "NOS", "SET", "KG", "G", "TON", "L", "ML", "M", "CM", "MM"])) + " ELSE 'bX9' END"
@@ -76,20 +75,6 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
-_OWN_DIRS: dict[str, str] = {}
-
-
-def _shared_dir(spark: SparkSession) -> str | None:
-    """The folder that executors share; a local session without one gets a folder of its own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    key = spark.sparkContext.applicationId
-    if key not in _OWN_DIRS:
-        _OWN_DIRS[key] = tempfile.mkdtemp(prefix="orelink-mart-")
-        atexit.register(shutil.rmtree, _OWN_DIRS[key], True)
-    return _OWN_DIRS[key]
 
 
 def _there(spark: SparkSession, key: tuple[str, str, str]) -> bool:
@@ -118,7 +103,7 @@ def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in sources:
         text = _named(text, t)
     rows = spark.sql(text, **sources)
-    if name != "procurement" or not _shared_dir(spark):
+    if name != "procurement" or not shared_dir(spark):
         return rows
     return kept(spark, sf_dir, name, lambda: rows.repartitionByRange("purchase_date").sortWithinPartitions("purchase_date"))
 
@@ -131,7 +116,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     key = spark.sparkContext.applicationId, sf_dir, name
     if not _there(spark, key):
         rows = make()
-        if not (folder := _shared_dir(spark)):
+        if not (folder := shared_dir(spark)):
             return rows
         path = f"{folder.rstrip('/')}/orelink-{name}-{uuid.uuid4().hex}"
         write(rows, path) if write else rows.write.parquet(path)
@@ -144,7 +129,7 @@ def kept_at(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Data
     """Like ``kept`` for a job with a folder of its own: ``write`` fills the folder, ``part`` of it, of ``schema``, is read. It needs a shared folder."""
     key = spark.sparkContext.applicationId, sf_dir, name
     if not _there(spark, key):
-        if not (folder := _shared_dir(spark)):
+        if not (folder := shared_dir(spark)):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"{folder.rstrip('/')}/orelink-{name}-{uuid.uuid4().hex}"
         write(make(), path)

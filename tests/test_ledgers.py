@@ -60,3 +60,21 @@ def test_details_agree_where_they_speak(spark):
     pairs = spark.createDataFrame([(1, k, k if k < 5 else None) for k in range(6)], U.PAIRED)
     got = {r.history_id: r.details_match for r in U.agreement(pairs, history, audit).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: None}
+
+
+def test_a_busy_key_over_many_partitions(spark):
+    """Runs of one key that spread over range partitions are those of one pass over the key."""
+    rng = random.Random(9)
+    seconds, rows = 0.0, []
+    for i in range(3000):
+        seconds += rng.choice([0, 0, 1, 4, 5]) if i % 400 else 60
+        rows.append((1 if i % 7 else 2, 1, "x", at(seconds), i))
+    frame = spark.createDataFrame(rows, "rule_id long, actor long, action string, ts timestamp, id long").repartition(7)
+    got = {r.id: r.run for r in U.close_runs(frame, ["rule_id", "actor", "action"], 5).collect()}
+    want, last, run = {}, {}, {}
+    for rule, _, _, ts, i in rows:
+        if rule not in last or (ts - last[rule]).total_seconds() > 5:
+            run[rule] = ts
+        last[rule] = ts
+        want[i] = run[rule]
+    assert got == want
