@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from orelink.operators import procurement as P
 from orelink.operators import rollup as R
+from orelink.operators import search as S
 from orelink.plans import rolls
 from orelink.plans.registry import Registry
-from orelink.sources.mart import mart
+from orelink.sources.mart import kept, mart
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -289,6 +290,34 @@ def d6_material_search(spark: SparkSession, d: str) -> DataFrame:
     return P.page(rows.where(hit).select("material_id", "code", "description"), [F.asc("code")], 2, 40)
 
 
+_SEARCHED = ("code", "description", "category", "manufacturer")
+
+
+def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of the materials' texts and their frequencies, written once a session."""
+    posted = kept(spark, d, "postings", lambda: S.postings(mart(spark, d, "materials"), "material_id", *_SEARCHED))
+    return posted, kept(spark, d, "gram_counts", lambda: S.frequencies(posted))
+
+
+@query("SELECT material_id, code FROM materials WHERE contains(lower(code), '2-11 ksb') OR contains(lower(description), '2-11 ksb') OR contains(lower(category), '2-11 ksb') OR contains(lower(manufacturer), '2-11 ksb')")
+def d6_indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that hold a text, found by its rarest trigram."""
+    return S.search(mart(spark, d, "materials"), *_postings(spark, d), "2-11 KSB", "material_id", *_SEARCHED).select("material_id", "code")
+
+
+_QUERIES = "SELECT DISTINCT lower(manufacturer) AS query FROM materials UNION SELECT DISTINCT lower(substr(description, 6, 8)) FROM materials UNION SELECT DISTINCT lower(substr(code, 3, 3)) || 'zz' FROM materials"
+
+
+@query(f"""WITH q AS ({_QUERIES}) SELECT query, count(*) AS materials, min(material_id) AS first FROM q JOIN materials m ON contains(lower(code), query) OR contains(lower(description), query) OR contains(lower(category), query) OR contains(lower(manufacturer), query)
+WHERE length(query) >= 3 GROUP BY query""")
+def d6_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Many texts looked for at once."""
+    materials = mart(spark, d, "materials")
+    asked = spark.sql(_QUERIES.replace("FROM materials", "FROM {materials}"), materials=materials).where("length(query) >= 3")
+    found = S.searches(materials, *_postings(spark, d), asked, "material_id", *_SEARCHED)
+    return found.groupBy("query").agg(F.count("*").alias("materials"), F.min("material_id").alias("first"))
+
+
 @query("SELECT category, count(*) AS materials, count(cmi) AS mapped FROM materials GROUP BY category")
 def d7_category_counts(spark: SparkSession, d: str) -> DataFrame:
     return mart(spark, d, "materials").groupBy("category").agg(F.count("*").alias("materials"), F.count("cmi").alias("mapped"))
