@@ -5,14 +5,16 @@ unbiased risk ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(posit
 where the bracket turns negative, the step goes against it. Trusted positives are documents labelled good in the
 training fold, at most ``positives`` of them, least id hash first; no other label is read. Unlabelled is every document.
 
-Fitting: a first net is fitted in the driver on the positives and on ``first_unlabelled`` documents, least id hash first. With
-it the class prior is estimated: for each score c the share of unlabelled texts that reach c, divided by the share of positives
-held back from the fit that do, is at least the prior; the least such bound, with its sampling error, gives the estimate. The net
-is fitted anew with this prior; then every task continues from it over all its unlabelled texts, once, and the tasks' nets
-are averaged by their numbers of texts. So the unlabelled risk sees the whole corpus.
+Fitting: first nets are fitted in the driver on the vectors of the positives and of ``first_unlabelled`` documents, least id hash first. The class
+prior is estimated over all documents: they fall into two halves by a hash of their id, a scout net is fitted on the sample of each half, and every
+document and positive is scored by the scout that has not seen its half. For each score the share of documents that reach it, divided by
+the share of positives that do, is at least the prior; the least such bound, with its sampling error, gives the estimate. A net fitted with this
+prior then takes ``STEPS`` steps of the whole risk: tasks sum the gradient of the unlabelled part over every document, the driver adds that of the
+positives and decides, on these whole sums, whether the negative part is below 0. So the unlabelled risk is that of the whole corpus, whatever the
+partitioning (sums of floats aside).
 
-Scale: the sample bounds fix the driver's work; a task adds one row for each parameter of a net of fixed size, summed with
-``groupBy``; scoring is one narrow pass over whole texts.
+Scale: the sample bounds fix the driver's work, and it holds vectors, not texts; a task adds one row for each score bin or parameter of a net of
+fixed size, summed with ``groupBy``; tasks get the net alone. Fitting reads the texts 1 + ``STEPS`` times, scoring once.
 
 Defined cases: null and empty texts get the score of no figures; very long texts are read whole, in chunks; a null doc_id keeps its row
 and counts as unlabelled, but is not in the first sample; rows that share a sampled doc_id are one row there, that of the least text;
@@ -40,7 +42,8 @@ EPOCHS = 12
 BATCH = 128
 RATE = 0.005
 CUT = 0.7
-REFINE_POSITIVES = 1000  # of the positives, those that a task draws from
+STEPS = 3
+BINS, REACH = 4096, 24.0  # of the histogram of logits, from -REACH to REACH
 _CHUNK = 1 << 20
 
 _KIND = np.full(256, 5, np.int64)  # 0 lower case, 1 upper case, 2 digit, 3 white space, 4 other ASCII, 5 beyond ASCII
@@ -98,15 +101,21 @@ class Net:
             return [a + b for a, b in zip(self.gradient(positive, prior * (sp - 1) / n - prior * sp / n), self.gradient(unlabelled, su / m))]
         return [-(a + b) for a, b in zip(self.gradient(positive, -prior * sp / n), self.gradient(unlabelled, su / m))]
 
+    def stepped(self, slopes: list[np.ndarray], first: list[np.ndarray], second: list[np.ndarray], step: int, rate: float) -> "Net":
+        """The net after one Adam step; ``first`` and ``second``, the moments so far, go on."""
+        out = Net()
+        for k, (w, g, m, v) in enumerate(zip(self.params, slopes, first, second)):
+            g = g + 1e-4 * w
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            out.params[k] = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return out
+
     def steps(self, batches: Iterable[tuple[np.ndarray, np.ndarray]], prior: float, rate: float) -> None:
         """Adam steps over (positive, unlabelled) batches."""
         first, second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
         for step, (p, u) in enumerate(batches, 1):
-            for k, (w, g, m, v) in enumerate(zip(self.params, self.slopes(p, u, prior), first, second)):
-                g = g + 1e-4 * w
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                self.params[k] = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            self.params = self.stepped(self.slopes(p, u, prior), first, second, step, rate).params
 
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
@@ -120,86 +129,147 @@ class Net:
         self.steps(batches(), prior, RATE)
 
 
+def bins_of(logits: np.ndarray) -> np.ndarray:
+    return np.clip((logits + REACH) * (BINS / (2 * REACH)), 0, BINS - 1).astype(np.int64)
+
+
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from the scores of both: the least upper bound over all cuts.
+    """The share of positives among the unlabelled, from the logits of both: the least upper bound over all cuts."""
+    return binned_prior(positive, np.bincount(bins_of(unlabelled), minlength=BINS))
+
+
+def binned_prior(positive: np.ndarray, counts: np.ndarray) -> float:
+    """``class_prior`` from the histogram of the unlabelled.
 
     Where positives of a share q_p and unlabelled of a share q_u reach a cut, the prior is q_u / q_p at most; the sampling error
     of the two shares is added to find the cut, not to the estimate.
     """
-    p, u = np.sort(positive), np.sort(unlabelled)
-    q_p = 1 - np.searchsorted(p, p) / len(p)
-    q_u = 1 - np.searchsorted(u, p) / len(u)
-    slack = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
-    k = int(np.argmin((q_u + slack) / q_p))
+    n_p, n_u = len(positive), counts.sum()
+    q_p, q_u = (x[::-1].cumsum()[::-1] / n for x, n in ((np.bincount(bins_of(positive), minlength=BINS), n_p), (counts, n_u)))
+    slack = np.sqrt(np.log(40) / (2 * n_u)) + np.sqrt(np.log(40) / (2 * n_p))
+    bound = np.where(q_p > 0, (q_u + slack) / np.maximum(q_p, 1e-12), np.inf)
+    k = int(np.argmin(bound))
     return float(np.clip(q_u[k] / q_p[k], 0.01, 0.99))
 
 
-def train(positive: list[bytes], unlabelled: list[bytes]) -> tuple[Net, float] | None:
-    """The first net and the prior."""
-    if not positive or not unlabelled:
-        return None
-    p, u = np.stack([vector(t) for t in positive]), np.stack([vector(t) for t in unlabelled])
-    back = np.arange(len(p)) % 3 == 0 if len(p) >= 3 else np.ones(len(p), bool)
-    half = np.arange(len(u)) % 2 == 0 if len(u) >= 2 else np.ones(len(u), bool)
-    scout = Net()
-    scout.fit(p[~back] if not back.all() else p, u[~half] if not half.all() else u, 0.5)
-    prior = class_prior(scout.logits(p[back]), scout.logits(u[half]))
-    net = Net()
-    net.fit(p, u, prior)
-    return net, prior
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cells = [vector(t).tobytes() for t in as_bytes(b, "text")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("positive"), b.column("half"), pa.array(cells, pa.binary())], ["doc_id", "positive", "half", "cells"])
+
+
+HALF = "pmod(xxhash64(doc_id, 'half'), 2)"
 
 
-def refined(docs: DataFrame, net: Net, positive: list[bytes], prior: float) -> Net:
-    """``net`` after one pass over all documents as unlabelled texts, averaged over the tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast((net.params, positive[:REFINE_POSITIVES], prior))
-    sizes = np.cumsum([0, *[p.size for p in net.params]])
+def samples(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVES, first_unlabelled: int = FIRST_UNLABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors and halves of the positives, then of the first unlabelled documents. ``allowed`` limits the labels that are read."""
+    known = labels.where(allowed & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    good = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(1).alias("positive"))
+    web = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(first_unlabelled).select("doc_id", F.lit(0).alias("positive"))
+    ids = good.unionByName(web.distinct())
+    found = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")).withColumn("half", F.expr(HALF))  # a row an id
+    rows = sorted(found.mapInArrow(_vectors, "doc_id long, positive int, half long, cells binary").collect(), key=lambda r: r.doc_id)
+    out = []
+    for kind in (1, 0):
+        mine = [r for r in rows if r.positive == kind]
+        out += [np.stack([np.frombuffer(r.cells, np.float32) for r in mine]) if mine else np.zeros((0, BUCKETS + FIGURES), np.float32), np.array([r.half for r in mine], np.int64)]
+    return tuple(out)
+
+
+def _stacked(batch: pa.RecordBatch, most: int = 512) -> Iterator[np.ndarray]:
+    rows = as_bytes(batch, "text")
+    for at in range(0, len(rows), most):
+        yield np.stack([vector(t) for t in rows[at : at + most]])
+
+
+def score_counts(docs: DataFrame, scouts: list[Net]) -> np.ndarray:
+    """How many documents fall into each bin of logits, each scored by the scout of the other half."""
+    shared = docs.sparkSession.sparkContext.broadcast([s.params for s in scouts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, good, share = shared.value
-        own, seen = Net(), 0
-        own.params, rng = [p.copy() for p in params], np.random.default_rng(9)
-        p = np.stack([vector(t) for t in good])
-
-        def pairs():
-            nonlocal seen
-            for b in batches:
-                rows = as_bytes(b, "text")
-                for at in range(0, len(rows), BATCH):
-                    u = np.stack([vector(t) for t in rows[at : at + BATCH]])
-                    seen += len(u)
-                    yield p[rng.integers(0, len(p), BATCH)], u
-
-        own.steps(pairs(), share, RATE / 10)
-        flat = np.concatenate([x.reshape(-1) for x in own.params]) * seen
+        nets, counts = [], np.zeros(BINS, np.int64)
+        for params in shared.value:
+            nets.append(Net())
+            nets[-1].params = params
+        for b in batches:
+            halves, at = b.column("half").to_numpy(), 0
+            for x in _stacked(b):
+                here = halves[at : at + len(x)]
+                counts += np.bincount(bins_of(np.where(here == 0, nets[1].logits(x), nets[0].logits(x))), minlength=BINS)
+                at += len(x)
+        k = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[k])], ["k", "n"])
+
+    rows = texts(docs).select("text", F.expr(HALF).alias("half")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # BINS rows at most
+    shared.destroy()
+    out = np.zeros(BINS, np.int64)
+    for r in rows:
+        out[r.k] = r.n
+    return out
+
+
+def scouts_of(positive: np.ndarray, halves: np.ndarray, unlabelled: np.ndarray, others: np.ndarray) -> list[Net]:
+    """A net fitted on each half; a half without samples takes all of them."""
+    made = []
+    for h in (0, 1):
+        p, u = positive[halves == h], unlabelled[others == h]
+        made.append(Net())
+        made[-1].fit(p if len(p) else positive, u if len(u) else unlabelled, 0.5)
+    return made
+
+
+def unlabelled_sums(docs: DataFrame, net: Net) -> tuple[list[np.ndarray], float, int]:
+    """Over all documents: the summed gradient of their negative losses, the summed losses, and their number."""
+    shared = docs.sparkSession.sparkContext.broadcast(net.params)
+    sizes = [p.size for p in net.params]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, loss, seen = Net(), np.zeros(sum(sizes)), 0.0, 0
+        own.params = shared.value
+        for b in batches:
+            for x in _stacked(b):
+                z = own.logits(x)
+                total += np.concatenate([g.reshape(-1) for g in own.gradient(x, 1 / (1 + np.exp(-z)))])
+                loss, seen = loss + float(np.logaddexp(0, z).sum()), seen + len(z)
+        flat = np.concatenate([total, [loss, seen]])
         for at in range(0, len(flat) if seen else 0, 4096):
             part = flat[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part), pa.array(np.full(len(part), seen))], ["k", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["k", "x"])
 
-    sums = texts(docs).select("text").mapInArrow(run, "k long, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+    rows = texts(docs).select("text").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas()  # a row a parameter
     shared.destroy()
-    if len(sums):
-        flat = sums.sort_values("k")["x"].to_numpy()
-        net = Net()
-        net.params = [flat[a:b].reshape(p.shape) for a, b, p in zip(sizes, sizes[1:], net.params)]
+    flat = rows.sort_values("k")["x"].to_numpy() if len(rows) else np.zeros(sum(sizes) + 2)
+    cuts = np.cumsum([0, *sizes])
+    return [flat[a:b].reshape(p.shape) for a, b, p in zip(cuts, cuts[1:], net.params)], float(flat[-2]), int(flat[-1])
+
+
+def refined(docs: DataFrame, net: Net, positive: np.ndarray, prior: float, steps: int = STEPS) -> Net:
+    """``net`` after some steps of the risk over all documents."""
+    first, second = [np.zeros_like(p) for p in net.params], [np.zeros_like(p) for p in net.params]
+    for step in range(1, steps + 1):
+        sums, loss, n = unlabelled_sums(docs, net)
+        if not n:
+            return net
+        zp = net.logits(positive)
+        sp, m = 1 / (1 + np.exp(-zp)), len(positive)
+        above = loss / n >= prior * np.logaddexp(0, zp).mean()
+        own = net.gradient(positive, (prior * (sp - 1) - prior * sp if above else -prior * sp) / m)
+        slopes = [(a + b / n) * (1 if above else -1) for a, b in zip(own, sums)]
+        net = net.stepped(slopes, first, second, step, RATE)
     return net
 
 
-def samples(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVES, first_unlabelled: int = FIRST_UNLABELLED) -> tuple[list[bytes], list[bytes]]:
-    """Positive texts and the first unlabelled ones. ``allowed`` limits the labels that are read."""
-    known = labels.where(allowed & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(1).alias("positive"))
-    web = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(first_unlabelled).select("doc_id", F.lit(0).alias("positive"))
-    ids = good.unionByName(web.distinct())
-    found = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))  # a row an id
-    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.text))
-    return [r.text.encode() for r in rows if r.positive], [r.text.encode() for r in rows if not r.positive]
-
-
 def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVES, first_unlabelled: int = FIRST_UNLABELLED) -> Net | None:
-    """The whole fit: sample, prior, first net and the pass over all documents."""
-    good, web = samples(docs, labels, allowed, positives, first_unlabelled)
-    first = train(good, web)
-    return refined(docs, first[0], good, first[1]) if first else None
+    """The whole fit: sample, scouts, prior over all documents, first net and the steps over all documents."""
+    positive, halves, web, others = samples(docs, labels, allowed, positives, first_unlabelled)
+    if not len(positive) or not len(web):
+        return None
+    scouts = scouts_of(positive, halves, web, others)
+    unseen = np.where(halves == 0, scouts[1].logits(positive), scouts[0].logits(positive))
+    prior = binned_prior(unseen, score_counts(docs, scouts))
+    net = Net()
+    net.fit(positive, web, prior)
+    return refined(docs, net, positive, prior)
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
