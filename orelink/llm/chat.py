@@ -147,15 +147,36 @@ class Model:
         return self.turns(lines, self.viterbi(seen))
 
 
+_MARK = re.compile(r"^(\\*<\|(?:end|" + "|".join(ROLES) + r")\|>)$", re.M)
+_ESCAPED = re.compile(r"^\\(\\*<\|(?:end|" + "|".join(ROLES) + r")\|>)$", re.M)
+
+
 def rendered(turns: list[tuple[str | None, str]], first: bool = True, last: bool = True) -> str:
-    """The canonical form; a part that goes on leaves its last turn open, and a part that follows closes the one before."""
+    """The canonical form; a part that goes on leaves its last turn open, and a part that follows closes the one before.
+
+    A line of a turn that reads like a mark of this form gets a backslash more, so no text can end its turn or begin another.
+    """
     out = []
     for k, (role, text) in enumerate(turns):
-        close = "" if first and not k else "\n<|end|>\n"
+        close, text = "" if first and not k else "\n<|end|>\n", _MARK.sub(r"\\\1", text)
         out.append(f"{close}<|{role}|>\n{text}" if role else f"\n{text}")
     return "".join(out) + ("\n<|end|>\n" if last else "")
 
 
+def reread(text: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a rendering of a whole conversation."""
+    out, role, lines = [], None, []
+    for line in text.split("\n"):
+        if role is None:
+            role = line[2:-2] if line else None  # nothing but the end follows the last mark
+        elif line == "<|end|>":
+            out.append((role, _ESCAPED.sub(r"\1", "\n".join(lines))))
+            role, lines = None, []
+        else:
+            lines.append(line)
+    return out
+
+
 PIECES = "conv_id long, part int, piece long, turns array<struct<turn long, role string, text string>>, blank boolean, first boolean, last boolean"
 
 
