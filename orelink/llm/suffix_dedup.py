@@ -10,7 +10,7 @@ document are kept, and overlapping ones of a document merge into spans.
 A neighbour in this order shares most words to the right, but another suffix may share fewer to the right and more
 to the left. So a suffix is settled only if its matches reach as far as LEFT and RIGHT words or its text go, or if
 its gram has two members and they met. Any other sends its gram to a second step: every member of that gram
-hashes its windows of ``PASSAGE`` words around the position, and windows found in two documents are matches.
+hashes the windows of ``PASSAGE`` words whose least gram it is, and windows found in two documents are matches.
 This also covers the first and last suffix of each sorted partition and neighbours in one document. Hence:
 the spans cover exactly the words that lie in passages of ``PASSAGE`` words that another document has as well.
 
@@ -77,14 +77,18 @@ def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
     return _mixed((sums[size:] - sums[:-size]) * np.cumprod(powers, dtype=np.uint64)[: n - size + 1])
 
 
+def _minimisers(grams: np.ndarray) -> np.ndarray:
+    """For each window of ``PASSAGE`` words the position of its least gram, the first of equal ones."""
+    if len(grams) < WINDOW:
+        return np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+    return np.concatenate([views[i : i + 4096].argmin(axis=1) + np.arange(i, min(i + 4096, len(views))) for i in range(0, len(views), 4096)])
+
+
 def _anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Retained positions and their gram hashes."""
     grams = _rolled(codes, GRAM)
-    if len(grams) < WINDOW:
-        return np.zeros(0, np.int64), grams[:0]
-    views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    at = [views[i : i + 4096].argmin(axis=1) + np.arange(i, min(i + 4096, len(views))) for i in range(0, len(views), 4096)]
-    at = np.unique(np.concatenate(at))
+    at = np.unique(_minimisers(grams))
     return at, grams[at]
 
 
@@ -109,13 +113,16 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = (where >= 0) & (where < len(codes))
             short = (codes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             words = np.where(inside, short[np.where(inside, where, 0)], np.uint32(0)).astype(">u4")
-            grams = _rolled(codes, GRAM)[at].view(np.int64)
+            grams = _rolled(codes, GRAM)
+            chosen, starts = _minimisers(grams), at[:, None] - np.arange(WINDOW)
+            whole = (starts >= 0) & (starts < len(chosen))
+            own = (whole & (chosen[np.where(whole, starts, 0)] == at[:, None])) @ (1 << np.arange(WINDOW))  # bit j: the position is the least of the window that starts j words before
             n = len(at)
             around = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * WIDTH * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words))])
-            yield pa.RecordBatch.from_arrays([pa.array(grams), around, pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([body.as_py()] * n, pa.int64()), pa.array(at.astype(np.int32))], ["gram", "around", "doc_id", "body", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), around, pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([body.as_py()] * n, pa.int64()), pa.array(at.astype(np.int32)), pa.array(own.astype(np.int32))], ["gram", "around", "doc_id", "body", "pos", "own"])
 
 
-_AROUND = "gram long, around binary, doc_id long, body long, pos int"
+_AROUND = "gram long, around binary, doc_id long, body long, pos int, own int"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -162,20 +169,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows of PASSAGE words that hold a position's whole gram."""
+    """Hashes of the windows of PASSAGE words whose least gram is a position's: every window comes from one position, the same one in every document."""
     for b in batches:
         words = _matrix(b.column("around"))
         line = np.concatenate([words[:, : RIGHT - 1 : -1], words[:, :RIGHT]], axis=1).astype(np.uint64)  # left to right, LEFT words before the position
-        empty = np.concatenate([np.zeros((len(line), 1), np.int64), np.cumsum(line == 0, axis=1)], axis=1)
-        for j in range(LEFT + 1):  # the window starts j words before the position
-            at = LEFT - j
-            ok = empty[:, at + PASSAGE] == empty[:, at]
-            h = np.zeros(len(line), np.uint64)
+        own = b.column("own").to_numpy()
+        for j in range(WINDOW):  # the window starts j words before the position
+            at, ok = LEFT - j, np.flatnonzero(own >> j & 1)
+            h, held = np.zeros(len(ok), np.uint64), line[ok, at : at + PASSAGE]
             for i in range(PASSAGE):
-                h = _mixed(h * _BASE + line[:, at + i])
-            take = pa.array(np.flatnonzero(ok))
-            start = pa.array((b.column("pos").to_numpy() - j)[ok].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), b.column("doc_id").take(take), b.column("body").take(take), start], ["h", "doc_id", "body", "first"])
+                h = _mixed(h * _BASE + held[:, i])
+            take = pa.array(ok)
+            start = pa.array((b.column("pos").to_numpy()[ok] - j).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("doc_id").take(take), b.column("body").take(take), start], ["h", "doc_id", "body", "first"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -195,7 +201,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     compared = written(dealt.mapInArrow(_neighbours, "doc_id long, body long, first int, last int, gram long, met boolean"))
     unsettled = compared.where("gram is not null").groupBy("gram").agg(F.min("met").alias("met")).join(grams, "gram")
     unsettled = written(unsettled.where("_rows > 2 or not met").select("gram", "_rows"))
-    windows = written(keyed_join(rows, unsettled, ["gram"]).select("doc_id", "body", "pos", "around").mapInArrow(_windows, "h long, doc_id long, body long, first int"))
+    windows = written(keyed_join(rows, unsettled, ["gram"]).select("doc_id", "body", "pos", "around", "own").mapInArrow(_windows, "h long, doc_id long, body long, first int"))
     dropped(rows, grams, unsettled)
     twice = written(windows.groupBy("h").agg(other.alias("two"), F.count("*").alias("_rows")).where("two").select("h", "_rows"))
     more = keyed_join(windows, twice, ["h"]).select("doc_id", "body", "first", (F.col("first") + PASSAGE).alias("last"))
