@@ -92,12 +92,12 @@ def monthly(records: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "month", "records", "quantity_by_uom", "spend_by_currency")
 
 
-def monthly_filled(records: DataFrame, *keys: str, most: int = 1200) -> DataFrame:
-    """Every month from a key's first to its last, at most the first ``most`` of them, with nothing where nothing was bought."""
+def monthly_filled(records: DataFrame, *keys: str, most: int | None = 1200) -> DataFrame:
+    """Every month from a key's first to its last, at most the first ``most`` of them (None: all), with nothing where nothing was bought."""
     known = monthly(records, *keys)
     first, last = (F.to_date(F.concat(f, F.lit("-01"))) for f in ("lo", "hi"))
     spans = known.groupBy(*keys).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    steps = F.sequence(first, F.least(last, F.add_months(first, most - 1)), F.expr("interval 1 month"))
+    steps = F.sequence(first, last if most is None else F.least(last, F.add_months(first, most - 1)), F.expr("interval 1 month"))
     months = spans.select(*keys, F.explode(steps).alias("d")).select(*keys, month(F.col("d")).alias("month"))
     return months.join(known, [*keys, "month"], "left").fillna(0, ["records"]).fillna("", ["quantity_by_uom", "spend_by_currency"])
 

@@ -28,6 +28,7 @@ def test_months_are_filled_and_cut_not_dropped(spark):
     rows = records(spark).where("cmi is not null")
     full = [(r.month, r.records, r.quantity_by_uom, r.spend_by_currency) for r in P.monthly_filled(rows, "cmi").orderBy("month").collect()]
     assert full == [("2024-01", 3, "EA=12; KG=2", "INR=60; USD=3"), ("2024-02", 0, "", ""), ("2024-03", 0, "", ""), ("2024-04", 1, "EA=2.05", "USD=2.05")]
+    assert P.monthly_filled(rows, "cmi", most=None).count() == 4
     assert [r.month for r in P.monthly_filled(rows, "cmi", most=2).orderBy("month").collect()] == ["2024-01", "2024-02"]
 
 
