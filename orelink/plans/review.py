@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orelink.operators import audit as A
 from orelink.operators import evaluation as E
 from orelink.operators import uom as U
 from orelink.operators import workflow as W
@@ -12,6 +13,7 @@ from orelink.plans.imports import _CHECKED, _ROWS, _rows, _stored
 from orelink.plans.registry import Registry
 from orelink.sources import imports as I
 from orelink.sources.mart import mart
+from orelink.sources.scratch import written_once
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -256,3 +258,40 @@ def d1_organization_dashboard(spark: SparkSession, d: str) -> DataFrame:
 WHERE evidence ->> '$.decision.state' = 'TECHNICAL_CONFLICT' AND critical_difference IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason LIMIT 12)""")
 def d4_top_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return W.conflict_attributes(mart(spark, d, "matches"))
+
+
+_RULE_REQUESTS = """SELECT rule_id * 3 + k AS request_id, CASE WHEN rule_id % 23 = 0 THEN -rule_id ELSE rule_id END AS rule_id, CASE (rule_id + k) % 3 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'DISABLED' ELSE 'REJECTED' END AS to_status,
+rule_id % 7 + k AS actor, cast('2024-01-01 00:00:00' AS timestamp) + make_interval(0, 0, 0, 0, 0, cast(rule_id AS int), 10 * k) AS ts FROM governed_rules CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
+_RULE_REQUESTS_SQL = _RULE_REQUESTS.replace("make_interval(0, 0, 0, 0, 0, cast(rule_id AS int), 10 * k)", "to_minutes(rule_id::INT) + to_seconds(10 * k)")
+_RULES_DECIDED = f"""q AS ({_RULE_REQUESTS_SQL}), j AS (SELECT q.*, g.status AS previous, g.factor, coalesce(g.status || '>' || to_status IN ('PENDING>APPROVED', 'PENDING>REJECTED', 'APPROVED>DISABLED', 'DISABLED>APPROVED'), false) AS ok FROM q LEFT JOIN governed_rules g ON g.rule_id = q.rule_id),
+o AS (SELECT *, CASE WHEN previous IS NULL THEN 'unknown_rule' WHEN NOT ok THEN 'not_allowed' WHEN row_number() OVER (PARTITION BY rule_id, ok ORDER BY request_id) > 1 THEN 'superseded' ELSE 'decided' END AS outcome FROM j)"""
+
+
+def _rule_decisions(spark: SparkSession, d: str) -> DataFrame:
+    rules = mart(spark, d, "governed_rules")
+    return A.decided_rules(rules, spark.sql(_RULE_REQUESTS.replace("FROM governed_rules", "FROM {rules}"), rules=rules))
+
+
+@query(f"""WITH {_RULES_DECIDED} SELECT request_id, rule_id, outcome, CASE WHEN outcome = 'decided' THEN CASE previous || to_status WHEN 'PENDINGAPPROVED' THEN 'APPROVE' WHEN 'PENDINGREJECTED' THEN 'REJECT' WHEN 'APPROVEDDISABLED' THEN 'DISABLE' ELSE 'RE_ENABLE' END END AS action, previous,
+CASE WHEN outcome = 'decided' THEN to_status ELSE previous END AS status FROM o""")
+def u11_decided_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Three requests on every rule, each with its outcome."""
+    return _rule_decisions(spark, d).select("request_id", "rule_id", "outcome", "action", "previous", "status")
+
+
+@query(f"WITH {_RULES_DECIDED} SELECT request_id AS history_id, rule_id, CASE previous || to_status WHEN 'PENDINGAPPROVED' THEN 'APPROVE' WHEN 'PENDINGREJECTED' THEN 'REJECT' WHEN 'APPROVEDDISABLED' THEN 'DISABLE' ELSE 'RE_ENABLE' END AS action, request_id AS audit_id, true AS details_match FROM o WHERE outcome = 'decided'")
+def u15_written_ledgers(spark: SparkSession, d: str) -> DataFrame:
+    """History and audit that the library wrote for one set of decisions: they agree."""
+    decisions = written_once(_rule_decisions(spark, d))
+    history, audit = A.rule_history(decisions), A.rule_audit(decisions)
+    return U.agreement(U.paired_ledgers(history, audit), history, audit)
+
+
+@query("""WITH q AS (SELECT match_id, CASE WHEN match_id % 3 = 0 THEN 'rejected' ELSE 'approved' END AS to_status, CASE WHEN match_id % 5 = 0 THEN 'approved' END AS expected FROM matches WHERE match_id % 4 <> 0)
+SELECT match_id AS audit_id, match_id AS entity_id, a AS actor, 'proposal_' || to_status AS action FROM q JOIN matches m USING (match_id) WHERE m.status = 'pending' AND (expected IS NULL OR expected = m.status) ORDER BY match_id DESC LIMIT 100""")
+def d8_match_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The latest audit rows of decided matches."""
+    n, matches = F.col("match_id"), mart(spark, d, "matches")
+    requests = matches.where("match_id % 4 <> 0").select(n.alias("request_id"), "match_id", F.when(n % 3 == 0, "rejected").otherwise("approved").alias("to_status"), F.when(n % 5 == 0, "approved").alias("expected_status"), F.col("a").alias("actor"), F.col("created").alias("ts"))
+    rows = A.match_audit(A.decided_matches(matches, requests))
+    return rows.orderBy(F.desc("audit_id")).limit(100).select("audit_id", "entity_id", "actor", "action")
