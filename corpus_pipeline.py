@@ -22,10 +22,17 @@ from orelink.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
 from orelink.llm.common import dropped, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _whole_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most ``rows``, on both sides of the pipe; the session keeps a smaller setting of its own."""
+    spark.conf.set(BATCH, min(rows, int(spark.conf.get(BATCH))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Rows of one doc_id stand or fall by their own texts."""
+    _whole_texts(spark)
     judged = quality_rules.judge_texts(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
     return judged.where("kept").select(*COLUMNS)
 
@@ -38,16 +45,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id; groups without any id keep one too."""
+    _whole_texts(spark)
     return simhash.representatives(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item covers, each judged by its own text."""
+    _whole_texts(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document left."""
+    _whole_texts(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
