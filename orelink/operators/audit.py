@@ -72,7 +72,7 @@ def match_state(matches: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 # The audit action of each state that a match is decided to.
-MATCH_ACTIONS = {"approved": "proposal_approved", "rejected": "proposal_rejected", "deferred": "proposal_deferred"}
+MATCH_ACTIONS = {"approved": "proposal_approved", "rejected": "proposal_rejected", "deferred": "proposal_deferred", "sent_for_review": "proposal_deferred"}
 
 
 def match_audit(decided: DataFrame) -> DataFrame:
