@@ -11,6 +11,7 @@ A neighbour in this order shares most words to the right, but another suffix may
 to the left. So a suffix is settled only if its matches reach as far as LEFT and RIGHT words or its text go, or if
 its gram has two members and they met. Any other sends its gram to a second step: every member of that gram
 hashes the windows of ``PASSAGE`` words whose least gram it is, and windows found in two documents are matches.
+Grams of the second step are told by a bitmap of fixed size; a gram that shares a bit with one of them hashes its windows too, which finds true matches again.
 This also covers the first and last suffix of each sorted partition and neighbours in one document. Hence:
 the spans cover exactly the words that lie in passages of ``PASSAGE`` words that another document has as well.
 
@@ -20,7 +21,7 @@ compared by 31 bits of a hash each, 50 of them in a row at least; windows of the
 
 Scale: about 2 / (WINDOW + 1) of the positions are rows of 20 bytes; only the retained ones that occur in two
 documents carry their surrounding words. Texts shuffle once, by document. The sort is by range over (gram, leading words,
-document, position), so a passage in a third of all documents spreads over tasks; grams and windows of more than a
+document, position), so a passage in a third of all documents spreads over tasks; the words around a position are dealt out once, for that sort; grams and windows of more than a
 thousandth of the rows are joined by broadcast (``common.keyed_join``). Only the result's table stays.
 
 Defined cases: null and empty texts, and texts under ``PASSAGE`` words, have no spans; rows that share a
@@ -46,6 +47,7 @@ GRAM = 25
 WINDOW = PASSAGE - GRAM + 1
 LEFT, RIGHT = PASSAGE - GRAM, PASSAGE
 WIDTH = LEFT + RIGHT
+BITS = 26  # of the bitmap of grams, 8 MB
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -168,9 +170,24 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settled(*held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows of PASSAGE words whose least gram is a position's: every window comes from one position, the same one in every document."""
+def gram_bits(grams: DataFrame) -> np.ndarray:
+    """``2**BITS`` bits, set at the leading bits of the grams: at most 2**(BITS - 15) rows of 4 KB reach the driver."""
+    place = grams.select(F.shiftrightunsigned("gram", 64 - BITS).alias("v")).groupBy(F.expr("v div 32768").alias("b"))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in place.agg(F.bitmap_construct_agg(F.expr("v % 32768")).alias("m")).collect():
+        out[r.b * 4096 : r.b * 4096 + len(r.m)] = np.frombuffer(r.m, np.uint8)
+    return out
+
+
+def _has(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    at = grams.view(np.uint64) >> np.uint64(64 - BITS)
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _windows(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows of PASSAGE words whose least gram is a position's, for the grams of ``bits``: every window comes from one position, the same one in every document."""
     for b in batches:
+        b = b.filter(pa.array(_has(bits, b.column("gram").to_numpy())))
         words = _matrix(b.column("around"))
         line = np.concatenate([words[:, : RIGHT - 1 : -1], words[:, :RIGHT]], axis=1).astype(np.uint64)  # left to right, LEFT words before the position
         own = b.column("own").to_numpy()
@@ -199,10 +216,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     near = F.substring("around", 1, 16)  # the leading words, in the order of all of them
     dealt = rows.repartitionByRange("gram", near, "doc_id", "body", "pos").sortWithinPartitions("gram", "around", "doc_id", "body", "pos")
     compared = written(dealt.mapInArrow(_neighbours, "doc_id long, body long, first int, last int, gram long, met boolean"))
-    unsettled = compared.where("gram is not null").groupBy("gram").agg(F.min("met").alias("met")).join(grams, "gram")
-    unsettled = written(unsettled.where("_rows > 2 or not met").select("gram", "_rows"))
-    windows = written(keyed_join(rows, unsettled, ["gram"]).select("doc_id", "body", "pos", "around", "own").mapInArrow(_windows, "h long, doc_id long, body long, first int"))
-    dropped(rows, grams, unsettled)
+    unsettled = compared.where("gram is not null").groupBy("gram").agg(F.min("met").alias("met")).join(grams, "gram").where("_rows > 2 or not met")
+    bits = docs.sparkSession.sparkContext.broadcast(gram_bits(unsettled))
+    hashed = lambda batches: _windows(batches, bits.value)
+    windows = written(rows.mapInArrow(hashed, "h long, doc_id long, body long, first int"))
+    bits.destroy()
+    dropped(rows, grams)
     twice = written(windows.groupBy("h").agg(other.alias("two"), F.count("*").alias("_rows")).where("two").select("h", "_rows"))
     more = keyed_join(windows, twice, ["h"]).select("doc_id", "body", "first", (F.col("first") + PASSAGE).alias("last"))
     spans = written(_merged(compared.where(F.col("last") - F.col("first") >= PASSAGE).select("doc_id", "body", "first", "last").unionByName(more)))
