@@ -66,3 +66,23 @@ def test_scores_and_decisions(spark):
     assert got[4, 5].assembly_differs and got[4, 5].match_type == "needs_review"
     assert "decision=HIGH_CONFIDENCE_MATCH" in got[1, 2].explanation and "agrees=" in got[1, 2].explanation and "conflict=" not in got[1, 2].explanation
     assert "conflict=" in got[1, 3].explanation and "assembly=" in got[4, 5].explanation
+
+
+def test_texts_are_worked_out_once(spark):
+    """Neither a lambda nor a filter computes the text of a kernel anew."""
+    from orelink.plans import kernels, matching
+
+    data = "/root/testdata/sf0.001"
+    plan = lambda q: q(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(kernels.k3_embeddings).count("regexp_replace(upper(") == 1
+    assert plan(kernels.k1_trigrams).count("regexp_replace(upper(") == 1 and plan(kernels.k1_trigrams).count("Aggregate") == 2
+    assert plan(kernels.k6_text_signals).count("regexp_replace(upper(") == 4  # tokens and vector of two texts
+    for q in (kernels.t7_classified, kernels.t14_reprocessed, matching.t11_text_pipeline):
+        shown = plan(q)
+        assert shown.count("regexp_replace(upper(coalesce(description") == 1, q
+
+
+def test_equal_texts_come_back_to_every_row(spark):
+    rows = spark.createDataFrame([(1, "Hex bolt"), (2, None), (3, "Hex bolt"), (4, None), (4, None)], "id int, description string")
+    got = T.once_each(rows, ["description"], lambda t: t.withColumn("n", F.length("description"))).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "Hex bolt", 8), (2, None, None), (3, "Hex bolt", 8), (4, None, None), (4, None, None)], key=str)
