@@ -1,11 +1,11 @@
 """Imports as jobs: rows staged in chunks, loaded by a stream that can stop, fail and go on, and counted chunk by chunk.
 
-``stage`` writes checked rows to ``<folder>/staged``, one file a chunk, and settles there which row of a key is its first in the file, so the result does not
+``stage`` writes checked rows to ``<folder>/staged``, one file for a chunk or some, and settles there which row of a key is its first in the file, so the result does not
 hang on the order in which chunks are loaded. ``run`` is a Structured Streaming query over these files (``availableNow``): its checkpoint knows which
-chunks are done, and each batch replaces its own partitions of the store and of the ledger, so a chunk that is loaded twice, after a failure or by a new
+files are done, and each batch replaces its own partitions of the store and of the ledger, so a chunk that is loaded twice, after a failure or by a new
 checkpoint, changes nothing. Keys that other runs have stored are duplicates; what this run has stored is not held against it.
 
-Store: ``<store>/run=<id>/chunk=<n>``, rows with their key. Ledger: ``<folder>/ledger/chunk=<n>``, one row a chunk: rows, imported, duplicate, error.
+Store: ``<store>/run=<id>/chunk=<n>``, rows with their key (n: the first chunk of a file). Ledger: ``<folder>/ledger/chunk=<n>``, one row a chunk: its number, rows, imported, duplicate, error.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
+FILE_ROWS = 100_000
 OUTCOMES = ("imported", "duplicate", "error")
 
 
@@ -25,10 +26,11 @@ def loadable_key(checked: DataFrame, *parts: Column) -> DataFrame:
     return checked.where("not is_empty").withColumn("key", F.when(fit, F.to_json(F.array(*[F.upper(F.trim(F.coalesce(p, F.lit("")))) for p in parts]))))
 
 
-def stage(rows: DataFrame, folder: str, chunk_rows: int = CHUNK_ROWS) -> None:
-    """rows: row_number (from 1), key (null: an error) and any other columns. A chunk is ``chunk_rows`` row numbers."""
+def stage(rows: DataFrame, folder: str, chunk_rows: int = CHUNK_ROWS, file_chunks: int = 1) -> None:
+    """rows: row_number (from 1), key (null: an error) and any other columns. A chunk is ``chunk_rows`` row numbers, a file ``file_chunks`` of them: small chunks share files, so that files and folders do not grow in number with them."""
     firsts = rows.where("key is not null").groupBy("key").agg(F.min("row_number").alias("_first"))
-    told = rows.join(firsts, "key", "left").withColumns({"is_first": F.coalesce(F.col("row_number") == F.col("_first"), F.lit(False)), "chunk": F.floor((F.col("row_number") - 1) / chunk_rows).cast("long")})
+    told = rows.join(firsts, "key", "left").withColumns({"is_first": F.coalesce(F.col("row_number") == F.col("_first"), F.lit(False)), "number": F.floor((F.col("row_number") - 1) / chunk_rows).cast("long")})
+    told = told.withColumn("chunk", F.col("number") - F.pmod("number", F.lit(file_chunks).cast("long")))
     told.drop("_first").repartition("chunk").write.partitionBy("chunk").parquet(f"{folder}/staged")
 
 
@@ -39,14 +41,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def stored_keys(spark: SparkSession, store: str, run_id: str) -> DataFrame:
     """Keys that other runs have stored."""
-    if not _exists(spark, store):
-        return spark.createDataFrame([], "key string")
-    return spark.read.schema("key string, run string").parquet(store).where(F.col("run") != run_id).select("key").distinct()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
+    others = [str(p) for p in found if p.getName().startswith("run=") and p.getName() != f"run={run_id}"]  # a folder for each run; this run's chunks are not listed
+    return spark.read.schema("key string").parquet(*others).select("key").distinct() if others else spark.createDataFrame([], "key string")
 
 
 def decided(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Staged rows with their outcome."""
-    known = rows.join(keys.withColumn("_known", F.lit(True)), "key", "left")
+    known = rows.join(keys.withColumn("_known", F.lit(True)).hint("merge"), "key", "left")  # the store's keys grow, so no batch sends them through the driver
     return known.withColumn("outcome", F.when(F.col("key").isNull(), "error").when(F.col("_known").isNotNull() | ~F.col("is_first"), "duplicate").otherwise("imported")).drop("_known")
 
 
@@ -54,15 +58,15 @@ def load(rows: DataFrame, folder: str, store: str, run_id: str) -> None:
     """Loads staged rows of whole chunks, in place of what the same chunks loaded before. The ledger comes last: a chunk without its row is not done."""
     spark = rows.sparkSession
     done = decided(rows, stored_keys(spark, store, run_id))
-    columns = [c for c in done.columns if c not in ("is_first", "outcome", "chunk")]
-    replace = lambda df, path: df.write.partitionBy("chunk").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    columns = [c for c in done.columns if c not in ("is_first", "outcome", "chunk", "number")]
+    replace = lambda df, path: df.repartition("chunk").write.partitionBy("chunk").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     replace(done.where("outcome = 'imported'").select(*columns, "chunk"), f"{store}/run={run_id}")
-    counts = done.groupBy("chunk").agg(F.count("*").alias("rows"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
+    counts = done.groupBy("chunk", "number").agg(F.count("*").alias("rows"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
     replace(counts, f"{folder}/ledger")
 
 
 def run(spark: SparkSession, folder: str, store: str, run_id: str, at_once: int = 8, before: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Loads the chunks that this job's checkpoint does not know as done, ``at_once`` of them a batch. ``before`` sees each batch first; what it raises ends the run there."""
+    """Loads the files of chunks that this job's checkpoint does not know as done, ``at_once`` of them a batch. ``before`` sees each batch first; what it raises ends the run there."""
 
     def batch(rows: DataFrame, number: int) -> None:
         if before:
@@ -77,15 +81,15 @@ def run(spark: SparkSession, folder: str, store: str, run_id: str, at_once: int
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     """(chunk, rows, imported, duplicate, error) of the chunks that are done."""
-    schema = "rows long, imported long, duplicate long, error long, chunk long"
     if not _exists(spark, f"{folder}/ledger"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/ledger")
+        return spark.createDataFrame([], "rows long, imported long, duplicate long, error long, chunk long")
+    kept = spark.read.schema("number long, rows long, imported long, duplicate long, error long").parquet(f"{folder}/ledger")
+    return kept.select("rows", *OUTCOMES, F.col("number").alias("chunk"))
 
 
 def progress(spark: SparkSession, folder: str) -> DataFrame:
     """One row: chunks staged and done, rows staged, processed, imported, duplicate and error, and the state: STAGED, RUNNING or COMPLETED."""
-    staged = spark.read.parquet(f"{folder}/staged").groupBy("chunk").agg(F.count("*").alias("n")).agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("staged_rows"))
+    staged = spark.read.parquet(f"{folder}/staged").groupBy("number").agg(F.count("*").alias("n")).agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("staged_rows"))
     done = ledger(spark, folder).agg(F.count("*").alias("done"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", *OUTCOMES)])
     state = F.when(F.col("done") == F.col("chunks"), "COMPLETED").when(F.col("done") > 0, "RUNNING").otherwise("STAGED")
     return staged.crossJoin(done).withColumn("state", state).withColumnRenamed("rows", "processed_rows")  # one row each

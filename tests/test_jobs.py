@@ -64,3 +64,14 @@ def test_a_job_stops_at_a_fault_and_goes_on(spark, tmp_path):
     J.stage(rows(spark), again, 8)
     J.run(spark, again, store, "two")
     assert sum(c["imported"] for c in counted(spark, again).values()) == 0 and stored(spark, store) == notes
+
+
+def test_small_chunks_share_files_and_batches(spark, tmp_path):
+    folder, store, batches = str(tmp_path / "job"), str(tmp_path / "store"), []
+    J.stage(rows(spark, 120), folder, 4, 10)
+    J.run(spark, folder, store, "one", before=lambda _, number: batches.append(number))
+    state = J.progress(spark, folder).first()
+    assert batches == [0] and state.state == "COMPLETED" and state.done == state.chunks == 30
+    assert {c: sum(v.values()) for c, v in counted(spark, folder).items()} == {c: 4 for c in range(30)}
+    files = lambda path: [len(list(c.glob("*.parquet"))) for c in path.glob("chunk=*")]
+    assert files(tmp_path / "job" / "ledger") == files(tmp_path / "job" / "staged") == [1, 1, 1] and set(files(tmp_path / "store" / "run=one")) == {1}
