@@ -22,9 +22,10 @@ def _grams(text: Column) -> Column:
 
 
 def postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(gram, id) of every text column, sorted by gram within ranges; a gram in very many rows spreads over several ranges."""
-    texts = F.explode(F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in columns]))
-    found = rows.select(F.col(key).alias("id"), texts.alias("t")).select("id", F.explode(_grams(F.col("t"))).alias("gram")).distinct()
+    """(gram, id) of every text column, each once a row, sorted by gram within ranges; a gram in very many rows spreads over several ranges. ``key`` names each row once."""
+    texts = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in columns])
+    spread = rows.select(F.col(key).alias("id"), *columns).repartition(rows.sparkSession.sparkContext.defaultParallelism, "id")  # a table of short texts may be one file
+    found = spread.select("id", F.explode(F.array_distinct(F.flatten(F.transform(texts, _grams)))).alias("gram"))
     return found.select("gram", "id").repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
 
 

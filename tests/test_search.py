@@ -18,3 +18,10 @@ def test_search_equals_a_scan(spark):
     long = [q for q in texts if len(q) >= 3]
     got = S.searches(table, posted, counts, spark.createDataFrame([(q,) for q in long], "query string"), "id", "a", "b").collect()
     assert {(r.query, r.id) for r in got} == {(q, i) for q in long for i in holds(q)} and len(got) == len(set(got))
+
+
+def test_postings_are_spread_and_need_no_distinct(spark):
+    posted = S.postings(spark.createDataFrame([(1, "aaaa", "AAAb"), (2, "aab", None)], "id long, a string, b string").coalesce(1), "id", "a", "b")
+    assert sorted(map(tuple, posted.collect())) == [("aaa", 1), ("aab", 1), ("aab", 2)]
+    plan = posted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
