@@ -45,7 +45,7 @@ def stored_keys(spark: SparkSession, store: str, run_id: str) -> DataFrame:
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
     others = [str(p) for p in found if p.getName().startswith("run=") and p.getName() != f"run={run_id}"]  # a folder for each run; this run's chunks are not listed
-    return spark.read.schema("key string").parquet(*others).select("key").distinct() if others else spark.createDataFrame([], "key string")
+    return spark.read.schema("key string").option("basePath", store).parquet(*others).select("key").distinct() if others else spark.createDataFrame([], "key string")
 
 
 def decided(rows: DataFrame, keys: DataFrame) -> DataFrame:
