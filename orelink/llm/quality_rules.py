@@ -7,8 +7,7 @@ smoothed multinomials: a trusted target (all documents labelled good) against th
 rejects; the threshold is a constant, so each verdict depends on the text and the two tables alone.
 
 Scale: one pass counts (bucket sums, at most ``BUCKETS`` rows for each task, summed with map-side combine),
-one pass scores with a table of fixed size. The ids of good documents are joined to the texts that are counted; where they are too many
-to broadcast, that join shuffles text once.
+one pass scores with a table of fixed size. Neither shuffles text, unless the ids of good documents are sparse (``_marked``).
 
 Defined cases: a null text has no words and fails; texts under four bytes score 0; very long texts are read whole, in
 chunks; a score equal to the threshold keeps; a null doc_id keeps its row; repeated rows get equal rows and each counts in
@@ -35,6 +34,7 @@ BUCKETS = 1 << 14
 GRAM = 4
 SMOOTHING = 20.0
 THRESHOLD = -0.25
+BITMAPS = 8192  # of 4 KB, or 32,768 ids, each
 SYMBOLS = b"#*$%&|<>"
 _CHUNK = 1 << 20
 
@@ -90,6 +90,22 @@ def gram_buckets(text: bytes) -> Iterator[np.ndarray]:
         yield (gram * np.uint32(2654435761)) >> np.uint32(18)
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``trusted``: whether ``ids`` has the doc_id.
+
+    Dense ids make bitmaps of a bit each, which are broadcast, so that texts stay where they are; ids that spread over more than
+    ``BITMAPS`` bitmaps are joined instead, which shuffles the texts.
+    """
+    bucket, bit = F.bitmap_bucket_number("doc_id").alias("_bucket"), F.bitmap_bit_position("doc_id")
+    bitmaps = ids.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    if ids.select(bucket).distinct().limit(BITMAPS + 1).count() > BITMAPS:
+        return docs.join(ids.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    found = docs.withColumn("_bucket", F.bitmap_bucket_number("doc_id")).join(F.broadcast(bitmaps), "_bucket", "left")
+    return found.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("trusted"))
+
+
 def gram_counts(docs: DataFrame, target: DataFrame | set[int]) -> np.ndarray:
     """Bucket counts of the raw corpus and, in the second row, of the documents in ``target`` (doc_id, each once, or a small set of ids)."""
 
@@ -106,7 +122,7 @@ def gram_counts(docs: DataFrame, target: DataFrame | set[int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], ["bucket", "raw", "trusted"])
 
     if isinstance(target, DataFrame):
-        marked = docs.select("doc_id", "text").join(target.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
+        marked = _marked(docs.select("doc_id", "text"), target)
     else:
         marked = docs.select("doc_id", "text").withColumn("trusted", F.col("doc_id").isin(*target))
     rows = texts(marked, "trusted").mapInArrow(count, "bucket int, raw long, trusted long")
