@@ -2,8 +2,9 @@
 
 Two tables hold a row for each combination that occurs, partitioned by month: ``cells`` (month, organization, cmi, unit, currency, status) and
 ``pairs`` (month, supplier, organization, cmi, currency, status). Every measure adds up: counts and cents by sums, dates by least and
-greatest, days by a mask of the month's days. Coarser roll-ups follow from these; distinct suppliers, organizations and cmis are bitmaps
-of 32,768 numbers a bucket, which combine by OR, so no view expands its rows for a distinct count.
+greatest, days by a mask of the month's days. Coarser roll-ups follow from these; distinct suppliers and organizations are bitmaps
+of 32,768 numbers a bucket, which combine by OR, so no view expands its rows for a distinct count. They are built from distinct values,
+each bucket in one place, so that rows of two numbers are shuffled and not a bitmap of 4 KB for every task and group.
 
 A month that changes is rolled up again from its own records (``refresh``); the others keep their files. Dates that cut a month take
 that month from the records and the whole months from the cells (``between``).
@@ -42,7 +43,9 @@ def rolled(rows: DataFrame, *keys: str) -> DataFrame:
 
 def bits(rows: DataFrame, number: str, *keys: str) -> DataFrame:
     """(keys, bucket, bits): the distinct values of an integer column as bitmaps."""
-    return rows.where(F.col(number).isNotNull()).groupBy(*keys, F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    values = rows.where(F.col(number).isNotNull()).select(*keys, F.col(number).alias("_number")).distinct()
+    placed = values.select(*keys, F.bitmap_bucket_number("_number").alias("bucket"), F.bitmap_bit_position("_number").alias("_bit")).repartition(*keys, "bucket")
+    return placed.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("_bit").alias("bits"))
 
 
 def merged(bitmaps: DataFrame, *keys: str) -> DataFrame:
@@ -74,13 +77,13 @@ def evidence(cells: DataFrame, suppliers: DataFrame) -> DataFrame:
 def supplier_list(suppliers: DataFrame, totals: DataFrame, cmis: DataFrame, search: str | None = None, **activity) -> DataFrame:
     """All suppliers that fit ``search`` with what they did within ``activity`` (organization, currency).
 
-    ``totals``: measures by supplier, organization and currency; ``cmis``: their bitmaps of cmis.
+    ``totals``: measures by supplier, organization and currency; ``cmis``: their distinct cmis.
     """
     if search:
         suppliers = suppliers.where(F.lower("supplier").contains(search.lower()))
     within = reduce(lambda test, by: test & F.col(by[0]).eqNullSafe(F.lit(by[1])), activity.items(), F.lit(True))
     counted = totals.where(within).groupBy("supplier_id").agg(F.sum("records").alias("records"), F.countDistinct("org_id").alias("organizations"), F.max("last_date").alias("last_date"))
-    held = distinct(cmis.where(within), "cmis", "supplier_id")
+    held = cmis.where(within).select("supplier_id", "cmi").distinct().groupBy("supplier_id").agg(F.count("*").alias("cmis"))
     out = suppliers.join(counted, "supplier_id", "left").join(held, "supplier_id", "left")
     return out.fillna(0, ["records", "organizations", "cmis"]).select(*suppliers.columns, "records", "organizations", "cmis", "last_date")
 
