@@ -51,6 +51,29 @@ def summary(records: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def latest_years(records: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, first_year): the year down to which a key has ``most`` records or more; a key with fewer dated ones has no row or no year.
+
+    Only counts by key and year are shuffled.
+    """
+    years = records.groupBy(key, F.year("purchase_date").alias("year")).agg(F.count("*").alias("n"))
+    newer = years.withColumn("newer", F.sum("n").over(Window.partitionBy(key).orderBy(F.desc("year"))))
+    return newer.where(F.col("newer") >= most).groupBy(key).agg(F.max("year").alias("first_year"))
+
+
+def latest(records: DataFrame, years: DataFrame | None, key: str, most: int, *ties: str | Column) -> DataFrame:
+    """The latest ``most`` records of each key, numbered by ``n``; ``ties`` orders those of a day.
+
+    ``years``: ``latest_years`` of the same key and number. It leaves out the records of older years, which cannot be among the latest,
+    before the others are shuffled; records without a year there all stay.
+    """
+    if years is not None:
+        first = F.col("first_year")
+        records = records.join(years, key, "left").where(first.isNull() | (F.year("purchase_date") >= first)).drop("first_year")
+    line = Window.partitionBy(key).orderBy(F.desc("purchase_date"), *ties)
+    return records.withColumn("n", F.row_number().over(line).cast("long")).where(F.col("n") <= most)
+
+
 def quantities(records: DataFrame, *keys: str) -> DataFrame:
     return measured(records).groupBy(*keys, "uom").agg(F.sum("records").alias("records"), F.sum("qty_cents").alias("qty_cents"))
 
