@@ -110,6 +110,19 @@ def totals(records: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def totals_apart(records: DataFrame, *keys: str) -> DataFrame:
+    """(keys, records, quantity_by_uom, spend_by_currency) as ``totals`` has them, for keys with few records each and no null.
+
+    Sums by unit and currency together would be nearly as many rows as the records, and wide ones; a key's few currencies alone combine before they are shuffled.
+    """
+    by_unit = measured(records).groupBy(*keys, "uom").agg(F.sum("records").alias("n"), F.sum("qty_cents").alias("quantity"))
+    units = by_unit.groupBy(*keys).agg(F.sum("n").alias("records"), F.collect_list(F.struct("uom", "quantity")).alias("units"))
+    by_currency = measured(records).where("currency is not null").groupBy(*keys, "currency").agg(F.sum("spend_cents").alias("spend"))
+    currencies = by_currency.groupBy(*keys).agg(F.collect_list(F.struct("currency", "spend")).alias("currencies"))
+    spent = F.coalesce(_cell("currencies", "currency", "spend"), F.lit(""))
+    return units.join(currencies, list(keys), "left").select(*keys, "records", _cell("units", "uom", "quantity").alias("quantity_by_uom"), spent.alias("spend_by_currency"))
+
+
 def monthly(records: DataFrame, *keys: str) -> DataFrame:
     sums = totals(measured(records), *keys, "month")
     return sums.select(*keys, "month", "records", "quantity_by_uom", "spend_by_currency")
